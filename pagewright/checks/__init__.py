@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("retrieval", "answers")
+MODULES = ("retrieval", "answers", "catalog", "store")
 LATER = (
     "retrieval", "answers", "catalog", "store", "boxes", "raster", "regions",
     "keying", "gates", "copies", "logs", "streams",
