@@ -118,42 +118,52 @@ def key_colour_pick(pixels: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- neighbourhoods
 
 
-def _line_sum(df: DataFrame, src: str, out: str, r: int, along: Window) -> DataFrame:
-    """Sum over ``2r+1`` neighbours along a line, clipped at its ends, from running sums: constant work per pixel."""
-    upto = F.sum(src).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(src).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    w = df.withColumn("_upto", upto).withColumn("_all", whole)
-    return w.withColumn(
-        out, F.coalesce(F.lead("_upto", r).over(along), F.col("_all")) - F.coalesce(F.lag("_upto", r + 1).over(along), F.lit(0))
-    ).drop("_upto", "_all")
+def _line_sums(df: DataFrame, cols: dict[str, str], r: int, along) -> DataFrame:
+    """Sums over ``2r+1`` neighbours along a line, clipped at its ends, from running sums: constant work per pixel."""
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = df.withColumns({f"_u_{c}": F.sum(c).over(upto) for c in cols}).withColumns({f"_w_{c}": F.sum(c).over(whole) for c in cols})
+    out = {
+        name: F.coalesce(F.lead(f"_u_{c}", r).over(along), F.col(f"_w_{c}")) - F.coalesce(F.lag(f"_u_{c}", r + 1).over(along), F.lit(0))
+        for c, name in cols.items()}
+    return w.withColumns(out).drop(*[f"_{k}_{c}" for k in "uw" for c in cols])
 
 
 def _reach(pos: str, size: str, r: int) -> Column:
     return F.least(F.col(pos) + r, F.col(size) - 1) - F.greatest(F.col(pos) - r, F.lit(0)) + 1
 
 
-def box_sum(pixels: DataFrame, src: str, r: int, out: str) -> DataFrame:
-    """Sum of ``src`` over the (2r+1)² square round each pixel, clipped to the page: rows first, then columns."""
-    return _line_sum(_line_sum(pixels, src, "_s", r, along_row()), "_s", out, r, along_column()).drop("_s")
+def box_sums(pixels: DataFrame, cols: dict[str, str], r: int) -> DataFrame:
+    """Sums of several columns over the (2r+1)² square round each pixel, clipped to the page: rows first, then columns.
+
+    However many columns, the pixels are shuffled twice.
+    """
+    rows = _line_sums(pixels, {c: f"_s_{c}" for c in cols}, r, along_row())
+    return _line_sums(rows, {f"_s_{c}": name for c, name in cols.items()}, r, along_column()).drop(*[f"_s_{c}" for c in cols])
+
+
+def box_means(pixels: DataFrame, cols: dict[str, str], r: int) -> DataFrame:
+    """Means of several columns over the (2r+1)² square clipped to the page."""
+    area = _reach("x", "width", r) * _reach("y", "height", r)
+    summed = box_sums(pixels, {c: f"_b_{c}" for c in cols}, r)
+    return summed.withColumns({name: F.col(f"_b_{c}") / area for c, name in cols.items()}).drop(*[f"_b_{c}" for c in cols])
 
 
 def box_mean(pixels: DataFrame, src: str, r: int, out: str) -> DataFrame:
-    """Mean over the (2r+1)² square clipped to the page."""
-    return box_sum(pixels, src, r, "_sum").withColumn(
-        out, F.col("_sum") / (_reach("x", "width", r) * _reach("y", "height", r))).drop("_sum")
+    return box_means(pixels, {src: out}, r)
 
 
 def mask_morph(pixels: DataFrame, mask: str, r: int, how: str, out: str) -> DataFrame:
     """``dilate``, ``erode`` (outside counts as empty) or ``open`` a boolean column by a (2r+1) square."""
     df = pixels.withColumn("_m", F.col(mask).cast("int"))
     if how == "dilate":
-        return box_sum(df, "_m", r, "_n").withColumn(out, F.col("_n") > 0).drop("_m", "_n")
+        return box_sums(df, {"_m": "_n"}, r).withColumn(out, F.col("_n") > 0).drop("_m", "_n")
     full = (2 * r + 1) ** 2
-    df = box_sum(df, "_m", r, "_n").withColumn("_m", (F.col("_n") == full).cast("int")).drop("_n")
+    df = box_sums(df, {"_m": "_n"}, r).withColumn("_m", (F.col("_n") == full).cast("int")).drop("_n")
     if how == "erode":
         return df.withColumn(out, F.col("_m") == 1).drop("_m")
     # opening goes on along the columns it is already sorted by
-    back = _line_sum(_line_sum(df, "_m", "_s", r, along_column()), "_s", "_n", r, along_row())
+    back = _line_sums(_line_sums(df, {"_m": "_s"}, r, along_column()), {"_s": "_n"}, r, along_row())
     return back.withColumn(out, F.col("_n") > 0).drop("_m", "_s", "_n")
 
 
@@ -274,8 +284,8 @@ def streak_columns(pixels: DataFrame) -> DataFrame:
     whole = along_row().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.greatest(F.lit(0), F.lit(r) - F.col("x"))
     after = F.greatest(F.lit(0), F.col("x") + r - F.col("width") + 1)
+    df = _line_sums(df, {c: f"s{c}" for c in RGB}, r, along_row())
     for c in RGB:
-        df = _line_sum(df, c, f"s{c}", r, along_row())
         padded = F.col(f"s{c}") + before * F.first(c).over(whole) + after * F.last(c).over(whole)
         df = df.withColumn(f"o{c}", F.col(c) - padded / float(STREAK_WINDOW))
     cols = df.groupBy("page_id", "x", "width").agg(*[F.median(f"o{c}").alias(f"o{c}") for c in RGB])
