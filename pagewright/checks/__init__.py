@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("retrieval", "answers", "catalog", "store", "boxes", "raster", "regions", "keying", "gates", "copies", "logs", "streams")
+MODULES = ("retrieval", "answers", "catalog", "store", "boxes", "raster", "regions", "keying", "gates", "corpora", "copies", "logs", "streams")
 
 
 def load() -> tuple[dict, dict]:

@@ -121,31 +121,45 @@ def _(t):
 THIN_K = 40
 
 
-@check("near_dup_thin", f"""WITH RECURSIVE {VECTORS},
+WALK = f"""WITH RECURSIVE {VECTORS},
 ranking AS (SELECT label, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id % 1000000, vec_id) AS rank
             FROM vectors),
 walk AS (
-  SELECT DISTINCT label, 0::BIGINT AS pos, []::BIGINT[] AS ids, []::BIGINT[] AS ranks, []::DOUBLE[][] AS es FROM vectors
+  SELECT DISTINCT label, 0::BIGINT AS pos, NULL::BIGINT AS seen, NULL::BIGINT AS copy_of, []::BIGINT[] AS ids, []::BIGINT[] AS ranks, []::DOUBLE[][] AS es FROM vectors
   UNION ALL
-  SELECT w.label, r.rank,
+  SELECT w.label, r.rank, r.vec_id, CASE WHEN len(w.ids) < {THIN_K} AND first_near IS NOT NULL THEN w.ids[first_near] END,
     CASE WHEN ok THEN list_append(w.ids, r.vec_id) ELSE w.ids END,
     CASE WHEN ok THEN list_append(w.ranks, r.rank) ELSE w.ranks END,
     CASE WHEN ok THEN list_append(w.es, r.e) ELSE w.es END
   FROM walk w JOIN ranking r ON r.label = w.label AND r.rank = w.pos + 1,
-  LATERAL (SELECT len(w.ids) < {THIN_K}
-           AND len(list_filter(w.es, lambda q: list_dot_product(q, r.e) > 0.97)) = 0 AS ok)),
-last AS (SELECT label, ids, ranks FROM walk QUALIFY row_number() OVER (PARTITION BY label ORDER BY pos DESC) = 1)
-SELECT label AS prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank,
-       generate_subscripts(ids, 1) AS place FROM last""")
-def _(t):
+  LATERAL (SELECT list_position(list_transform(w.es, lambda q: list_dot_product(q, r.e) > 0.97), true) AS first_near),
+  LATERAL (SELECT len(w.ids) < {THIN_K} AND first_near IS NULL AS ok)),
+last AS (SELECT label, ids, ranks FROM walk QUALIFY row_number() OVER (PARTITION BY label ORDER BY pos DESC) = 1)"""
+
+
+def ranking(v):
     from pyspark.sql import Window
 
-    v = vectors(t)
     order = Window.partitionBy("label").orderBy(F.expr("vec_id % 1000000"), "vec_id")
-    ranking = v.select(
+    return v.select(
         F.col("label").alias("prompt_id"), F.col("vec_id").alias("entry_idx"), F.row_number().over(order).alias("rank")
     )
-    return ops.near_dup_thin(ranking, v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
+
+
+@check("near_dup_thin", f"""{WALK}
+SELECT label AS prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank,
+       generate_subscripts(ids, 1) AS place FROM last""")
+def _(t):
+    v = vectors(t)
+    return ops.near_dup_thin(ranking(v), v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
+
+
+@check("near_dup_pairs", f"""{WALK}
+SELECT label AS prompt_id, seen AS entry_idx, pos AS rank, copy_of AS kept_idx FROM walk WHERE copy_of IS NOT NULL""")
+def _(t):
+    v = vectors(t)
+    out = ops.near_dup_pairs(ranking(v), v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
+    return out.drop("cosine")
 
 
 @check("src_embeddings", """

@@ -167,3 +167,28 @@ def near_dup_thin(
         "prompt_id", F.col("item.entry_idx").alias("entry_idx"),
         F.col("item.rank").alias("rank"), (F.col("pos") + 1).alias("place"),
     )
+
+
+def near_dup_pairs(
+    ranking: DataFrame, vectors: DataFrame, k: int = TOP_K, limit: float = NEAR_DUPLICATE, pool: int | None = None
+) -> DataFrame:
+    """(prompt_id, entry_idx, rank, kept_idx, cosine): every entry the walk passed over and the kept one it repeats.
+
+    Only kept entries, at most ``k`` per prompt, are compared with others, so a heap of copies costs one row each and
+    never the pairs among themselves.
+    """
+    kept = cut(near_dup_thin(ranking, vectors, k, limit, pool))
+    e = vectors.select("entry_idx", "e")
+    # a walk that found k entries ends at the last of them, any other at the end of its ranking
+    ends = kept.groupBy("prompt_id").agg(F.when(F.count("*") >= k, F.max("rank")).alias("end"))
+    passed = (
+        ranking.select("prompt_id", "entry_idx", "rank").join(ends, "prompt_id").filter("end IS NULL OR rank < end")
+        .join(kept.select("prompt_id", "entry_idx"), ["prompt_id", "entry_idx"], "left_anti").join(e, "entry_idx")
+    )
+    have = kept.join(e, "entry_idx").groupBy("prompt_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "entry_idx", "e"))).alias("kept"))
+    near = F.element_at(F.filter(
+        F.transform("kept", lambda q: F.struct(q["rank"].alias("rank"), q["entry_idx"].alias("kept_idx"), cosine_unit(q["e"], F.col("e")).alias("cosine"))),
+        lambda q: (q["cosine"] > limit) & (q["rank"] < F.col("rank"))), 1)
+    return passed.join(have, "prompt_id").withColumn("n", near).select(
+        "prompt_id", "entry_idx", "rank", "n.kept_idx", "n.cosine")
