@@ -62,6 +62,8 @@ def sheet_pixels(t: Tables, boxes: DataFrame | None = None) -> DataFrame:
     """All pixels of all sheets. A sheet has at most one box per line number, so they fit in its row."""
     b = sheet_boxes(t) if boxes is None else boxes
     pages = b.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "x0", "y0", "x1", "y1"))).alias("all"))
+    # a few bytes per page become thousands of rows: a fixed number keeps AQE from packing all pages into one task
+    pages = pages.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     dots = (
         pages.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))))
         .withColumn("row", F.filter("all", lambda q: (q["y0"] <= F.col("y")) & (F.col("y") < q["y1"])))

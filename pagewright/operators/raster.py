@@ -37,6 +37,7 @@ PALETTE_SIZE = 16
 PALETTE_MERGE = 40
 PALETTE_SHARE = 0.01
 TRIM_ALPHA, TRIM_PAD = 12, 8
+SLIDING_REACH = 4
 SOLID_INK = 200
 
 
@@ -119,7 +120,13 @@ def key_colour_pick(pixels: DataFrame) -> DataFrame:
 
 
 def _line_sums(df: DataFrame, cols: dict[str, str], r: int, along) -> DataFrame:
-    """Sums over ``2r+1`` neighbours along a line, clipped at its ends, from running sums: constant work per pixel."""
+    """Sums over ``2r+1`` neighbours along a line, clipped at its ends.
+
+    Short reaches slide a frame; long ones take differences of running sums, constant work per pixel.
+    """
+    if r <= SLIDING_REACH:
+        near = along.rowsBetween(-r, r)
+        return df.withColumns({name: F.sum(c).over(near) for c, name in cols.items()})
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = df.withColumns({f"_u_{c}": F.sum(c).over(upto) for c in cols}).withColumns({f"_w_{c}": F.sum(c).over(whole) for c in cols})
