@@ -76,9 +76,7 @@ o2 AS (SELECT *, max(ox) {_frame(2, False)} AS o FROM o1)
 {line_sums_sql('o2', 'd', 'e', 'o')}""")
 def _(t):
     p = sheet_pixels(t).select("page_id", "y", "x", "width", "height", (F.col("a") > 96).alias("m"))
-    p = ops.mask_morph(p, "m", 2, "dilate", "d")
-    p = ops.mask_morph(p, "m", 2, "erode", "e")
-    p = ops.mask_morph(p, "m", 2, "open", "o")
+    p = ops.mask_morph(p, "m", 2, {"d": "dilate", "e": "erode", "o": "open"})
     return line_sums(p.select("page_id", "y", "x", *[F.col(c).cast("int").alias(c) for c in "deo"]), "d", "e", "o")
 
 

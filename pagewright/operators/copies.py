@@ -13,6 +13,7 @@ from ..functions.colour import RGB
 from ..session import cut, is_empty
 from . import ordered, raster
 from .boxes import SIZE_TOLERANCE, match_sizes
+from .tiles import surroundings, tile_map
 
 GRID = 16
 # fixed values: what counts as a copy
@@ -45,10 +46,10 @@ def piece_signature(pixels: DataFrame, boxes: DataFrame, grid: int = GRID) -> Da
     drawing. A signature's length is fixed, so gathering one never grows with the piece.
     """
     on_grey = {c: F.expr(f"({c} * a + {MID_GREY} * (255 - a)) div 255") for c in RGB}
-    p = pixels.select("page_id", "y", "x", "a", *[v.cast("int").alias(c) for c, v in on_grey.items()])
+    p = pixels.select("page_id", "y", "x", "height", "a", *[v.cast("int").alias(c) for c, v in on_grey.items()])
     p = p.withColumn("v", raster.grey())
-    p = raster.neighbours(p, "v", "n9").withColumn(
-        "e", F.least(F.lit(255), F.greatest(F.lit(0), 9 * F.col("v") - F.aggregate("n9", F.lit(0), lambda s, v: s + v)))).drop("n9", "v")
+    p = tile_map(p, ["v"], "e int", 1, lambda m: {
+        "e": np.clip(9 * m["v"].astype(np.int64) - surroundings(m["v"].astype(np.int64)).sum(0), 0, 255).astype(np.int32)}, keep=["a", *RGB])
     inside = raster.pixels_in_boxes(p, boxes)
     ink = inside.filter(F.col("a") > INK_ALPHA).groupBy("page_id", "box_id").agg(
         F.min("x").alias("ix0"), F.min("y").alias("iy0"), (F.max("x") + 1).alias("ix1"), (F.max("y") + 1).alias("iy1"))

@@ -7,10 +7,12 @@ row or one column of a page, which splits even a huge page into many tasks.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import RGB, grey
+from .tiles import dilated, eroded, ranked, square_mean, surroundings, tile_map
 
 # fixed values: border share and backdrop rules
 BORDER = 0.06
@@ -37,7 +39,6 @@ PALETTE_SIZE = 16
 PALETTE_MERGE = 40
 PALETTE_SHARE = 0.01
 TRIM_ALPHA, TRIM_PAD = 12, 8
-SLIDING_REACH = 4
 SOLID_INK = 200
 
 
@@ -120,13 +121,7 @@ def key_colour_pick(pixels: DataFrame) -> DataFrame:
 
 
 def _line_sums(df: DataFrame, cols: dict[str, str], r: int, along) -> DataFrame:
-    """Sums over ``2r+1`` neighbours along a line, clipped at its ends.
-
-    Short reaches slide a frame; long ones take differences of running sums, constant work per pixel.
-    """
-    if r <= SLIDING_REACH:
-        near = along.rowsBetween(-r, r)
-        return df.withColumns({name: F.sum(c).over(near) for c, name in cols.items()})
+    """Sums over ``2r+1`` neighbours along a line, clipped at its ends, from differences of running sums."""
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = df.withColumns({f"_u_{c}": F.sum(c).over(upto) for c in cols}).withColumns({f"_w_{c}": F.sum(c).over(whole) for c in cols})
@@ -136,65 +131,40 @@ def _line_sums(df: DataFrame, cols: dict[str, str], r: int, along) -> DataFrame:
     return w.withColumns(out).drop(*[f"_{k}_{c}" for k in "uw" for c in cols])
 
 
-def _reach(pos: str, size: str, r: int) -> Column:
-    return F.least(F.col(pos) + r, F.col(size) - 1) - F.greatest(F.col(pos) - r, F.lit(0)) + 1
-
-
-def box_sums(pixels: DataFrame, cols: dict[str, str], r: int) -> DataFrame:
-    """Sums of several columns over the (2r+1)² square round each pixel, clipped to the page: rows first, then columns.
-
-    However many columns, the pixels are shuffled twice.
-    """
-    rows = _line_sums(pixels, {c: f"_s_{c}" for c in cols}, r, along_row())
-    return _line_sums(rows, {f"_s_{c}": name for c, name in cols.items()}, r, along_column()).drop(*[f"_s_{c}" for c in cols])
-
-
 def box_means(pixels: DataFrame, cols: dict[str, str], r: int) -> DataFrame:
     """Means of several columns over the (2r+1)² square clipped to the page."""
-    area = _reach("x", "width", r) * _reach("y", "height", r)
-    summed = box_sums(pixels, {c: f"_b_{c}" for c in cols}, r)
-    return summed.withColumns({name: F.col(f"_b_{c}") / area for c, name in cols.items()}).drop(*[f"_b_{c}" for c in cols])
+    return tile_map(
+        pixels, list(cols), ", ".join(f"{name} double" for name in cols.values()), r,
+        lambda a: {name: square_mean(a[c], r) for c, name in cols.items()})
 
 
 def box_mean(pixels: DataFrame, src: str, r: int, out: str) -> DataFrame:
     return box_means(pixels, {src: out}, r)
 
 
-def mask_morph(pixels: DataFrame, mask: str, r: int, how: str, out: str) -> DataFrame:
-    """``dilate``, ``erode`` (outside counts as empty) or ``open`` a boolean column by a (2r+1) square."""
-    df = pixels.withColumn("_m", F.col(mask).cast("int"))
-    if how == "dilate":
-        return box_sums(df, {"_m": "_n"}, r).withColumn(out, F.col("_n") > 0).drop("_m", "_n")
-    full = (2 * r + 1) ** 2
-    df = box_sums(df, {"_m": "_n"}, r).withColumn("_m", (F.col("_n") == full).cast("int")).drop("_n")
-    if how == "erode":
-        return df.withColumn(out, F.col("_m") == 1).drop("_m")
-    # opening goes on along the columns it is already sorted by
-    back = _line_sums(_line_sums(df, {"_m": "_s"}, r, along_column()), {"_s": "_n"}, r, along_row())
-    return back.withColumn(out, F.col("_n") > 0).drop("_m", "_s", "_n")
+def mask_morph(pixels: DataFrame, mask: str, r: int, steps: dict[str, str]) -> DataFrame:
+    """Boolean columns made of a mask by a (2r+1) square: ``steps`` maps a new column to dilate, erode or open.
 
-
-def square_rank(pixels: DataFrame, src: str, r: int, steps: str, out: str) -> DataFrame:
-    """Grey minima and maxima over clipped squares, one per letter of ``steps`` (``m`` or ``M``).
-
-    Directions alternate so that each step starts along the lines the one before left off with.
+    Outside the page counts as empty. However many are asked for, the pixels move once.
     """
-    df = pixels.withColumn("_v", F.col(src))
-    lines = [along_row(), along_column()]
-    for s in steps:
-        fn = F.min if s == "m" else F.max
-        for along in lines:
-            df = df.withColumn("_v", fn("_v").over(along.rowsBetween(-r, r)))
-        lines.reverse()
-    return df.withColumn(out, F.col("_v")).drop("_v")
+    def work(a):
+        thin = eroded(a[mask], r)
+        made = {"dilate": lambda: dilated(a[mask], r), "erode": lambda: thin, "open": lambda: dilated(thin, r)}
+        return {name: made[how]() for name, how in steps.items()}
 
+    return tile_map(pixels, [mask], ", ".join(f"{name} boolean" for name in steps), 2 * r, work)
 
-def neighbours(pixels: DataFrame, src: str, out: str) -> DataFrame:
-    """Array of the 3×3 values round each pixel, row by row; a page's edge repeats itself."""
-    def three(c, along):
-        return F.array(F.coalesce(F.lag(c).over(along), F.col(c)), F.col(c), F.coalesce(F.lead(c).over(along), F.col(c)))
 
-    return pixels.withColumn("_h", three(src, along_row())).withColumn(out, F.flatten(three("_h", along_column()))).drop("_h")
+def square_rank(pixels: DataFrame, src: str, r: int, steps: str, out: str) -> DataFrame:
+    """Grey minima and maxima over clipped squares one after another, a letter of ``steps`` each (``m`` or ``M``)."""
+    def work(a):
+        v = a[src]
+        for s in steps:
+            v = ranked(v, r, s == "M")
+        return {out: v}
+
+    kind = dict(pixels.dtypes)[src]
+    return tile_map(pixels, [src], f"{out} {kind}", r * len(steps), work)
 
 
 def trim_box(pixels: DataFrame, pad: int = TRIM_PAD) -> DataFrame:
@@ -241,12 +211,16 @@ def sharpness_blockiness(pixels: DataFrame, carrier: DataFrame) -> DataFrame:
 def ink_grain(pixels: DataFrame, backdrop: DataFrame) -> DataFrame:
     """Mean distance of flat ink to its 3×3 median, away from edges; 0 under 500 such pixels."""
     p = pixels.withColumn("v", grey()).select("page_id", "y", "x", "width", "height", "v", *RGB)
-    p = neighbours(p, "v", "n9")
-    inside = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("width") - 1) & (F.col("y") < F.col("height") - 1)
-    lap = 9 * F.col("v") - F.aggregate("n9", F.lit(0), lambda s, v: s + v)
-    edge = F.when(inside, F.greatest(F.lit(0), lap)).otherwise(F.col("v")) > GRAIN_EDGE
-    p = p.withColumn("median", F.element_at(F.array_sort("n9"), 5)).withColumn("edge", edge).drop("n9")
-    p = mask_morph(p, "edge", 2, "dilate", "near_edge")
+
+    def work(a):
+        v = a["v"].astype(np.int64)
+        near = surroundings(v)
+        line, col = np.indices(v.shape)
+        rim = (col == 0) | (col == v.shape[1] - 1) | (line + a["y"].min() == 0) | (line + a["y"].min() == a["height"].max() - 1)
+        edge = np.where(rim, v, np.clip(9 * v - near.sum(0), 0, None)) > GRAIN_EDGE
+        return {"median": np.sort(near, 0)[4].astype(np.int32), "near_edge": dilated(edge, 2)}
+
+    p = tile_map(p, ["v", "y", "height"], "median int, near_edge boolean", 3, work, keep=["v", *RGB])
     off = F.greatest(*[F.abs(F.col(c) - F.col(f"c{c}")) for c in RGB])
     flat = (off > GRAIN_INK) & ~F.col("near_edge")
     m = p.join(backdrop, "page_id").groupBy("page_id").agg(
