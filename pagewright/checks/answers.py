@@ -130,10 +130,8 @@ def priced(t: Tables):
         F.col("conv_id").alias("cache_read_input_tokens"), F.col("turn").alias("cache_creation_input_tokens"),
     )
     # one known model; the others are unknown (default price) or local (free)
-    prices = t.region.limit(1).select(
-        F.lit("small-1").alias("model"), F.lit(2.0).alias("price_in"), F.lit(10.0).alias("price_out"),
-        F.lit(0.2).alias("price_cache_read"),
-    )
+    prices = t.spark.createDataFrame(
+        [("small-1", 2.0, 10.0, 0.2)], "model string, price_in double, price_out double, price_cache_read double")
     return ops.price_join(usage, prices, batch=F.col("pass") == 2)
 
 

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from .fold import ordered_fold
 
 # fixed values: resolutions, grouping distance and scale presets
@@ -26,6 +27,8 @@ HALVES_TOLERANCE = 0.08
 HALVES_SHARE = 0.2
 OWNER_SLACK = 4
 PIECE_DPI = 300.0
+SLICE_PX = 256
+FOLD_WHOLE = 100_000
 LETTER_MIN, LETTER_MAX, LETTER_LONG, LETTERS_NEEDED = 9, 90, 4, 5
 
 
@@ -262,11 +265,23 @@ def letter_size(pieces: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- order and layout
 
 
+def _by_weight(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ordinary pages, pages with so many rows that one fold would hold a task up)."""
+    heavy = df.groupBy("page_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > FOLD_WHOLE).select("page_id")
+    return df.join(heavy, "page_id", "left_anti"), df.join(heavy, "page_id", "left_semi")
+
+
+def _islands(df: DataFrame, order: list[Column], starts: Column) -> DataFrame:
+    """Adds ``island``: a running count, per page, of rows that certainly begin something new. ``df`` carries slices."""
+    return ordered.running_sum(df, ["page_id"], order, starts.cast("int"), "island")
+
+
 def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
     """Adds ``row_no`` and ``order_no``: rows top to bottom, then left to right.
 
     A box joins the running row when it overlaps its growing band by more than 40 % of the smaller
-    height. The band makes this a fold over the boxes in (y0, x0) order.
+    height. The band makes this a fold over the boxes in (y0, x0) order. But a box below everything before it
+    always starts a row, so a page too heavy for one fold is shared out in the islands between such boxes.
     """
     def step(state, row):
         y0, y1 = row
@@ -275,9 +290,23 @@ def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
             return (n, min(top, y0), max(low, y1)), (n,)
         return (n + 1, y0, y1), (n + 1,)
 
-    rows = ordered_fold(boxes, ["page_id"], ["y0", "x0", "box_id"], lambda: (0, 0, 0), step, ["y0", "y1"], "row_no int")
-    by = Window.partitionBy("page_id").orderBy("row_no", "x0", "y0", "box_id")
-    out = rows.withColumn("order_no", F.row_number().over(by))
+    order, down = ["y0", "x0", "box_id"], [F.col("y0"), F.col("x0"), F.col("box_id")]
+    across = [F.col("row_no"), F.col("x0"), F.col("y0"), F.col("box_id")]
+    whole, heavy = _by_weight(boxes)
+    plain = ordered_fold(whole, ["page_id"], order, lambda: (0, 0, 0), step, ["y0", "y1"], "row_no int").withColumn(
+        "order_no", F.row_number().over(Window.partitionBy("page_id").orderBy(*across)))
+
+    sliced = heavy.withColumn(ordered.SLICE, F.floor(F.col("y0") / SLICE_PX))
+    lowest = ordered.running_max(sliced, ["page_id"], down, F.col("y1"), "_low")
+    above = ordered.previous(lowest, ["page_id"], down, F.col("_low"), "_above")
+    shared = _islands(above, down, F.col("_above").isNull() | (F.col("y0") >= F.col("_above"))).select(*boxes.columns, "island")
+    rows = ordered_fold(shared, ["page_id", "island"], order, lambda: (0, 0, 0), step, ["y0", "y1"], "_row int")
+    before = Window.partitionBy("page_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    per_island = rows.groupBy("page_id", "island").agg(F.max("_row").alias("_rows")).select(
+        "page_id", "island", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.join(per_island, ["page_id", "island"]).withColumn("row_no", (F.col("_before") + F.col("_row")).cast("int"))
+    placed = ordered.number_rows(numbered.withColumn(ordered.SLICE, F.col("island")), ["page_id"], across, "order_no")
+    out = plain.unionByName(placed.select(*boxes.columns, "row_no", F.col("order_no").cast("int").alias("order_no")))
     return out if first_n is None else out.filter(F.col("order_no") <= first_n)
 
 
@@ -309,15 +338,22 @@ def text_rows(pieces: DataFrame, page_ink: DataFrame) -> DataFrame:
             return (n, (mean * count + cy) / (count + 1), count + 1), (n,)
         return (n + 1, cy, 1), (n + 1,)
 
-    rows = ordered_fold(centred, ["page_id"], ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
-    stats = rows.groupBy("page_id", "row_no").agg(
+    # a centre further than the reach below the one before it starts a row whatever the running mean is
+    across = [F.col("cy"), F.col("piece_id")]
+    whole, heavy = _by_weight(centred)
+    prior = ordered.previous(heavy.withColumn(ordered.SLICE, F.floor(F.col("cy") / SLICE_PX)), ["page_id"], across, F.col("cy"), "_prior")
+    shared = _islands(prior, across, F.col("_prior").isNull() | (F.col("cy") - F.col("_prior") > 0.6 * F.col("med_h")))
+    rows = ordered_fold(
+        whole.withColumn("island", F.lit(0).cast("long")).unionByName(shared.select(*centred.columns, "island")), ["page_id", "island"],
+        ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
+    stats = rows.groupBy("page_id", "island", "row_no").agg(
         F.count("*").alias("items"), F.bool_or(F.expr("w >= 2.5 * h")).alias("wordy"),
         (F.max("y1") - F.min("y0")).alias("row_h"), F.sum("area").alias("row_area"),
         *[(F.sum(F.col(c) * F.col("area")) / F.sum("area")).alias(f"m{c}") for c in "rgb"],
     )
-    kept = rows.join(stats, ["page_id", "row_no"]).filter("(items >= 2 OR wordy) AND row_h >= 0.5 * med_h").withColumn(
+    kept = rows.join(stats, ["page_id", "island", "row_no"]).filter("(items >= 2 OR wordy) AND row_h >= 0.5 * med_h").withColumn(
         "near", F.expr("sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) <= 80"))
-    per_row = kept.groupBy("page_id", "row_no").agg(
+    per_row = kept.groupBy("page_id", "island", "row_no").agg(
         F.coalesce(F.sum(F.when(F.col("near"), F.col("area"))), F.first("row_area")).alias("ink"))
     found = per_row.groupBy("page_id").agg(F.sum("ink").alias("ink"), F.count("*").alias("lines"))
     share = F.coalesce(F.col("ink"), F.lit(0)) / F.col("total")

@@ -293,8 +293,11 @@ def destripe(pixels: DataFrame) -> DataFrame:
     pick = sides.select("page_id", F.col("x").alias("to_x"), F.explode(F.array_compact(F.array("l", "r"))).alias("x"))
     fill = pixels.join(pick, ["page_id", "x"]).groupBy("page_id", "y", F.col("to_x").alias("x")).agg(
         *[F.floor(F.avg(c)).cast("int").alias(f"f{c}") for c in RGB])
-    joined = pixels.join(fill, ["page_id", "y", "x"], "left")
-    return joined.select(*[F.coalesce(f"f{c}", c).cast(dict(pixels.dtypes)[c]).alias(c) if c in RGB else F.col(c) for c in pixels.columns])
+    # only pixels of flagged columns meet the fill; all others pass by
+    hot = pixels.join(flags.select("page_id", "x"), ["page_id", "x"], "left_semi").join(fill, ["page_id", "y", "x"], "left")
+    kinds = dict(pixels.dtypes)
+    mended = hot.select(*[F.coalesce(f"f{c}", c).cast(kinds[c]).alias(c) if c in RGB else F.col(c) for c in pixels.columns])
+    return pixels.join(flags.select("page_id", "x"), ["page_id", "x"], "left_anti").select(*pixels.columns).unionByName(mended)
 
 
 # ---------------------------------------------------------------- colours of boxes

@@ -70,6 +70,21 @@ def test_text_rows(spark):
     assert got[1]["share"] == pytest.approx(540 / 550) and not got[2]["text"]
 
 
+def test_heavy_pages_read_the_same(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for p in (1, 2):
+        for i in range(150):
+            x, y = rnd.randint(0, 900), rnd.randint(0, 2500)
+            rows.append((p, i, x, y, x + rnd.randint(5, 80), y + rnd.randint(5, 40)))
+    df = spark.createDataFrame(rows, "page_id int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    plain = B.reading_order(df).collect()
+    monkeypatch.setattr(B, "FOLD_WHOLE", 10)
+    assert sorted(plain) == sorted(B.reading_order(df).collect())
+
+
 def test_owner_prefers_the_smallest_whole_box(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0, 200, 200), (1, 2, 50, 50, 90, 90)], "page_id int, box_id int, x0 int, y0 int, x1 int, y1 int")
     pieces = spark.createDataFrame([(1, 7, 55, 55, 80, 80), (1, 8, 10, 10, 20, 20), (1, 9, 190, 190, 400, 400)],
