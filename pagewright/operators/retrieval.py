@@ -61,23 +61,29 @@ def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
-def _fallback(entries: DataFrame, prompts: DataFrame, scores: DataFrame, k: int, require_ref: bool) -> DataFrame:
+def _or_first(entries: DataFrame, prompts: DataFrame, best: DataFrame, k: int, require_ref: bool) -> DataFrame:
+    """``best`` with the first ``k`` entries for every prompt it says nothing about.
+
+    The prompts are laid over the result once, so scoring is not run a second time to find who went without.
+    """
+    cols = [c for c in best.columns if c != "prompt_id"]
     eligible = entries.filter("has_ref") if require_ref else entries
-    first = (
-        eligible.select("entry_idx").orderBy("entry_idx").limit(k)
-        .agg(F.array_sort(F.collect_list("entry_idx")))
-    )
-    unmatched = prompts.select("prompt_id").join(scores.select("prompt_id").distinct(), "prompt_id", "left_anti")
-    return unmatched.select("prompt_id", F.posexplode(first.scalar()).alias("pos", "entry_idx")).select(
-        "prompt_id", "entry_idx", F.lit(0).cast("long").alias("score"), (F.col("pos") + 1).alias("rank")
-    )
+    first = eligible.select("entry_idx").orderBy("entry_idx").limit(k).agg(F.array_sort(F.collect_list("entry_idx")))
+
+    def instead(entry, pos):
+        values = {"entry_idx": entry, "score": F.lit(0).cast("long")}
+        return F.struct(*[values.get(c, pos + 1).alias(c) for c in cols])
+
+    laid = prompts.select("prompt_id").join(best, "prompt_id", "left").withColumn("_first", first.scalar())
+    rows = F.when(F.col("entry_idx").isNotNull(), F.array(F.struct(*cols))).otherwise(F.transform("_first", instead))
+    return laid.select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
 
 
 def retrieve_topk(entries: DataFrame, prompts: DataFrame, k: int = TOP_K, require_ref: bool = True) -> DataFrame:
     """The best ``k`` entries per prompt; a prompt that matches nothing gets the first ``k``."""
     scores = keyword_score(retrieve_join(entries, prompts, require_ref))
     best = ranked(scores, k).select("prompt_id", "entry_idx", "score", "rank")
-    return best.unionByName(_fallback(entries, prompts, scores, k, require_ref))
+    return _or_first(entries, prompts, best, k, require_ref)
 
 
 def walk_score(entries: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -106,9 +112,7 @@ def seeded_draw(entries: DataFrame, prompts: DataFrame, seed: int, k: int = TOP_
         md5_order(F.lit(seed), F.col("prompt_id"), F.col("entry_idx")), "entry_idx"
     )
     drawn = pool.withColumn("draw", F.row_number().over(by)).filter(F.col("draw") <= k)
-    rest = _fallback(entries, prompts, scores, k, require_ref).withColumn("draw", F.col("rank"))
-    cols = ["prompt_id", "entry_idx", "score", "rank", "draw"]
-    return drawn.select(*cols).unionByName(rest.select(*cols))
+    return _or_first(entries, prompts, drawn.select("prompt_id", "entry_idx", "score", "rank", "draw"), k, require_ref)
 
 
 def _keep(kept: Column, nxt: Column, k: int, limit: float) -> Column:
