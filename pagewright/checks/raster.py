@@ -8,7 +8,7 @@ from ..functions.colour import channels_of, hex_of
 from ..operators import raster as ops
 from ..sources import images
 from .registry import check
-from .sheets import BORDER_SQL, BOXES_SQL, CHANNELS, HEIGHT, PIXELS_SQL, WIDTH, carriers, line_sums, line_sums_sql, sheet_boxes, sheet_pixels
+from .sheets import BORDER_SQL, HEIGHT, PIXELS_SQL, WIDTH, carriers, line_sums, line_sums_sql, sheet_boxes, sheet_pixels
 
 WITH = f"WITH {PIXELS_SQL}"
 GREY = "((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16)"

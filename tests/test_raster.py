@@ -46,8 +46,7 @@ def test_regions_of_a_spiral_and_of_specks(spark):
             y, x = y + dy, x + dx
             m[y, x] = True
         dy, dx = dx, -dy
-        if dx == 0 or True:
-            run -= 1 if dy == 0 else 1
+        run -= 1
     rgba = np.zeros((n, n, 4), int)
     rgba[..., 3] = m * 255
     specks = np.zeros((30, 30, 4), int)
