@@ -179,8 +179,11 @@ def _within(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return over_batches(both, keep, "a long, b long, na long, nb long")
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents ``wanted`` (doc_id) names: a fixed-size filter spares the others the work."""
+def _of_wanted(docs: DataFrame, k: int, wanted: DataFrame, name: str, form) -> DataFrame:
+    """(doc_id, ``name``) of the documents ``wanted`` (doc_id) names: ``form`` of each one's shingle hashes.
+
+    A fixed-size filter spares the other documents the work.
+    """
     filled = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("doc_id").alias("h")), "h"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,30 +192,62 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             b = b.filter(pa.array(bloom.holds(filled.value, b.column("h").to_numpy())))
             for row, data, bounds in text_blocks(b.column("text")):
                 h, owner = shingler.sets(data, bounds)
-                n = np.bincount(owner, minlength=len(bounds) - 1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(n)), binaries(h.view(np.uint8), n * 8)], ["doc_id", "shingles"])
+                cuts = np.searchsorted(owner, np.arange(len(bounds)))
+                out = [form(h[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(out)), pa.array(out, pa.binary())], ["doc_id", name])
+
+    named = docs.filter("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    return over_batches(named, read, f"doc_id long, {name} binary").join(wanted, "doc_id", "left_semi")
+
+
+def fine_point(h: np.ndarray) -> np.ndarray:
+    """A point with about four shingles to an axis; axes are low bits, so that a finer point folds into a coarser one."""
+    axes = 1 << max(3, int(np.ceil(np.log2(max(1, len(h)) / 4))))
+    return np.bincount((h & np.uint64(axes - 1)).astype(np.int64), minlength=axes).astype("<u2")
 
-    return over_batches(docs.filter("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")), read, "doc_id long, shingles binary").join(wanted, "doc_id", "left_semi")
 
+def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed coordinate minima of two fine points, on the axes of the coarser."""
+    axes = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, axes).sum(axis=0, dtype=np.int64), y.reshape(-1, axes).sum(axis=0, dtype=np.int64)).sum())
 
-def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+
+def _paired(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    return pairs.join(values.select(F.col("doc_id").alias("a"), F.col(name).alias("va")), "a").join(
+        values.select(F.col("doc_id").alias("b"), F.col(name).alias("vb")), "b")
+
+
+def _keep_pairs(both: DataFrame, kind: str, links) -> DataFrame:
+    """The pairs (a, b) whose values, read as arrays of ``kind``, satisfy ``links``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                one = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(one[1:] == one[:-1]))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
+            ok = [links(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(batch.column("va"), batch.column("vb"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return over_batches(both, check, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def _linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: first by fine points, a sixteenth of the bytes, then by whole shingle sets."""
+
+    def may(x: np.ndarray, y: np.ndarray) -> bool:
+        return bool(may_link(fine_bound(x, y), x.sum(dtype=np.int64), y.sum(dtype=np.int64), percent))
+
+    def does(x: np.ndarray, y: np.ndarray) -> bool:
+        one = np.sort(np.concatenate([x, y]))
+        same = int(np.count_nonzero(one[1:] == one[:-1]))
+        return 100 * same >= percent * (len(x) + len(y) - same)
+
+    near = cut(_keep_pairs(_paired(pairs, _of_wanted(docs, k, _ends(pairs), "fine", fine_point), "fine"), "<u2", may))
+    sets = _of_wanted(docs, k, _ends(near), "shingles", lambda h: h)
+    return cut(_keep_pairs(_paired(near, sets, "shingles"), "<u8", does))
+
+
 def _search(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that the R-tree lets through, from rows (key, lo, hi, side, doc_id, n, comp, point).
 
@@ -312,8 +347,3 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     return points.select("doc_id", "n").join(verdict, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> DataFrame:
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return cut(_verify(_sets(docs, k, ends), pairs, percent))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, winnow
+from . import hosts, jaccard, labelled, packing, positive, subword, tokens, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file, installed alike on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
 
@@ -80,3 +87,58 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(cuts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+
+
+def judged(scores: DataFrame, at: float) -> DataFrame:
+    return scores.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(subword.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(positive.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
+HOSTS_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)
+), r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+), rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1
+), dl AS (
+    SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1
+), m AS (
+    SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+           (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY 1
+), fit AS (SELECT sum(f) / sum(n) AS mean, var_pop(f / n) AS spread, avg(1 / n) AS inv FROM h
+), st AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * inv > 0 THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * inv) - 1, 2), 10000) ELSE 10000 END AS s FROM fit
+), v AS (SELECT source, (f + mean * s) / (n + s) > 0.5 AS bad FROM h, st)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@query(HOSTS_SQL)
+def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.quality_verdicts(table(spark, sf_dir, "documents"), host="source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
