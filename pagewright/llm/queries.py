@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, jaccard, labelled, packing, positive, subword, tokens, winnow
+from . import chat, extract, hosts, jaccard, labelled, packing, positive, subword, tokens, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,54 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.quality_verdicts(table(spark, sf_dir, "documents"), host="source").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), s AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p
+), f AS (SELECT payload_digest, min(page_id) AS first FROM s WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, s.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM s LEFT JOIN f ON f.payload_digest = s.payload_digest AND payload_bytes >= 100
+"""
+
+
+@query(WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.stored(warc.bundles(table(spark, sf_dir, "pages")))
+    return warc.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+CHAT_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, length(regexp_replace(text, '(\\|\[INST\]|\[/INST\]|\[OUT\]|</s>|\[ROLE\]|\[/ROLE\]|\[END\])', '_\1', 'g')) AS tn,
+           length(regexp_replace(role, '(\\|\[INST\]|\[/INST\]|\[OUT\]|</s>|\[ROLE\]|\[/ROLE\]|\[END\])', '_\1', 'g')) AS rn FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(tn + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE rn + 18 END)::BIGINT AS formatted_chars
+FROM e GROUP BY 1
+"""
+
+
+@query(CHAT_SQL)
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    back = chat.read_back(chat.formatted(rows))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
