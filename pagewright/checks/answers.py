@@ -24,13 +24,13 @@ def _js(col: str) -> str:
 
 
 REQUESTS = f"""
-turns AS (SELECT conv_id, turn, text, {_js('text')} AS js,
+turns AS (SELECT conv_id, turn, text, {_js('text')} AS js, {_js('role')} AS jr,
    CASE conv_id % 3 WHEN 0 THEN 'large-1' WHEN 1 THEN 'small-1' ELSE 'ollama:tiny' END AS model
-   FROM conversations WHERE role = 'user'),
+   FROM conversations),
 requests AS (SELECT (conv_id * 100 + turn) * 10 + pass AS seq, conv_id, turn, model, pass, text,
    length(text)::BIGINT AS input_tokens, (length(text) // 4)::BIGINT AS output_tokens,
    CASE WHEN (conv_id * 7 + turn) % 17 = 0 THEN 'refusal' ELSE 'end_turn' END AS stop_reason,
-   sha256('{{"max_tokens": 300, "messages": [{{"content": ' || js || ', "role": "user"}}], "model": "' || model || '"}}') AS key
+   sha256('{{"max_tokens": 300, "messages": [{{"content": ' || js || ', "role": ' || jr || '}}], "model": "' || model || '"}}') AS key
    FROM turns, (SELECT unnest([1, 2]) AS pass)),
 answers AS (SELECT key, any_value('re: ' || text) AS text FROM requests
             WHERE conv_id % 4 = 0 AND stop_reason <> 'refusal' GROUP BY key)
@@ -39,8 +39,8 @@ answers AS (SELECT key, any_value('re: ' || text) AS text FROM requests
 
 def requests(t: Tables):
     model = F.expr("CASE conv_id % 3 WHEN 0 THEN 'large-1' WHEN 1 THEN 'small-1' ELSE 'ollama:tiny' END")
-    message = json_object({"role": F.lit('"user"'), "content": json_string(F.col("text"))})
-    turns = t.conversations.filter("role = 'user'").withColumn("model", model).withColumn("messages", json_array(message))
+    message = json_object({"role": json_string(F.col("role")), "content": json_string(F.col("text"))})
+    turns = t.conversations.withColumn("model", model).withColumn("messages", json_array(message))
     twice = turns.withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2))))
     payload = F.create_map(
         F.lit("model"), json_string(F.col("model")), F.lit("max_tokens"), F.lit("300"),

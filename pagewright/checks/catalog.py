@@ -50,21 +50,30 @@ def _(t):
     return ops.manifest_audit(m, required, remote)
 
 
-@check("ledger_audit", """
-WITH f AS (SELECT DISTINCT l_partkey AS entry FROM lineitem WHERE l_returnflag <> 'R'),
-l AS (SELECT p_partkey + p_partkey % 2 AS entry, CASE WHEN p_size > 20 THEN p_name END AS covered_by FROM part WHERE p_partkey % 2 = 0
-      UNION ALL SELECT -p_partkey - 1, p_name FROM part WHERE p_size = 1)
-SELECT count(f.entry) AS entry_points, count(*) FILTER (l.entry IS NULL) AS unlisted, count(*) FILTER (f.entry IS NULL) AS stale,
-  count(*) FILTER (f.entry IS NOT NULL AND covered_by IS NOT NULL) AS covered, false AS holds
-FROM f FULL JOIN l ON f.entry = l.entry""")
+def _ledger_sql(ledger: str, ratchet: int) -> str:
+    return f"""WITH f AS (SELECT DISTINCT l_partkey AS entry FROM lineitem), l AS ({ledger}),
+c AS (SELECT count(f.entry) AS entry_points, count(*) FILTER (l.entry IS NULL) AS unlisted, count(*) FILTER (f.entry IS NULL) AS stale,
+  count(*) FILTER (f.entry IS NOT NULL AND covered_by IS NOT NULL) AS covered FROM f FULL JOIN l ON f.entry = l.entry)
+SELECT *, unlisted = 0 AND stale = 0 AND covered >= {ratchet} AS holds FROM c"""
+
+
+_SHIFTED = "SELECT p_partkey + p_partkey % 3 AS entry, CASE WHEN p_size > 20 THEN p_name END AS covered_by FROM part"
+
+
+@check("ledger_audit", _ledger_sql("SELECT entry, max(covered_by) AS covered_by FROM (" + _SHIFTED + ") GROUP BY 1", 1))
 def _(t):
-    found = t.lineitem.filter("l_returnflag <> 'R'").select(F.col("l_partkey").alias("entry")).distinct()
-    ledger = t.part.filter("p_partkey % 2 = 0").selectExpr(
-        "p_partkey AS entry", "CASE WHEN p_size > 20 THEN p_name END AS covered_by"
-    ).unionByName(t.part.filter("p_size = 1").selectExpr("-p_partkey - 1 AS entry", "p_name AS covered_by"))
+    found = t.lineitem.select(F.col("l_partkey").alias("entry")).distinct()
+    ledger = t.part.selectExpr("p_partkey + p_partkey % 3 AS entry", "CASE WHEN p_size > 20 THEN p_name END AS covered_by").groupBy("entry").agg(
+        F.max("covered_by").alias("covered_by"))
     return ops.ledger_audit(found, ledger, ratchet=1)
 
 
+@check("ledger_audit_holds", _ledger_sql("SELECT l_partkey AS entry, max(l_returnflag) AS covered_by FROM lineitem GROUP BY 1", 10))
+def _(t):
+    found = t.lineitem.select(F.col("l_partkey").alias("entry")).distinct()
+    return ops.ledger_audit(found, t.lineitem.groupBy(F.col("l_partkey").alias("entry")).agg(F.max("l_returnflag").alias("covered_by")), ratchet=10)
+
+
 _SENTINELS = ", ".join(f"'{s}'" for s in ops.SENTINELS)
 
 
@@ -141,7 +150,7 @@ SELECT p_partkey, tag, array_to_string(ver, '.') AS version, ver > [1, 25, 4, 0]
 def _(t):
     tags = t.part.select("p_partkey", F.expr(TAGS).alias("tag"))
     out = ops.version_compare(tags, current="1.25.4", skipped=("v2.32.7",))
-    return out.withColumn("version", F.array_join(F.transform("version", lambda v: v.cast("string")), "."))
+    return out.withColumn("version", F.array_join(F.transform("version", lambda v: v["digits"]), "."))
 
 
 SWEEPS = """

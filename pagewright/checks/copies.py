@@ -116,14 +116,14 @@ def _(t):
 
 
 @check("sheet_compose", f"""WITH {BOXES},
-parts AS (SELECT page_id, box_id, x0, y0, d.range AS dy, e.range AS dx FROM boxes, range(12) d, range(12) e WHERE e.range < x1 - x0 AND d.range < y1 - y0),
+parts AS (SELECT page_id, box_id, x0, y0, d.range AS dy, e.range AS dx FROM boxes, LATERAL (SELECT unnest(range((y1 - y0)::BIGINT)) AS range) d, LATERAL (SELECT unnest(range((x1 - x0)::BIGINT)) AS range) e),
 placed AS (SELECT page_id, box_id, round_even(y0 * 0.5, 0)::INT + dy AS y, round_even(x0 * 0.5, 0)::INT + dx AS x, (dy * 5 + box_id) % 256 AS r, (dx * 7) % 256 AS g, 9 AS b, (dx + dy) % 4 * 85 AS a FROM parts),
 top AS (SELECT page_id, y, x, max(box_id) AS box_id, arg_max(r, box_id) AS r, arg_max(g, box_id) AS g, arg_max(a, box_id) AS a FROM placed WHERE a > 0 GROUP BY ALL)
 SELECT page_id, count(*) AS pixels, sum((box_id + r + g + a) * (x + 1))::BIGINT AS by_x, sum((box_id + r + g + a) * (y + 1))::BIGINT AS by_y FROM top GROUP BY page_id""")
 def _(t):
     b = boxes(t)
-    parts = b.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(11)))).filter(
-        "x < x1 - x0 AND y < y1 - y0").select(
+    parts = b.filter("x1 > x0 AND y1 > y0").withColumn("y", F.explode(F.expr("sequence(0, y1 - y0 - 1)"))).withColumn(
+        "x", F.explode(F.expr("sequence(0, x1 - x0 - 1)"))).select(
         "page_id", "box_id", "y", "x", F.expr("cast((y * 5 + box_id) % 256 AS int)").alias("r"), F.expr("(x * 7) % 256").alias("g"), F.lit(9).alias("b"),
         F.expr("(x + y) % 4 * 85").alias("a"))
     v = F.col("box_id") + F.col("r") + F.col("g") + F.col("a")
@@ -141,4 +141,17 @@ SELECT clip, arg_min(start, (gap, start, stop))::INT AS start, arg_min(stop, (ga
 def _(t):
     by = Window.partitionBy("label").orderBy("vec_id")
     frames = t.embeddings.select(F.col("label").alias("clip"), (F.row_number().over(by) - 1).alias("frame_no"), F.col("embedding").alias("e"))
-    return ops.loop_cut(frames).withColumn("gap", F.round("gap", 6))
+    return ops.loop_cut(frames, 8, 48).withColumn("gap", F.round("gap", 6))
+
+
+@check("loop_cut_long", """
+WITH f AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+s AS (SELECT *, coalesce(list_sum(list_transform(list_zip(lag(e) OVER w, e), lambda p: abs(p[1] - p[2]))) / len(e), 0) AS step FROM f WINDOW w AS (PARTITION BY clip ORDER BY n)),
+p AS (SELECT *, sum(step) OVER (PARTITION BY clip ORDER BY n) AS path, sum(step) OVER (PARTITION BY clip) / (count(*) OVER (PARTITION BY clip) - 1) AS usual FROM s),
+j AS (SELECT a.clip, a.n AS start, b.n AS stop, list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))) / len(a.e) AS gap
+  FROM p a JOIN p b ON a.clip = b.clip AND b.n - a.n BETWEEN 20 AND 150 WHERE (b.path - a.path) / (b.n - a.n) >= 0.6 * a.usual)
+SELECT clip, arg_min(start, (gap, start, stop))::INT AS start, arg_min(stop, (gap, start, stop))::INT AS stop, round(min(gap), 6) AS gap FROM j GROUP BY clip""")
+def _(t):
+    by = Window.partitionBy("label").orderBy("vec_id")
+    frames = t.embeddings.select(F.col("label").alias("clip"), (F.row_number().over(by) - 1).alias("frame_no"), F.col("embedding").alias("e"))
+    return ops.loop_cut(frames, 20, 150).withColumn("gap", F.round("gap", 6))

@@ -219,15 +219,16 @@ def _(t):
 
 
 @check("src_pages_image", """
-WITH raw AS (SELECT page_id, hex(encode(html)) AS h FROM pages),
-img AS (SELECT page_id, h, 16 AS width, length(h) // 2 // 48 AS height FROM raw),
+WITH raw AS (SELECT page_id, hex(encode(html)) AS x, (length(hex(encode(html))) + 95) // 96 AS height FROM pages),
+img AS (SELECT page_id, rpad(x, (height * 96)::INT, '0') AS h, 16 AS width, height FROM raw),
 px AS (SELECT page_id, h, width, height, unnest(range(width * height)) AS i FROM img)
 SELECT 'page_' || page_id AS label, (i // 16)::INT AS y, (i % 16)::INT AS x,
   ('0x' || substr(h, (i * 6 + 5)::INT, 2))::INT AS r, ('0x' || substr(h, (i * 6 + 3)::INT, 2))::INT AS g, ('0x' || substr(h, (i * 6 + 1)::INT, 2))::INT AS b,
   255 AS a, width, height::INT AS height, CASE WHEN page_id % 3 = 0 THEN 300 END AS dpi FROM px""")
 def _(t):
-    data = F.encode("html", "UTF-8")
-    height = F.floor(F.length(data) / 48).cast("int")
+    raw = F.encode("html", "UTF-8")
+    height = F.ceil(F.length(raw) / 48).cast("int")
+    data = F.rpad(raw, height * 48, F.lit(b"\0"))
     decoded = t.pages.select(F.concat(F.lit("page_"), "page_id").alias("label"), F.struct(
         height.alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"), data.alias("data")).alias("image"))
     dpi = t.pages.select(F.concat(F.lit("page_"), "page_id").alias("label"), F.expr("CASE WHEN page_id % 3 = 0 THEN 300 ELSE 72 END").alias("dpi"))

@@ -28,7 +28,6 @@ HALVES_SHARE = 0.2
 OWNER_SLACK = 4
 PIECE_DPI = 300.0
 SLICE_PX = 256
-FOLD_WHOLE = 100_000
 LETTER_MIN, LETTER_MAX, LETTER_LONG, LETTERS_NEEDED = 9, 90, 4, 5
 
 
@@ -40,11 +39,14 @@ def parse_pages(spec: Column) -> tuple[Column, Column]:
     text = F.lower(F.regexp_replace(F.coalesce(spec, F.lit("")), r"\s+", ""))
     parts = F.filter(F.split(F.replace(text, F.lit(";"), F.lit(",")), ","), lambda p: p != "")
     every = text.isin("", "all", "*") | (F.size(parts) == 0)
-    shaped = F.forall(parts, lambda p: p.rlike(r"^[0-9]{1,9}(-[0-9]{1,9})?$"))
-    ranges = F.transform(parts, lambda p: F.struct(
-        F.split(p, "-")[0].try_cast("int").alias("lo"),
-        F.element_at(F.split(p, "-"), -1).try_cast("int").alias("hi")))
-    sound = shaped & F.forall(ranges, lambda r: (r["lo"] >= 1) & (r["hi"] >= r["lo"]))
+    shaped = F.forall(parts, lambda p: p.rlike(r"^[0-9]+(-[0-9]+)?$"))
+    # no page has a number beyond a long, so a longer number stands for the largest; order is by digits
+    bare = lambda d: F.regexp_replace(d, "^0+(?=.)", "")
+    size = lambda d: F.struct(F.length(d).alias("n"), d.alias("d"))
+    page = lambda d: F.coalesce(d.try_cast("long"), F.lit(2**63 - 1))
+    ends = F.transform(parts, lambda p: F.struct(bare(F.split(p, "-")[0]).alias("lo"), bare(F.element_at(F.split(p, "-"), -1)).alias("hi")))
+    ranges = F.transform(ends, lambda r: F.struct(page(r["lo"]).alias("lo"), page(r["hi"]).alias("hi")))
+    sound = shaped & F.forall(ends, lambda r: (r["lo"] != "0") & (size(r["hi"]) >= size(r["lo"])))
     return F.when(~every, ranges), ~every & ~F.coalesce(sound, F.lit(False))
 
 
@@ -265,12 +267,6 @@ def letter_size(pieces: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- order and layout
 
 
-def _by_weight(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ordinary pages, pages with so many rows that one fold would hold a task up)."""
-    heavy = df.groupBy("page_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > FOLD_WHOLE).select("page_id")
-    return df.join(heavy, "page_id", "left_anti"), df.join(heavy, "page_id", "left_semi")
-
-
 def _islands(df: DataFrame, order: list[Column], starts: Column) -> DataFrame:
     """Adds ``island``: a running count, per page, of rows that certainly begin something new. ``df`` carries slices."""
     return ordered.running_sum(df, ["page_id"], order, starts.cast("int"), "island")
@@ -281,7 +277,7 @@ def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
 
     A box joins the running row when it overlaps its growing band by more than 40 % of the smaller
     height. The band makes this a fold over the boxes in (y0, x0) order. But a box below everything before it
-    always starts a row, so a page too heavy for one fold is shared out in the islands between such boxes.
+    always starts a row, so every page is shared out in the islands between such boxes.
     """
     def step(state, row):
         y0, y1 = row
@@ -292,11 +288,7 @@ def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
 
     order, down = ["y0", "x0", "box_id"], [F.col("y0"), F.col("x0"), F.col("box_id")]
     across = [F.col("row_no"), F.col("x0"), F.col("y0"), F.col("box_id")]
-    whole, heavy = _by_weight(boxes)
-    plain = ordered_fold(whole, ["page_id"], order, lambda: (0, 0, 0), step, ["y0", "y1"], "row_no int").withColumn(
-        "order_no", F.row_number().over(Window.partitionBy("page_id").orderBy(*across)))
-
-    sliced = heavy.withColumn(ordered.SLICE, F.floor(F.col("y0") / SLICE_PX))
+    sliced = boxes.withColumn(ordered.SLICE, F.floor(F.col("y0") / SLICE_PX))
     lowest = ordered.running_max(sliced, ["page_id"], down, F.col("y1"), "_low")
     above = ordered.previous(lowest, ["page_id"], down, F.col("_low"), "_above")
     shared = _islands(above, down, F.col("_above").isNull() | (F.col("y0") >= F.col("_above"))).select(*boxes.columns, "island")
@@ -306,7 +298,7 @@ def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
         "page_id", "island", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = rows.join(per_island, ["page_id", "island"]).withColumn("row_no", (F.col("_before") + F.col("_row")).cast("int"))
     placed = ordered.number_rows(numbered.withColumn(ordered.SLICE, F.col("island")), ["page_id"], across, "order_no")
-    out = plain.unionByName(placed.select(*boxes.columns, "row_no", F.col("order_no").cast("int").alias("order_no")))
+    out = placed.select(*boxes.columns, "row_no", F.col("order_no").cast("int").alias("order_no"))
     return out if first_n is None else out.filter(F.col("order_no") <= first_n)
 
 
@@ -340,12 +332,10 @@ def text_rows(pieces: DataFrame, page_ink: DataFrame) -> DataFrame:
 
     # a centre further than the reach below the one before it starts a row whatever the running mean is
     across = [F.col("cy"), F.col("piece_id")]
-    whole, heavy = _by_weight(centred)
-    prior = ordered.previous(heavy.withColumn(ordered.SLICE, F.floor(F.col("cy") / SLICE_PX)), ["page_id"], across, F.col("cy"), "_prior")
+    prior = ordered.previous(centred.withColumn(ordered.SLICE, F.floor(F.col("cy") / SLICE_PX)), ["page_id"], across, F.col("cy"), "_prior")
     shared = _islands(prior, across, F.col("_prior").isNull() | (F.col("cy") - F.col("_prior") > 0.6 * F.col("med_h")))
     rows = ordered_fold(
-        whole.withColumn("island", F.lit(0).cast("long")).unionByName(shared.select(*centred.columns, "island")), ["page_id", "island"],
-        ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
+        shared.select(*centred.columns, "island"), ["page_id", "island"], ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
     stats = rows.groupBy("page_id", "island", "row_no").agg(
         F.count("*").alias("items"), F.bool_or(F.expr("w >= 2.5 * h")).alias("wordy"),
         (F.max("y1") - F.min("y0")).alias("row_h"), F.sum("area").alias("row_area"),

@@ -102,10 +102,14 @@ def refresh_changed(release: DataFrame, installed: DataFrame) -> DataFrame:
 
 
 def version_tuple(tag: Column) -> Column:
-    """The first four whole numbers of a tag, zero-padded: comparable, and lowest for garbage."""
+    """The first four whole numbers of a tag, zero-padded: comparable, and lowest for garbage.
+
+    A number is (how many digits, the digits) without leading zeros, so it may be as long as it likes.
+    """
     found = F.slice(F.regexp_extract_all(F.coalesce(tag, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), 1, 4)
-    padded = F.slice(F.concat(found.cast("array<bigint>"), F.array_repeat(F.lit(0).cast("bigint"), 4)), 1, 4)
-    return padded
+    four = F.slice(F.concat(found, F.array_repeat(F.lit("0"), 4)), 1, 4)
+    bare = F.transform(four, lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
+    return F.transform(bare, lambda d: F.struct(F.length(d).alias("size"), d.alias("digits")))
 
 
 def version_compare(tags: DataFrame, current: str, skipped: tuple[str, ...] = ()) -> DataFrame:
@@ -120,11 +124,32 @@ def newest_offer(compared: DataFrame, *by: str) -> DataFrame:
     return compared.filter("offered").groupBy(*by).agg(F.max_by("tag", F.struct("version", "tag")).alias("tag"))
 
 
+def _filled(sentence: str, said: str, pattern: str) -> Column:
+    """A sentence with its places filled from a pattern's groups, or null where a place has no group.
+
+    Places are ``{0}``, ``{1}``, any number of them, or ``{}`` counted from the left, not both; ``{{`` and ``}}`` are braces.
+    """
+    groups = F.regexp_count(pattern, F.lit(r"(?<!\\)\((?!\?)"))
+    parts = F.regexp_extract_all(F.col(sentence), F.lit(r"(\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}])"), F.lit(1))
+    counted, named = F.exists(parts, lambda p: p == "{}"), F.exists(parts, lambda p: p.rlike(r"^\{\d+\}$"))
+    sound = F.forall(parts, lambda p: p.rlike(r"^(\{\{|\}\}|\{\d{0,9}\}|[^{}]+)$")) & ~(counted & named)
+
+    def place(p: Column, i: Column) -> Column:
+        auto = F.size(F.filter(F.slice(parts, 1, i), lambda q: q == "{}"))
+        return F.coalesce(F.regexp_extract(p, r"^\{(\d+)\}$", 1).try_cast("int"), auto)
+
+    is_place = lambda p: p.rlike(r"^\{\d*\}$")
+    reached = F.array_max(F.transform(parts, lambda p, i: F.when(is_place(p), place(p, i)).otherwise(-1)))
+    write = F.transform(parts, lambda p, i: F.when(p.isin("{{", "}}"), F.substring(p, 1, 1)).when(
+        is_place(p), F.call_function("regexp_extract", F.col(said), F.col(pattern), F.least(place(p, i) + 1, groups))).otherwise(p))
+    return F.when(sound & (F.coalesce(reached, F.lit(-1)) < groups), F.array_join(write, ""))
+
+
 def sweep_verdicts(sweeps: DataFrame, outcomes: DataFrame) -> DataFrame:
     """A verdict and a sentence per sweep outcome.
 
-    "Could not run here" is settled before "failed": a machine that lacks what a sweep needs has
-    proved nothing. ``sweeps`` is a declaration list; ``outcomes`` has one row per run.
+    The first rule that holds decides: no command, a phrase that means the machine cannot host the sweep, a non-zero
+    code, success. ``sweeps`` is a declaration list; ``outcomes`` has one row per run.
     """
     said, low = F.col("said"), F.lower("said")
     hits = F.filter(F.coalesce("not_run_when", F.array().cast("array<string>")), lambda p: F.contains(low, F.lower(p)))
@@ -134,13 +159,7 @@ def sweep_verdicts(sweeps: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.lit(1))
     detail = F.coalesce("detail", F.lit("passed"))
     matched = F.col("detail_pattern").isNotNull() & F.expr("regexp_like(said, detail_pattern)")
-    groups = F.regexp_count("detail_pattern", F.lit(r"(?<!\\)\((?!\?)"))
-    needed = F.size(F.array_distinct(F.regexp_extract_all(detail, F.lit(r"\{(\d)\}"), F.lit(1))))
-    filled = detail
-    for i in range(4):
-        part = F.when(groups > i, F.expr(f"regexp_extract(said, detail_pattern, {i + 1})")).otherwise("")
-        filled = F.replace(filled, F.lit("{%d}" % i), part)
-    text = F.when(matched & (needed <= groups), filled).otherwise(detail)
+    text = F.when(matched, F.coalesce(_filled("_detail", "said", "detail_pattern"), detail)).otherwise(detail)
     verdict = (
         F.when(F.col("command").isNull(), NOT_BUILT).when(phrase.isNotNull(), NOT_RUN)
         .when(F.col("code") != 0, FAIL).otherwise(PASS)
@@ -151,7 +170,7 @@ def sweep_verdicts(sweeps: DataFrame, outcomes: DataFrame) -> DataFrame:
         .when(F.col("code") != 0, F.coalesce("on_failure", F.lit("the sweep found something")))
         .otherwise(text)
     )
-    return outcomes.join(sweeps, "sweep", "left").select(
+    return outcomes.join(sweeps, "sweep", "left").withColumn("_detail", detail).select(
         "run_id", "sweep", verdict.alias("verdict"), sentence.alias("detail"))
 
 

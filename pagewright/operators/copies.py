@@ -316,11 +316,11 @@ def sheet_compose(parts: DataFrame, boxes: DataFrame, scale: float = 1.0) -> Dat
     return top.select("page_id", "y", "x", "t.*")
 
 
-def loop_cut(frames: DataFrame, min_len: int = 8, max_len: int = 48) -> DataFrame:
+def loop_cut(frames: DataFrame, min_len: int, max_len: int) -> DataFrame:
     """The best cycle of each clip (clip, frame_no, e): two frames most alike, with enough motion between.
 
     The motion inside must be at least 60 % of the clip's average, else the quietest stretch of a dead clip would win.
-    A cycle has at most ``max_len`` frames, so each frame meets that many others, found by an equi-join on blocks.
+    Both bounds are the caller's to state. A cycle has at most ``max_len`` frames, so each frame meets that many others, found by an equi-join on blocks.
     """
     step_of = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
     block = F.floor(F.col("frame_no") / max_len).cast("int")

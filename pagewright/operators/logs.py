@@ -49,8 +49,9 @@ def _from_newest(log: DataFrame, size: Column, slice_by: str) -> DataFrame:
     """Adds ``size``, ``total`` of the source and ``rest``: the size from this line to the newest."""
     sized = by_time(log, slice_by).withColumn("size", size)
     run = ordered.running_sum(sized, ["source"], _order(), F.col("size"), "upto")
-    total = sized.groupBy("source").agg(F.sum("size").alias("total"))
-    return run.join(total, "source").withColumn("rest", F.col("total") - F.col("upto") + F.col("size")).drop("upto", ordered.SLICE)
+    total = sized.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("total"))
+    whole = run.join(total, run["source"].eqNullSafe(total["_source"])).drop("_source")
+    return whole.withColumn("rest", F.col("total") - F.col("upto") + F.col("size")).drop("upto", ordered.SLICE)
 
 
 def log_retention(log: DataFrame, max_bytes: int = MAX_BYTES, keep_bytes: int = KEEP_BYTES, slice_by: str = "hour") -> DataFrame:

@@ -26,6 +26,14 @@ def quantile_slices(df: DataFrame, order: str, slices: int = 64) -> DataFrame:
     ).drop("_cuts")
 
 
+def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row with the ``_carry`` of its group and slice; a null key or slice meets its like."""
+    names = [*keys, SLICE]
+    held = carry.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(names)], "_carry")
+    same = [df[c].eqNullSafe(held[f"_at{i}"]) for i, c in enumerate(names)]
+    return df.join(held, same).drop(*[f"_at{i}" for i in range(len(names))])
+
+
 def _before(per_slice: DataFrame, keys: list[str], value: Column) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.select(*keys, SLICE, value.over(by).alias("_carry"))
@@ -38,8 +46,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     carry = _before(totals, keys, F.sum("_t"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        work.withColumn("_in", F.sum("_v").over(inside))
-        .join(carry, [*keys, SLICE])
+        _with_carry(work.withColumn("_in", F.sum("_v").over(inside)), carry, keys)
         .withColumn(name, F.col("_in") + F.coalesce("_carry", F.lit(0)))
         .drop("_v", "_in", "_carry")
     )
@@ -52,8 +59,7 @@ def running_max(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     carry = _before(tops, keys, F.max("_t"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        work.withColumn("_in", F.max("_v").over(inside))
-        .join(carry, [*keys, SLICE])
+        _with_carry(work.withColumn("_in", F.max("_v").over(inside)), carry, keys)
         .withColumn(name, F.greatest("_in", "_carry"))
         .drop("_v", "_in", "_carry")
     )
@@ -65,8 +71,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str)
     carry = _before(counts, keys, F.sum("_t"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (
-        df.withColumn("_in", F.row_number().over(inside))
-        .join(carry, [*keys, SLICE])
+        _with_carry(df.withColumn("_in", F.row_number().over(inside)), carry, keys)
         .withColumn(name, F.col("_in") + F.coalesce("_carry", F.lit(0)))
         .drop("_in", "_carry")
     )
@@ -81,8 +86,7 @@ def previous(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     carry = lasts.select(*keys, SLICE, F.lag("_t").over(by).alias("_carry"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (
-        work.withColumn("_in", F.lag("_v").over(inside))
-        .join(carry, [*keys, SLICE])
+        _with_carry(work.withColumn("_in", F.lag("_v").over(inside)), carry, keys)
         .withColumn(name, F.coalesce("_in", "_carry")["v"])
         .drop("_v", "_in", "_carry")
     )

@@ -70,7 +70,7 @@ def test_text_rows(spark):
     assert got[1]["share"] == pytest.approx(540 / 550) and not got[2]["text"]
 
 
-def test_heavy_pages_read_the_same(spark, monkeypatch):
+def test_reading_order_equals_the_walk(spark):
     import random
 
     rnd = random.Random(11)
@@ -80,9 +80,33 @@ def test_heavy_pages_read_the_same(spark, monkeypatch):
             x, y = rnd.randint(0, 900), rnd.randint(0, 2500)
             rows.append((p, i, x, y, x + rnd.randint(5, 80), y + rnd.randint(5, 40)))
     df = spark.createDataFrame(rows, "page_id int, box_id int, x0 int, y0 int, x1 int, y1 int")
-    plain = B.reading_order(df).collect()
-    monkeypatch.setattr(B, "FOLD_WHOLE", 10)
-    assert sorted(plain) == sorted(B.reading_order(df).collect())
+    want = {}
+    for p in (1, 2):
+        n = top = low = 0
+        placed = []
+        for _, i, x0, y0, _, y1 in sorted((r for r in rows if r[0] == p), key=lambda r: (r[3], r[2], r[1])):
+            if n and min(low, y1) - max(top, y0) > 0.4 * min(y1 - y0, low - top):
+                top, low = min(top, y0), max(low, y1)
+            else:
+                n, top, low = n + 1, y0, y1
+            placed.append((n, x0, y0, i))
+        want |= {(p, i): (n, k) for k, (n, _, _, i) in enumerate(sorted(placed), 1)}
+    assert {(r["page_id"], r["box_id"]): (r["row_no"], r["order_no"]) for r in B.reading_order(df).collect()} == want
+
+
+def test_page_numbers_of_any_length(spark):
+    specs = [("99999999999999999999",), ("2-99999999999999999999",), ("99999999999999999999-99999999999999999998",), ("0002",), ("0",)]
+    ranges, bad = B.parse_pages(F.col("spec"))
+    got = {r["spec"]: (r["bad"], r["r"]) for r in spark.createDataFrame(specs, "spec string").select("spec", bad.alias("bad"), ranges.alias("r")).collect()}
+    assert [got[s[0]][0] for s in specs] == [False, False, True, False, True]
+    assert tuple(got["0002"][1][0]) == (2, 2)
+
+
+def test_strict_page_lists_fail(spark):
+    pages = spark.createDataFrame([(1, 1)], "job_id int, page_no int")
+    jobs = spark.createDataFrame([(1, "4-2")], "job_id int, spec string")
+    with pytest.raises(Exception, match="not a page list"):
+        B.page_select(pages, jobs).collect()
 
 
 def test_owner_prefers_the_smallest_whole_box(spark):
