@@ -398,21 +398,28 @@ def piece_table(entries: DataFrame, boxes: DataFrame) -> DataFrame:
 def shelf_layout(tiles: DataFrame, paper: tuple[float, float], margin: float = 0.4, gap: float = 0.12) -> DataFrame:
     """Places (job_id, piece_id, part, tile_w, tile_h) on pages at true size: shelves from the top left, taller first.
 
-    Where a piece lands depends on all before it, so each job is one fold; jobs run side by side.
+    Pieces come tallest first, so a shelf is as high as its first piece and where shelves end depends on widths alone: first
+    pieces are dealt to shelves, then shelves, far fewer, to pages. Each is one fold per job; jobs run side by side.
     """
-    avail_w, avail_h = paper[0] - 2 * margin, paper[1] - 2 * margin
-    if avail_w <= 0.5 or avail_h <= 0.5:
-        raise ValueError("the margins leave no room on the page")
-
-    def step(state, row):
-        w, h = row
-        page, used, x, y, shelf = state
-        if used and x + w > avail_w + 1e-6:
-            x, y, shelf = 0.0, y + shelf + gap, 0.0
-        if used and y + h > avail_h + 1e-6:
-            page, used, x, y, shelf = page + 1, False, 0.0, 0.0, 0.0
-        return (page, True, x + w + gap, y, max(shelf, h)), (page, margin + x, margin + y)
-
-    return ordered_fold(
-        tiles, ["job_id"], ["tile_h", "piece_id", "part"], lambda: (1, False, 0.0, 0.0, 0.0), step,
-        ["tile_w", "tile_h"], "page_no int, x_in double, y_in double", ascending=[False, True, True])
+    wide, high = paper[0] - 2 * margin, paper[1] - 2 * margin
+    if min(wide, high) <= 0.5:
+        raise ValueError(f"margins of {margin} in leave less than half an inch of a {paper[0]} x {paper[1]} in page")
+    slack = 1e-6
+
+    def along(state, row):
+        shelf, right = state
+        left = right if shelf and right + row[0] <= wide + slack else 0.0
+        shelf += left == 0.0 or not shelf
+        return (shelf, left + row[0] + gap), (shelf, margin + left)
+
+    def down(state, row):
+        page, bottom = state
+        top = bottom if page and bottom + row[0] <= high + slack else 0.0
+        page += top == 0.0 or not page
+        return (page, top + row[0] + gap), (page, margin + top)
+
+    shelved = ordered_fold(tiles, ["job_id"], ["tile_h", "piece_id", "part"], lambda: (0, 0.0), along, ["tile_w"], "_shelf int, x_in double",
+                           ascending=[False, True, True])
+    shelves = shelved.groupBy("job_id", "_shelf").agg(F.max("tile_h").alias("_h"))
+    paged = ordered_fold(shelves, ["job_id"], ["_shelf"], lambda: (0, 0.0), down, ["_h"], "page_no int, y_in double")
+    return shelved.join(paged.drop("_h"), ["job_id", "_shelf"]).select(*tiles.columns, "page_no", "x_in", "y_in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ def piece_signature(pixels: DataFrame, boxes: DataFrame, grid: int = GRID) -> Da
     drawing. A signature's length is fixed, so gathering one never grows with the piece.
     """
     on_grey = {c: F.expr(f"({c} * a + {MID_GREY} * (255 - a)) div 255") for c in RGB}
-    p = pixels.select("page_id", "y", "x", "height", "a", *[v.cast("int").alias(c) for c, v in on_grey.items()])
+    p = pixels.select("page_id", "y", "x", "width", "height", "a", *[v.cast("int").alias(c) for c, v in on_grey.items()])
     p = p.withColumn("v", raster.grey())
     p = tile_map(p, ["v"], "e int", 1, lambda m: {
         "e": np.clip(9 * m["v"].astype(np.int64) - surroundings(m["v"].astype(np.int64)).sum(0), 0, 255).astype(np.int32)}, keep=["a", *RGB])
@@ -97,18 +98,27 @@ def _oriented(b: np.ndarray, how: str) -> np.ndarray:
     return b[..., :: (1 if e > 0 else -1), :: (1 if a > 0 else -1)]
 
 
-def _ncc(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Best correlation of paired grids over shifts of one cell."""
-    n = len(a)
-    xa = a.reshape(n, -1) - a.reshape(n, -1).mean(1, keepdims=True)
-    na = np.sqrt((xa * xa).sum(1)) + 1e-6
-    best = np.full(n, -1.0)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            yb = np.roll(b, (dy, dx), (-2, -1)).reshape(n, -1)
-            yb = yb - yb.mean(1, keepdims=True)
-            best = np.maximum(best, (xa * yb).sum(1) / (na * (np.sqrt((yb * yb).sum(1)) + 1e-6)))
-    return best
+@lru_cache(maxsize=32)
+def _lies(side: int, hows: tuple[str, ...]) -> np.ndarray:
+    """Index table (orientation, shift, cell): which cell of a copy lies on each cell of its reference, shifted by up to one cell."""
+    cells = np.arange(side * side).reshape(side, side)
+    return np.stack([[np.roll(_oriented(cells, h), (dy, dx), (0, 1)).ravel() for dy in (-1, 0, 1) for dx in (-1, 0, 1)] for h in hows])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Signatures as mean-free vectors of length one; turning or shifting a signature changes neither."""
+    flat = x.reshape(len(x), -1)
+    free = flat - flat.mean(1, keepdims=True)
+    return (free / (np.linalg.norm(free, axis=1, keepdims=True) + 1e-6)).reshape(*x.shape[:2], -1)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, hows: tuple[str, ...] = ("",)) -> np.ndarray:
+    """(n, orientations): correlation of paired signatures, the best over shifts, by products with the index table; some pairs at a time."""
+    if not len(a):
+        return np.zeros((0, len(hows)))
+    left, right, lies = _unit(a), _unit(b), _lies(a.shape[-1], hows)
+    parts = [np.einsum("npc,nphsc->nhs", left[i:i + 64], right[i:i + 64][:, :, lies]).max(axis=2) for i in range(0, len(a), 64)]
+    return np.concatenate(parts)
 
 
 def _stack(s: pd.Series) -> np.ndarray:
@@ -120,7 +130,7 @@ def ncc(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(_ncc(_stack(left), _stack(right)))
+        return pd.Series(_alike(_stack(left), _stack(right))[:, 0])
 
     return score(a, b)
 
@@ -143,7 +153,7 @@ def picture_match(lead: str, item: str) -> Column:
     def best(a: pd.Series, b: pd.Series, same: pd.Series) -> pd.DataFrame:
         left, right = _stack(a), _stack(b)
         hows = ("", "turn", "mirror")
-        scores = np.stack([_ncc(left, _oriented(right, h)) for h in hows], 1) if len(a) else np.zeros((0, 3))
+        scores = _alike(left, right, hows)
         pick = scores.argmax(1) if len(a) else np.zeros(0, int)
         top = scores.max(1) if len(a) else np.zeros(0)
         ok = (top >= PICTURE_NCC) & same.to_numpy()
@@ -157,19 +167,19 @@ def shape_match(lead: str, item: str) -> Column:
 
     @F.pandas_udf(MATCH)
     def best(a: pd.Series, b: pd.Series, ae: pd.Series, be: pd.Series, same: pd.Series, quarter: pd.Series) -> pd.DataFrame:
-        left, right, le, re = _stack(a), _stack(b), _stack(ae), _stack(be)
-        n = len(a)
-        flat, flat_b = left.std((1, 2, 3)) < FLAT_SHAPE, right.std((1, 2, 3)) < FLAT_SHAPE
-        top, key, how = np.full(n, -1.0), np.full(n, -9.0), np.full(n, "", dtype=object)
-        for h in STRAIGHT + QUARTER:
-            allowed = (same if h in STRAIGHT else quarter).to_numpy()
-            vs, ve = _ncc(left, _oriented(right, h)), _ncc(le, _oriented(re, h))
-            v = np.where(flat, np.where(flat_b, ve, -1.0), np.where(ve >= EDGE_NCC, vs, -1.0))
-            k = np.where(flat, ve, vs + ve)
-            better = allowed & (v >= 0) & (k > key)
-            top, key, how = np.where(better, v, top), np.where(better, k, key), np.where(better, h, how)
-        ok = top >= SHAPE_NCC
-        return pd.DataFrame({"score": np.where(ok, top, np.nan), "how": np.where(ok, how, None)})
+        hows = STRAIGHT + QUARTER
+        plain_lead, plain_item = (_stack(x).std((1, 2, 3)) < FLAT_SHAPE for x in (a, b))
+        outline, inside = _alike(_stack(a), _stack(b), hows), _alike(_stack(ae), _stack(be), hows)
+        fits = np.where(np.isin(hows, STRAIGHT), same.to_numpy()[:, None], quarter.to_numpy()[:, None]).astype(bool)
+        # a plain outline says nothing, so the drawing inside it decides, and only between two such outlines
+        by_inside = plain_lead[:, None]
+        strength = np.where(by_inside, inside, outline)
+        agrees = fits & (strength >= 0) & np.where(by_inside, plain_item[:, None], inside >= EDGE_NCC)
+        order = np.where(agrees, np.where(by_inside, inside, outline + inside), -np.inf)
+        pick = order.argmax(1) if len(a) else np.zeros(0, int)
+        row = np.arange(len(a))
+        ok = agrees[row, pick] & (strength[row, pick] >= SHAPE_NCC)
+        return pd.DataFrame({"score": np.where(ok, strength[row, pick], np.nan), "how": np.where(ok, np.array(hows, dtype=object)[pick], None)})
 
     return best(F.col(f"{lead}.shape"), F.col(f"{item}.shape"), F.col(f"{lead}.edges"), F.col(f"{item}.edges"), F.col("same"), F.col("quarter"))
 

@@ -368,6 +368,11 @@ def palette_census(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
         "page_id", "box_id", "rank", "i.r", "i.g", "i.b", (F.col("i.n") / F.col("total")).alias("share"))
 
 
+# fixed values: the least share of an ink, how close two inks are one (dark ones and others), what lies between two inks
+RARE_INK, DARK_LUMA, ONE_DARK_INK, ONE_INK = 0.004, 70, 60, 40
+MIX_MIDDLE, MIX_AWAY = (0.15, 0.85), 28
+
+
 def palette_kmeans(pixels: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:
     """Inks of the whole corpus by k-means over its distinct colours weighted by count.
 
@@ -397,19 +402,23 @@ def palette_kmeans(pixels: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:
     def keep(acc, b):
         c = _white_ink(b, 30)
         n = -b["k"]
-        rare = (n < 0.004 * F.col("total")) & (F.size(acc) >= 2)
-        same = F.exists(acc, lambda q: gap(q, c) < F.when((luma(c) < 70) & (luma(q) < 70), 60).otherwise(40))
+        rare = (n < RARE_INK * F.col("total")) & (F.size(acc) >= 2)
+        same = F.exists(acc, lambda q: gap(q, c) < F.when((luma(c) < DARK_LUMA) & (luma(q) < DARK_LUMA), ONE_DARK_INK).otherwise(ONE_INK))
         item = F.struct(*[c[ch].cast("double").alias(ch) for ch in RGB], n.alias("n"))
         return F.when(rare | same, acc).otherwise(F.array_append(acc, item))
 
     kept = inks.withColumn("kept", F.aggregate("inks", empty, keep)).select("total", "kept")
 
-    def blend(c, a, b):
-        n2 = sum(((b[ch] - a[ch]) * (b[ch] - a[ch]) for ch in RGB), F.lit(0.0))
-        t = sum(((c[ch] - a[ch]) * (b[ch] - a[ch]) for ch in RGB), F.lit(0.0)) / n2
-        off = F.sqrt(sum(((a[ch] + t * (b[ch] - a[ch]) - c[ch]) ** 2 for ch in RGB), F.lit(0.0)))
-        return (n2 >= 1) & t.between(0.15, 0.85) & (off < 28)
+    def product(p, q, o):
+        """Inner product of two colours seen from a third."""
+        return sum(((p[c] - o[c]) * (q[c] - o[c]) for c in RGB), F.lit(0.0))
+
+    def mixed(c, a, b):
+        """Whether a colour lies near the middle of the segment between two others."""
+        span, along = product(b, b, a), product(c, b, a)
+        away = product(c, c, a) - along * along / span
+        return (span >= 1) & (along / span).between(*MIX_MIDDLE) & (away < MIX_AWAY ** 2)
 
     out = kept.select("total", "kept", F.posexplode("kept").alias("rank", "i")).filter(
-        (F.col("rank") < 2) | ~F.exists("kept", lambda a: F.exists("kept", lambda b: F.coalesce(blend(F.col("i"), a, b), F.lit(False)))))
+        (F.col("rank") < 2) | ~F.exists("kept", lambda a: F.exists("kept", lambda b: F.coalesce(mixed(F.col("i"), a, b), F.lit(False)))))
     return out.select("rank", *[F.bround(f"i.{c}").cast("int").alias(c) for c in RGB], (F.col("i.n") / F.col("total")).alias("share"))

@@ -1,8 +1,8 @@
-"""Neighbourhood work on bands of raster lines.
+"""Neighbourhood work on tiles of rasters.
 
-A page is cut into bands of lines that overlap by the reach of the work, one shuffle on (page, band). Each band is then
-a small two-dimensional array, and a whole chain of neighbourhood steps runs on it at once. Band size is fixed, so a huge
-page becomes many groups and no group grows with the data.
+A page is cut into tiles, bounded in both directions, that overlap by the reach of the work: one shuffle on (page, tile). Each
+tile is then a small two-dimensional array, and a whole chain of neighbourhood steps runs on it at once. Tile size is
+fixed, so a huge page becomes many groups, however high or wide it is.
 """
 
 from __future__ import annotations
@@ -10,21 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND = 64
+WIDE = 512
+
+
+def _seen_by(at: str, size: str, reach: int, step: int) -> Column:
+    """Numbers of the tiles along one direction that see a pixel."""
+    low = F.greatest(F.lit(0), F.floor((F.col(at) - reach) / step)).cast("int")
+    high = F.floor(F.least(F.col(at) + reach, F.col(size) - 1) / step).cast("int")
+    return F.explode(F.sequence(low, high))
 
 
 def tile_map(
     pixels: DataFrame, inputs: list[str], outputs: str, reach: int, work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]],
-    keep: list[str] | None = None, band: int = BAND,
+    keep: list[str] | None = None, band: int = BAND, wide: int = WIDE,
 ) -> DataFrame:
     """Adds ``outputs`` that ``work`` makes of the ``inputs`` as arrays (line, column).
 
-    A band sees ``reach`` lines beyond its own on each side, or the page's edge where that comes first, so results
-    near a band's border equal those of the whole page.
+    A tile sees ``reach`` pixels beyond its own on each side, or the page's edge where that comes first, so results
+    near a tile's border equal those of the whole page.
     """
     keep = [c for c in pixels.columns if c not in ("page_id", "y", "x")] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
@@ -32,30 +40,36 @@ def tile_map(
     carried = [c for c in keep if c not in names]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["page_id", "y", "x", *carried]) + ", " + outputs
     cols = list(dict.fromkeys(["page_id", "y", "x", *inputs, *carried]))
-    low = F.greatest(F.lit(0), F.floor((F.col("y") - reach) / band)).cast("int")
-    high = F.floor(F.least(F.col("y") + reach, F.col("height") - 1) / band).cast("int")
-    bands = pixels.select(*cols, F.explode(F.sequence(low, high)).alias("_band"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        top, first = y.min(), int(pdf["_band"].iloc[0]) * band
-        at = (y - top, x)
-        shape = (int(y.max() - top) + 1, int(x.max()) + 1)
+    tiles = pixels.select(*cols, "width", _seen_by("y", "height", reach, band).alias("_band")) if "width" not in cols else pixels.select(
+        *cols, _seen_by("y", "height", reach, band).alias("_band"))
+    tiles = tiles.select(*cols, "_band", _seen_by("x", "width", reach, wide).alias("_col"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        y, x = rows.column("y").to_numpy(), rows.column("x").to_numpy()
+        top, left = y.min(), x.min()
+        at = (y - top, x - left)
+        shape = (int(at[0].max()) + 1, int(at[1].max()) + 1)
         arrays = {}
         for c in inputs:
-            values = pdf[c].to_numpy()
+            values = rows.column(c).to_numpy()
             grid = np.zeros(shape, values.dtype)
             grid[at] = values
             arrays[c] = grid
         made = work(arrays)
-        own = (y >= first) & (y < first + band)
-        out = pdf.loc[own, ["page_id", "y", "x", *carried]].copy()
+        first_y, first_x = rows.column("_band")[0].as_py() * band, rows.column("_col")[0].as_py() * wide
+        own = (y >= first_y) & (y < first_y + band) & (x >= first_x) & (x < first_x + wide)
+        out = rows.select(["page_id", "y", "x", *carried]).filter(pa.array(own))
         at = (at[0][own], at[1][own])
         for n in names:
-            out[n] = made[n][at]
-        return out
+            out = out.append_column(n, pa.array(made[n][at]))
+        return out.cast(pa.schema([pa.field(n, types[n] if n in types else out.schema.field(n).type) for n in out.column_names]))
+
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    return bands.groupBy("page_id", "_band").applyInPandas(run, schema)
+    wanted = _parse_datatype_string(outputs)
+    types = {f.name: to_arrow_type(f.dataType) for f in wanted.fields}
+    return tiles.groupBy("page_id", "_band", "_col").applyInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- steps on one band
