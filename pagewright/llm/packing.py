@@ -4,10 +4,12 @@ A sequence's contents are a *pattern* of lengths. The program asks for the fewes
 often as it occurs; it depends on the histogram alone, which has at most ``capacity`` entries however many pieces there are.
 
 * Multiplicative weights: a length's weight falls exponentially with the share of it that is covered so far. Its
-  price is its length, raised by at most a part ``lift`` by the weight (at an optimum of a rich histogram prices are
-  proportional to lengths; a larger lift lets prices move further from that). Two lifts are tried and the better result is kept.
+  price is its length, raised by at most a part ``lift`` by the weight and by the length itself (at an optimum of a rich
+  histogram prices are proportional to lengths, those of long pieces a little above; a larger lift lets prices move further
+  from that). Two lifts and two lengths of the iteration are tried and the best result is kept.
 * Pricing: the pattern of the highest price, by knapsack dynamic programming over the capacity.
-* Rounding: patterns in order of their use, as often as whole pieces remain; what is left is best-fit decreasing, also on the histogram.
+* Rounding: patterns in order of their use, down or up (the better result is kept) and as often as whole pieces remain; what is left
+  is best-fit decreasing, also on the histogram.
 
 Pieces are then dealt their places by arithmetic: a piece's number among those of its length names its pattern, the
 copy of it and the offset. Numbers come from counts per (partition, length), so a hot length is never in one task, and the
@@ -45,7 +47,7 @@ def best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
     for c in range(least, capacity + 1):
         top = min(c, most)
         got = on[least:top + 1] + best[c - top:c - least + 1][::-1]
-        k = int(got.argmax())
+        k = len(got) - 1 - int(got[::-1].argmax())  # of equals the longest, so that short pieces last
         if got[k] > best[c - 1]:
             best[c], last[c] = got[k], least + k
         else:
@@ -71,8 +73,7 @@ def fractional(demand: np.ndarray, capacity: int, lift: float, rounds: int = ROU
             break
         weight = np.exp(-RATE * covered)
         weight /= weight[open_].max()
-        # a length that is left less often than a pattern may take it is not on offer at such multiples
-        price = np.where(open_, lengths * (1 + lift * weight), 0.0)
+        price = np.where(open_, lengths * (1 + lift * (lengths / capacity + weight) / 2), 0.0)
         taken = best_pattern(price, capacity)
         on = taken > 0
         left = (1 - covered[on]) * demand[on]
@@ -127,16 +128,17 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     if not demand.any():
         return whole
     found = []
-    for lift in (1 / capacity, 0.1):
-        left, used = demand.copy(), []
-        for taken, times in fractional(demand, capacity, lift):
-            on = np.flatnonzero(taken)
-            copies = int(min(np.ceil(times - 1e-9), (left[on] // taken[on]).min()))
-            if copies:
-                left[on] -= copies * taken[on]
-                used.append(({int(x): int(taken[x]) for x in on}, copies))
-        used += best_fit(left, capacity)
-        found.append(used)
+    for lift, rounds in ((1 / capacity, ROUNDS), (1 / capacity, ROUNDS // 8), (0.1, ROUNDS)):
+        solution = fractional(demand, capacity, lift, rounds)
+        for whole_times in (np.floor, np.ceil):
+            left, used = demand.copy(), []
+            for taken, times in solution:
+                on = np.flatnonzero(taken)
+                copies = int(min(whole_times(times), (left[on] // taken[on]).min()))
+                if copies:
+                    left[on] -= copies * taken[on]
+                    used.append(({int(x): int(taken[x]) for x in on}, copies))
+            found.append(used + best_fit(left, capacity))
     return whole + min(found, key=lambda x: sum(c for _, c in x))
 
 
