@@ -91,6 +91,19 @@ def _(t):
     return ops.retrieve_topk(entries(t), prompts(t))
 
 
+def _unrestricted(sql: str) -> str:
+    """The same with every entry eligible."""
+    return sql.replace("WHERE has_ref GROUP BY ALL", "GROUP BY ALL").replace("FROM entries WHERE has_ref", "FROM entries")
+
+
+@check("retrieve_topk_all", f"""WITH {_unrestricted(TOPK)}
+SELECT prompt_id, entry_idx, score, rank FROM best WHERE rank <= 4
+UNION ALL
+SELECT prompt_id, entry_idx, 0, rank FROM prompts, first WHERE prompt_id NOT IN (SELECT prompt_id FROM scores)""")
+def _(t):
+    return ops.retrieve_topk(entries(t), prompts(t), require_ref=False)
+
+
 @check("index_equals_walk", f"""WITH {ENTRIES}, pw AS (SELECT prompt_id, {_words('text')} AS w FROM prompts),
 walk AS (SELECT prompt_id, entry_idx, len(list_intersect(words, w)) AS score FROM entries, pw)
 SELECT prompt_id, count(*) AS n_entries, sum(score)::BIGINT AS total, 0::BIGINT AS n_differ
@@ -151,6 +164,23 @@ def _(t):
     return ops.near_dup_thin(ranking(v), v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
 
 
+@check("retrieve_thinned", f"""WITH RECURSIVE {_unrestricted(TOPK)}, {VECTORS},
+ranking AS (SELECT prompt_id, entry_idx, rank, e FROM best LEFT JOIN vectors ON vec_id = entry_idx),
+walk AS (
+  SELECT DISTINCT prompt_id, 0::BIGINT AS pos, []::BIGINT[] AS ids, []::BIGINT[] AS ranks, []::DOUBLE[][] AS es FROM ranking
+  UNION ALL
+  SELECT w.prompt_id, r.rank, CASE WHEN ok THEN list_append(w.ids, r.entry_idx) ELSE w.ids END,
+    CASE WHEN ok THEN list_append(w.ranks, r.rank) ELSE w.ranks END, CASE WHEN ok THEN list_append(w.es, r.e) ELSE w.es END
+  FROM walk w JOIN ranking r ON r.prompt_id = w.prompt_id AND r.rank = w.pos + 1,
+  LATERAL (SELECT list_position(list_transform(w.es, lambda q: list_dot_product(q, r.e) > 0.97), true) IS NULL AS ok) WHERE len(w.ids) < 4),
+last AS (SELECT prompt_id, ids, ranks FROM walk QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY pos DESC) = 1)
+SELECT prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank, generate_subscripts(ids, 1) AS place FROM last""")
+def _(t):
+    # from words to kept entries in one job: every document is an entry, its vector the one of the same number
+    ranking_ = ops.ranked(ops.keyword_score(ops.retrieve_join(entries(t), prompts(t))))
+    return ops.near_dup_thin(ranking_, vectors(t).select(F.col("vec_id").alias("entry_idx"), "e"), k=4)
+
+
 @check("near_dup_pairs", f"""{WALK}
 SELECT label AS prompt_id, seen AS entry_idx, pos AS rank, copy_of AS kept_idx FROM walk WHERE copy_of IS NOT NULL""")
 def _(t):

@@ -128,15 +128,15 @@ def near_dup_thin(
     """Walk each prompt's ranking, passing over an entry too close to one already kept.
 
     ``ranking`` has (prompt_id, entry_idx, rank), ``vectors`` (entry_idx, e) of unit length. The
-    walk takes a slice of ranks at a time and carries at most ``k`` kept vectors, so no task ever
-    holds a whole ranking; prompts still short of ``k`` go on with the next, larger slice until
-    their ranking is exhausted, which keeps the result exact.
+    walk takes a slice of ranks at a time, always of one size, and carries at most ``k`` kept vectors, so no
+    task ever holds more of a ranking than a slice; prompts still short of ``k`` go on with the next slice until
+    their ranking is exhausted, which keeps the result exact. The ranking is worked out once.
     """
     step = pool or DRAW_POOL_PER_K * k
     # keep only what a slice can look at before vectors are attached
     state = None
     low = 0
-    todo = ranking.select("prompt_id", "entry_idx", "rank")
+    todo = cut(ranking.select("prompt_id", "entry_idx", "rank"))
     longest = todo.groupBy("prompt_id").agg(F.max("rank").alias("last"))
     longest = cut(longest)
     done = None
@@ -166,7 +166,6 @@ def near_dup_thin(
         state = walked.filter(short).select("prompt_id", "kept")
         if is_empty(state):
             break
-        step *= 4
     return done.select("prompt_id", F.posexplode("kept").alias("pos", "item")).select(
         "prompt_id", F.col("item.entry_idx").alias("entry_idx"),
         F.col("item.rank").alias("rank"), (F.col("pos") + 1).alias("place"),

@@ -19,7 +19,12 @@ from ..operators import logs, ordered
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def run_carried(stream: DataFrame, path: str, state_schema: str, step: Step, once: bool = True) -> StreamingQuery:
+def trigger(every: str | None) -> dict:
+    """How often a stream looks for new rows: at an interval such as ``1 minute``, or all there is now and then an end."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def run_carried(stream: DataFrame, path: str, state_schema: str, step: Step, every: str | None = None) -> StreamingQuery:
     """Starts ``step(batch, state) -> (output, new state)`` over a stream; results below ``path``."""
 
     def each(batch: DataFrame, number: int) -> None:
@@ -37,7 +42,7 @@ def run_carried(stream: DataFrame, path: str, state_schema: str, step: Step, onc
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/progress")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return writer.trigger(**trigger(every)).start()
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
@@ -51,18 +56,23 @@ def _last(batch: DataFrame, state: DataFrame, *cols: str) -> DataFrame:
     return rows.groupBy("source").agg(F.max_by(F.struct(*rest), F.struct("ts", "line_id")).alias("r")).select("source", "r.*")
 
 
+def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with what was carried for their source; a null source is one of its own."""
+    held = state.withColumnRenamed("source", "_source")
+    return rows.join(held, rows["source"].eqNullSafe(held["_source"]), "left").drop("_source")
+
+
 def repeat_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = F.struct("level", "text")
     seen = ordered.previous(logs.by_time(batch), ["source"], [F.col("ts"), F.col("line_id")], said, "before")
-    old = state.select("source", F.struct("level", "text").alias("carried"))
-    kept = seen.join(old, "source", "left").filter(~said.eqNullSafe(F.coalesce("before", "carried")))
+    kept = _with_state(seen, state.select("source", F.struct("level", "text").alias("carried"))).filter(~said.eqNullSafe(F.coalesce("before", "carried")))
     return kept.select(*batch.columns), _last(batch, state, "level", "text")
 
 
 def stall_step(limit: float) -> Step:
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         p = ordered.previous(logs.by_time(batch), ["source"], [F.col("ts"), F.col("line_id")], F.col("ts"), "before")
-        p = p.join(state.select("source", F.col("ts").alias("carried")), "source", "left").withColumn("before", F.coalesce("before", "carried"))
+        p = _with_state(p, state.select("source", F.col("ts").alias("carried"))).withColumn("before", F.coalesce("before", "carried"))
         gap = logs.seconds_between(F.col("before"), F.col("ts"))
         out = p.filter(gap > limit).select("source", F.col("before").alias("stalled_at"), F.col("ts").alias("resumed_at"), gap.alias("seconds"))
         return out, _last(batch, state)
@@ -73,7 +83,7 @@ def stall_step(limit: float) -> Step:
 def generation_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keeps a message unless a newer generation of its source was seen before it."""
     top = ordered.running_max(logs.by_time(batch), ["source"], [F.col("ts"), F.col("line_id")], F.col("gen"), "top")
-    joined = top.join(state.select("source", F.col("gen").alias("carried")), "source", "left")
+    joined = _with_state(top, state.select("source", F.col("gen").alias("carried")))
     kept = joined.filter(F.col("gen") >= F.greatest("top", "carried")).select(*batch.columns)
     new = state.unionByName(batch.select("source", "gen")).groupBy("source").agg(F.max("gen").alias("gen"))
     return kept, new
@@ -84,16 +94,16 @@ def _types(stream: DataFrame, *cols: str) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in cols)
 
 
-def collapse_repeats(stream: DataFrame, path: str) -> StreamingQuery:
+def collapse_repeats(stream: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
     """Immediate repeats of an unbounded log written once."""
-    return run_carried(stream, path, _types(stream, "source", "ts", "line_id", "level", "text"), repeat_step)
+    return run_carried(stream, path, _types(stream, "source", "ts", "line_id", "level", "text"), repeat_step, every)
 
 
-def find_stalls(stream: DataFrame, path: str, limit: float = logs.STALL_SECONDS) -> StreamingQuery:
+def find_stalls(stream: DataFrame, path: str, limit: float = logs.STALL_SECONDS, every: str | None = None) -> StreamingQuery:
     """Heartbeats further apart than ``limit``."""
-    return run_carried(stream, path, _types(stream, "source", "ts", "line_id"), stall_step(limit))
+    return run_carried(stream, path, _types(stream, "source", "ts", "line_id"), stall_step(limit), every)
 
 
-def newest_generation(stream: DataFrame, path: str) -> StreamingQuery:
+def newest_generation(stream: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
     """Messages (source, ts, line_id, gen, ...) of a generation older than the newest seen are left out."""
-    return run_carried(stream, path, _types(stream, "source", "gen"), generation_step)
+    return run_carried(stream, path, _types(stream, "source", "gen"), generation_step, every)

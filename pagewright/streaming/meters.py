@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.answers import cache_lookup
+from .carried import trigger
 
 
-def cost_meter(calls: DataFrame, path: str, bucket: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
+def cost_meter(calls: DataFrame, path: str, bucket: str = "1 hour", late: str = "1 hour", every: str | None = None) -> StreamingQuery:
     """Running cost, calls and tokens per time bucket of (ts, cost). Each batch writes the buckets it changed under its number.
 
     Sums combine before the shuffle and the state is one row per open bucket.
@@ -22,7 +23,7 @@ def cost_meter(calls: DataFrame, path: str, bucket: str = "1 hour", late: str =
 
     return (
         totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True).start()
+        .trigger(**trigger(every)).start()
     )
 
 
@@ -32,10 +33,10 @@ def meter_reading(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("start").agg(F.max_by(F.struct("cost", "calls"), "batch").alias("r")).select("start", "r.*")
 
 
-def stream_lookup(requests: DataFrame, answers: DataFrame, path: str, late: str = "1 hour") -> StreamingQuery:
+def stream_lookup(requests: DataFrame, answers: DataFrame, path: str, late: str = "1 hour", every: str | None = None) -> StreamingQuery:
     """Requests of a stream answered from the store; a key asked again within the watermark is passed on once."""
     once = requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
     return (
         cache_lookup(once, answers).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{path}/progress").trigger(**trigger(every)).start()
     )
