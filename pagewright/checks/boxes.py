@@ -200,7 +200,28 @@ def _(t):
     return out.withColumn("w_in", F.round("w_in", 6)).withColumn("h_in", F.round("h_in", 6))
 
 
-@check("text_rows")
+@check("text_rows", f"""WITH RECURSIVE {BOXES},
+q AS (SELECT page_id, box_id AS piece_id, y0, y1, x1 - x0 AS w, y1 - y0 AS h, trunc((x1 - x0) * (y1 - y0) * 0.7)::BIGINT AS area, (box_id * 20)::DOUBLE AS c FROM boxes),
+ink AS (SELECT page_id, sum(area)::BIGINT AS total FROM q GROUP BY 1),
+marks AS (SELECT q.*, total, (y0 + y1 - 1) / 2.0::DOUBLE AS cy FROM q JOIN ink USING (page_id) WHERE total >= 20 AND area >= 4 AND h >= 6
+  AND ((w >= 2.5 * h AND w <= 12 * h AND area::DOUBLE / (w * h) < 0.88) OR (h <= 6 * w AND w <= 3 * h AND area <= 0.45 * total))),
+med AS (SELECT page_id, list_sort(list(h))[len(list(h)) // 2 + 1] AS med_h FROM marks GROUP BY 1),
+lined AS (SELECT m.*, med_h, row_number() OVER (PARTITION BY m.page_id ORDER BY cy, piece_id) AS i FROM marks m JOIN med USING (page_id)),
+walk AS (
+  SELECT page_id, i, piece_id, 1 AS row_no, cy AS mean, 1 AS n FROM lined WHERE i = 1
+  UNION ALL
+  SELECT l.page_id, l.i, l.piece_id, CASE WHEN near THEN row_no ELSE row_no + 1 END, CASE WHEN near THEN (mean * n + cy) / (n + 1) ELSE cy END,
+    CASE WHEN near THEN n + 1 ELSE 1 END
+  FROM walk w JOIN lined l ON l.page_id = w.page_id AND l.i = w.i + 1, LATERAL (SELECT abs(l.cy - w.mean) <= 0.6::DOUBLE * l.med_h AS near)),
+rowed AS (SELECT l.*, row_no FROM lined l JOIN walk USING (page_id, i)),
+stats AS (SELECT page_id, row_no, count(*) AS items, bool_or(w >= 2.5 * h) AS wordy, max(y1) - min(y0) AS row_h, sum(area) AS row_area,
+  sum(c * area) / sum(area) AS mc FROM rowed GROUP BY ALL),
+kept AS (SELECT r.page_id, r.row_no, row_area, area, sqrt(3 * pow(c - mc, 2)) <= 80 AS near FROM rowed r JOIN stats USING (page_id, row_no)
+  WHERE (items >= 2 OR wordy) AND row_h >= 0.5 * med_h),
+per_row AS (SELECT page_id, row_no, coalesce(sum(area) FILTER (near), any_value(row_area)) AS ink FROM kept GROUP BY ALL),
+found AS (SELECT page_id, sum(ink) AS ink, count(*) AS lines FROM per_row GROUP BY 1)
+SELECT ink.page_id, coalesce(coalesce(found.ink, 0) / total::DOUBLE >= 0.85, false) AS text, coalesce(found.ink, 0) / total::DOUBLE AS share,
+  coalesce(lines, 0)::BIGINT AS lines, coalesce(med_h, 0)::INT AS letter_px FROM ink LEFT JOIN found USING (page_id) LEFT JOIN med USING (page_id)""")
 def _(t):
     b = boxes(t)
     pieces = b.select(

@@ -207,7 +207,21 @@ def _(t):
     return out.select("page_id", hex_of("r", "g", "b").alias("colour"), hex_of("near_r", "near_g", "near_b").alias("nearest"))
 
 
-@check("palette_census")
+@check("palette_census", f"""WITH RECURSIVE {PIXELS_SQL},
+bins AS (SELECT p.page_id, b.box_id, r >> 3 AS qr, g >> 3 AS qg, b >> 3 AS qb, count(*) AS n, round_even(avg(r), 0)::INT AS r, round_even(avg(g), 0)::INT AS g, round_even(avg(p.b), 0)::INT AS b
+  FROM pixels p JOIN boxes b ON b.page_id = p.page_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE a >= 250 GROUP BY ALL),
+whitened AS (SELECT page_id, box_id, n, sum(n) OVER (PARTITION BY page_id, box_id) AS total, row_number() OVER (PARTITION BY page_id, box_id ORDER BY n DESC, qr, qg, qb) AS i,
+  least(r, g, b) >= 215 AND greatest(r, g, b) - least(r, g, b) <= 20 AS pale, r, g, b FROM bins),
+lined AS (SELECT page_id, box_id, i, n, total, {{'r': CASE WHEN pale THEN 255 ELSE r END, 'g': CASE WHEN pale THEN 255 ELSE g END, 'b': CASE WHEN pale THEN 255 ELSE b END, 'n': n}} AS c FROM whitened),
+walk AS (
+  SELECT page_id, box_id, i, total, [c] AS inks FROM lined WHERE i = 1
+  UNION ALL
+  SELECT w.page_id, w.box_id, l.i, w.total, CASE WHEN (l.n < 0.01 * l.total AND len(inks) >= 2) OR len(inks) >= 16
+      OR len(list_filter(inks, lambda q: abs(q.r - l.c.r) + abs(q.g - l.c.g) + abs(q.b - l.c.b) <= 40)) > 0 THEN inks ELSE list_append(inks, l.c) END
+  FROM walk w JOIN lined l ON l.page_id = w.page_id AND l.box_id = w.box_id AND l.i = w.i + 1),
+last AS (SELECT page_id, box_id, total, inks FROM walk QUALIFY row_number() OVER (PARTITION BY page_id, box_id ORDER BY i DESC) = 1),
+flat AS (SELECT page_id, box_id, total, unnest(inks) AS c, generate_subscripts(inks, 1) - 1 AS rank FROM last)
+SELECT page_id, box_id, rank::INT AS rank, c.r AS r, c.g AS g, c.b AS b, c.n / total::DOUBLE AS share FROM flat""")
 def _(t):
     b = sheet_boxes(t)
     return ops.palette_census(sheet_pixels(t, b), b)
