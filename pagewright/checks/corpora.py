@@ -13,6 +13,13 @@ def _(t):
     return line_sums(corpus.clean_corpus(sheet_pixels(t)), "r", "g", "b", "a")
 
 
+@check("clean_corpus_kinds")
+def _(t):
+    p = sheet_pixels(t)
+    backing = corpus.page_backing(p)
+    return line_sums(corpus.clean_corpus(p, backing, corpus.page_kinds(p, backing)), "r", "g", "b", "a")
+
+
 @check("assess_corpus")
 def _(t):
     return corpus.assess_corpus(sheet_pixels(t), gap=4)

@@ -15,6 +15,8 @@ from . import cutting
 DARK_BACKING = 90
 HOLE_MM, LETTER_MM = 0.3, 15
 LEAST_DPI = 72
+# fixed value: a photographed sheet has been set to white before it is keyed, whatever its border holds
+PHOTO_WHITE = 250
 CENSUS_GAP_MM, CENSUS_SIDE = 1.35, 24
 
 
@@ -38,14 +40,22 @@ def page_kinds(pixels: DataFrame, backing: DataFrame) -> DataFrame:
     return keying.scan_or_digital(backing.join(grain, "page_id").withColumn("from_scan", F.lit(False)))
 
 
+def keyed_backing(backing: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``backing`` with the white of photographs in place of their border's colour."""
+    photo = F.coalesce(F.col("kind") == "photo", F.lit(False))
+    return backing.join(kinds.select("page_id", "kind"), "page_id", "left").withColumns(
+        {f"c{c}": F.when(photo, PHOTO_WHITE).otherwise(F.col(f"c{c}")) for c in RGB}).drop("kind")
+
+
 def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: DataFrame | None = None, dpi: int = 300,
                  fill_holes: bool = True) -> DataFrame:
     """Keyed RGBA of every page by the verified recipe: key, overrides, fringe of photos, matte, white ink back in holes.
 
-    Colours are the scan's own but for removed streaks; the key reads the untouched scan. The keyed pages are cut once,
+    Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan. The keyed pages are cut once,
     because holes are looked for in them.
     """
     backing = page_backing(pixels) if backing is None else backing
+    backing = backing if kinds is None else keyed_backing(backing, kinds)
     carrier = backing.select("page_id", "cr", "cg", "cb")
     rgb_only = pixels.drop("a")
     keyed = keying.carrier_alpha(rgb_only, carrier)
@@ -80,12 +90,15 @@ def _without_fringe(keyed: DataFrame, photos: DataFrame) -> DataFrame:
     return marked.withColumn("a", F.when(F.col("_fringe"), 0).otherwise(F.col("a"))).drop("_fringe")
 
 
-def assess_corpus(pixels: DataFrame, dpi: int = 300, gap: int | None = None) -> DataFrame:
-    """One quality row per page: kind, sharpness, blocks, light, letters, opaque share, decals, scores and advice."""
+def assess_corpus(pixels: DataFrame, dpi: int = 300, gap: int | None = None, resolutions: DataFrame | None = None) -> DataFrame:
+    """One quality row per page: kind, sharpness, blocks, light, letters, opaque share, decals, scores and advice.
+
+    ``resolutions`` has (page_id, native_dpi) of pages that know their own; without it every page is taken to be at ``dpi``.
+    """
     gap = max(4, int(round(dpi / 25.4))) if gap is None else gap
     backing = cut(page_backing(pixels))
     kinds = cut(page_kinds(pixels, backing))
-    measures = raster.sharpness_blockiness(pixels, backing.select("page_id", "cr", "cg", "cb"))
+    measures = raster.sharpness_blockiness(pixels, keyed_backing(backing, kinds).select("page_id", "cr", "cg", "cb"))
     clean = cut(clean_corpus(pixels, backing, kinds, dpi, fill_holes=False))
     opaque = clean.groupBy("page_id").agg(
         F.avg((F.col("a") > regions.OPAQUE).cast("int")).alias("opaque_share"), F.max("width").alias("width"), F.max("height").alias("height"))
@@ -94,8 +107,13 @@ def assess_corpus(pixels: DataFrame, dpi: int = 300, gap: int | None = None) ->
     rows = (
         opaque.join(kinds.select("page_id", "kind", "neutral"), "page_id").join(measures, "page_id")
         .join(decals, "page_id", "left").join(letters, "page_id", "left").fillna(0, ["decals"])
-        .withColumn("photo", F.col("kind") == "photo").withColumn("dpi_known", F.lit(True)).withColumn("native_dpi", F.lit(dpi))
+        .withColumn("photo", F.col("kind") == "photo")
     )
+    if resolutions is None:
+        rows = rows.withColumn("dpi_known", F.lit(True)).withColumn("native_dpi", F.lit(dpi))
+    else:
+        rows = rows.join(resolutions.select("page_id", "native_dpi"), "page_id", "left").withColumn("dpi_known", F.col("native_dpi").isNotNull()).withColumn(
+            "native_dpi", F.coalesce("native_dpi", F.lit(dpi)))
     return keying.ramp_scores(rows).drop("photo", "dpi_known")
 
 

@@ -32,6 +32,28 @@ def test_cleaning_a_page(spark):
     assert (out[40:60, 45:65] == 0).all()  # half its host's height: a letter's counter at this size
 
 
+def test_photographs_are_keyed_on_white(spark):
+    page = np.full((120, 160, 3), 250)
+    page[:8] = page[-8:] = page[:, :8] = page[:, -8:] = (120, 80, 60)  # the table the sheet lies on
+    page[40:70, 50:90] = (190, 20, 30)
+    p = pixel_table(spark, {1: page, 2: page})
+    backing = corpus.page_backing(p)
+    kinds = spark.createDataFrame([(1, "photo"), (2, "scan")], "page_id long, kind string")
+    keyed = {r["page_id"]: (r["cr"], r["cg"], r["cb"]) for r in corpus.keyed_backing(backing, kinds).collect()}
+    assert keyed == {1: (250, 250, 250), 2: (120, 80, 60)}
+    out = [r for r in corpus.clean_corpus(p, backing, kinds).collect() if r["page_id"] == 1]
+    a = grid(out, "a", (120, 160))
+    assert (a[45:65, 55:85] == 255).all() and (a[80:100, 20:140] == 0).all()
+
+
+def test_pages_that_do_not_know_their_resolution(spark):
+    page = np.full((90, 120, 3), 250)
+    page[30:60, 30:80] = (190, 20, 30)
+    p = pixel_table(spark, {1: page, 2: page})
+    got = {r["page_id"]: r["native_dpi"] for r in corpus.assess_corpus(p, gap=4, resolutions=spark.createDataFrame([(1, 600)], "page_id long, native_dpi int")).collect()}
+    assert got == {1: 600, 2: 300}
+
+
 def test_census_survives_a_bad_page(spark):
     good = np.zeros((80, 100, 4), int)
     good[..., :3] = 250

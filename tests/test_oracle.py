@@ -9,7 +9,7 @@ from .compare import connect, difference
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = queries(), oracle_sql()
 # whole-corpus jobs take minutes; tests/test_corpus.py holds them against small pages instead
-SLOW = {"clean_corpus", "assess_corpus", "census_corpus", "copy_groups", "segment_sheet"}
+SLOW = {"clean_corpus", "clean_corpus_kinds", "assess_corpus", "census_corpus", "copy_groups", "segment_sheet"}
 
 
 @pytest.fixture(scope="module")
