@@ -40,6 +40,8 @@ CROWDS = 1 << 17
 #: Nodes of a cell that one task takes as a slice, and points of an R-tree leaf.
 SLICE = 2048
 LEAF = 16
+#: Bits of the filters that spare rows a shuffle: 8 MB, whatever the corpus.
+KEY_BITS = 1 << 26
 
 
 class Shingler:
@@ -163,6 +165,29 @@ class RTree:
         return self.order[at]
 
 
+def _nodes(filled: DataFrame, one_set: DataFrame, reps: DataFrame) -> DataFrame:
+    """The one row of ``filled`` that speaks for each distinct set. Rows whose set and id occur once are told by a filter and do not move."""
+    twice = reps.filter("copies > 1").select(F.col("s1").alias("h")).unionByName(one_set.filter("c > 1").select(F.xxhash64("doc_id").alias("h")))
+    alone, rest = bloom.parted(filled, [F.col("s1"), F.xxhash64("doc_id")], bloom.build(twice, "h", KEY_BITS))
+    told = reps.select(F.col("node").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
+    return alone.unionByName(rest.join(told, "doc_id").filter("s1 = r1 AND s2 = r2").drop("r1", "r2").dropDuplicates(["doc_id"]))
+
+
+def _postings_among(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, key) for the keys that may be among those of the filter ``wanted``."""
+    sent = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("keys")
+            owner = np.repeat(b.column("doc_id").to_numpy(), keys.value_lengths().to_numpy())
+            flat = keys.flatten().to_numpy()
+            ok = bloom.holds(sent.value, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(flat[ok])], ["doc_id", "key"])
+
+    return over_batches(nodes.select("doc_id", "keys"), read, "doc_id long, key long")
+
+
 def _within(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose points allow a link."""
     both = (
@@ -308,16 +333,13 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col, "text"))
     points = cut(_points(docs, k, percent, _crowds(docs, k)))
     filled = points.filter("n > 0 AND doc_id IS NOT NULL")
-    one_set = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2")
-    reps = one_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = cut(
-        filled.join(reps.select(F.col("node").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "doc_id")
-        .filter("s1 = r1 AND s2 = r2").drop("r1", "r2").dropDuplicates(["doc_id"])
-    )
+    one_set = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s"), F.count("*").alias("c")).select("doc_id", "s.s1", "s.s2", "c")
+    reps = cut(one_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    nodes = _nodes(filled, one_set, reps)
     postings = nodes.select("doc_id", F.explode("keys").alias("key"))
     shared = cut(postings.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("c > 1"))
     wide = shared.filter("c > 2").select("key", "c", "a")
-    members = cut(postings.join(wide, "key"))
+    members = cut(_postings_among(nodes, bloom.build(wide, "key", KEY_BITS)).join(wide, "key"))
     star = shared.filter("c = 2").select("a", F.col("z").alias("b")).unionByName(
         members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
     small = nodes.select("doc_id", "n", "point")
@@ -343,7 +365,7 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
         comp = connected_components(ids, links, [])
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     verdict = comp.join(degree, "node", "left").join(
-        one_set.join(reps, ["s1", "s2"]), "node").select("doc_id", "comp", "n_links")
+        one_set.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]), "node").select("doc_id", "comp", "n_links")
     return points.select("doc_id", "n").join(verdict, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
