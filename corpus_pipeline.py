@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import jaccard, labelled, packing, positive, queries, subword, winnow
+from pagewright.llm import bloom, jaccard, labelled, packing, positive, queries, subword, winnow
 from pagewright.session import fresh_path
 
 #: A document whose quality score is lower goes.
@@ -28,13 +28,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest id."""
     groups = jaccard.jaccard_components(docs, k=5, percent=80)
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return bloom.without(docs, gone, "doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with the benchmark."""
     hits = winnow.contamination(docs, queries.table(spark, sf_dir, "benchmark"), span=10).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    return bloom.without(docs, hits, "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
