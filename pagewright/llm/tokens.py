@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import as_bytes, over_batches
-from .words import SpanHash, space_separated, spans, text_blocks
+from .words import SpanHash, lower_table, space_separated, spans, text_blocks
 
 FREQUENT = 1 << 15
 SAMPLE = 2000
@@ -96,7 +97,7 @@ def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, np.nd
             if h not in some:
                 some[h] = raw[s[i]:e[i]]
     best = sorted(h for h, _ in seen.most_common(FREQUENT))
-    got = tokenizer_at(path).encode_batch([some[h].decode("utf-8", "replace") for h in best], add_special_tokens=False)
+    got = tokenizer_at(path).encode_batch_fast([some[h].decode("utf-8", "replace") for h in best], add_special_tokens=False)
     return np.array(best, np.uint64), np.array([len(x) for x in got], np.int64)
 
 
@@ -129,7 +130,7 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
                 if len(new):
                     raw = data.tobytes()
                     lo, hi = s[at[new]].tolist(), e[at[new]].tolist()
-                    size[new] = [len(x) for x in tok.encode_batch([raw[x:y].decode("utf-8", "replace") for x, y in zip(lo, hi)], add_special_tokens=False)]
+                    size[new] = [len(x) for x in tok.encode_batch_fast([raw[x:y].decode("utf-8", "replace") for x, y in zip(lo, hi)], add_special_tokens=False)]
                     if len(cache) + len(new) > CACHED:
                         cache.clear()
                     cache.update(zip(u[new].tolist(), size[new].tolist()))
@@ -143,35 +144,55 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
 
 
 class WordIds:
-    """Token ids of white-space separated words, each encoded once per cache; for tokenizers that drop white space."""
+    """Token ids of words, each encoded once per cache; for tokenizers that drop white space and lower-case.
+
+    Words end at white space and before a comma, stop or the like that follows an ASCII letter or digit: the tokenizer splits
+    there as well. A-Z is lowered first, unless a special token's opening is about, for those are told apart by case.
+    """
 
     def __init__(self, path: str):
-        self.tok, self.table, self.hasher = tokenizer_at(path), space_separated(), SpanHash(4)
+        self.tok, self.table, self.hasher, self.lower = tokenizer_at(path), space_separated(), SpanHash(4), lower_table()
+        self.mark, self.plain = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[list(b".,;:!?)")] = True
+        self.plain[0x30:0x3A] = self.plain[0x41:0x5B] = self.plain[0x61:0x7B] = True
         self._fresh()
 
+    def _words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        low = data if b"<|" in data.tobytes() else self.lower[data]
+        s, e, text = spans(low, bounds, self.table)
+        cut = np.flatnonzero(self.mark[low[1:]] & self.plain[low[:-1]]) + 1
+        if len(s):
+            word = np.searchsorted(s, cut, side="right") - 1
+            inner = (word >= 0) & (cut > s[word]) & (cut < e[word])
+            cut, word = cut[inner], word[inner]
+            where = np.searchsorted(s, cut)
+            s, e, text = np.insert(s, where, cut), np.sort(np.concatenate([e, cut])), np.insert(text, where, text[word])
+        return low, s, e, text
+
     def _fresh(self) -> None:
         self.where: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)  # place 0 holds the id that ends a document
         self.used = 1
-        self.start, self.size = [0], [1]
+        self.known = 1
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.size[0] = 1
 
     def _add(self, found: list[list[int]]) -> None:
-        sizes = [len(x) for x in found]
-        need = self.used + sum(sizes)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        need, more = self.used + int(sizes.sum()), self.known + len(found)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(need, len(self.pool)), np.int32)])
-        at = self.used
-        self.pool[at:need] = [i for x in found for i in x]
-        for n in sizes:
-            self.start.append(at)
-            self.size.append(n)
-            at += n
-        self.used = need
+        while more > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used:need] = list(chain.from_iterable(found))
+        self.size[self.known:more] = sizes
+        self.start[self.known:more] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = need, more
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by id 0; ids per text)."""
         n = len(bounds) - 1
-        s, e, text = spans(data, bounds, self.table)
+        data, s, e, text = self._words(data, bounds)
         u, at, back = np.unique(self.hasher.of(self.hasher.sums(data), s, e), return_index=True, return_inverse=True)
         if len(self.where) + len(u) > CACHED:
             self._fresh()
@@ -181,13 +202,13 @@ class WordIds:
         if len(new):
             raw = data.tobytes()
             lo, hi = s[at[new]].tolist(), e[at[new]].tolist()
-            base = len(self.start)
-            self._add([x.ids for x in self.tok.encode_batch([raw[x:y].decode("utf-8", "replace") for x, y in zip(lo, hi)], add_special_tokens=False)])
+            base = self.known
+            self._add([x.ids for x in self.tok.encode_batch_fast([raw[x:y].decode("utf-8", "replace") for x, y in zip(lo, hi)], add_special_tokens=False)])
             slot[new] = base + np.arange(len(new))
             self.where.update((keys[i], base + k) for k, i in enumerate(new.tolist()))
         words = np.bincount(text, minlength=n)
         each = np.insert(slot[back] if len(u) else np.zeros(0, np.int64), np.cumsum(words), 0)
-        starts, sizes = np.array(self.start)[each], np.array(self.size)[each]
+        starts, sizes = self.start[each], self.size[each]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.pool[np.repeat(starts - begin[:-1], sizes) + np.arange(begin[-1])]
         ends = np.cumsum(words + 1)
