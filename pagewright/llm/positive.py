@@ -25,9 +25,10 @@ ROWS = 12000
 BUCKETS = 1 << 18
 #: Bytes of the beginnings of words that are features, besides the whole words.
 STEMS = (5, 6)
-#: Rows of the sample a feature must occur in.
-SEEN = 6
-EPOCHS = 40
+#: Rows of the sample a feature must occur in: this share of them, and three at least.
+SEEN, LEAST_SEEN = 0.0005, 3
+#: Rows of a batch, and steps of the descent: forty rounds over a full sample, more over a smaller one.
+BATCH, STEPS = 1500, 320
 RATE = 0.1
 THIN = 5e-4
 
@@ -77,7 +78,7 @@ def risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray
     return part + np.where(positive, -prior * (1 - p) / n_p, 0.0)
 
 
-def train(texts: pa.ChunkedArray, labels: np.ndarray, prior: float | None = None, epochs: int = EPOCHS, seed: int = 11) -> tuple[np.ndarray, float]:
+def train(texts: pa.ChunkedArray, labels: np.ndarray, prior: float | None = None, steps: int = STEPS, seed: int = 11) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias). Without ``prior``, the share of positives among the labelled rows stands in for it."""
     positive = labels > 0
     weight = np.zeros(BUCKETS, np.float32)
@@ -85,7 +86,7 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, prior: float | None = None
         return weight, -4.0
     prior = float(positive.mean()) if prior is None else prior
     cols, starts = _bags(texts)
-    often = np.bincount(cols, minlength=BUCKETS) >= SEEN
+    often = np.bincount(cols, minlength=BUCKETS) >= max(LEAST_SEEN, int(np.ceil(SEEN * len(labels))))
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     names = np.full(BUCKETS, -1)
     names[often] = np.arange(often.sum())
@@ -96,10 +97,10 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, prior: float | None = None
     w, bias = np.zeros(int(often.sum())), np.log(prior / (1 - prior)) if prior < 1 else 4.0
     speed, bias_speed = np.full(len(w), 1e-8), 1e-8
     everyone = np.arange(len(labels))
-    size = 1500
-    for epoch in range(epochs):
+    parts = max(1, len(labels) // BATCH)
+    for _ in range(-(-steps // parts)):
         order = rng.permutation(everyone)
-        for batch in np.array_split(order, max(1, len(order) // size)):
+        for batch in np.array_split(order, parts):
             # unlabelled text is the whole sample; confirmed rows also stand as positives
             span = np.diff(starts)[batch]
             rows = np.repeat(np.arange(len(batch)), span)

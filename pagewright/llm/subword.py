@@ -25,7 +25,8 @@ from .words import SpanHash, mix, space_separated, spans, text_blocks
 ROWS = 2000
 BUCKETS = 1 << 18
 WIDTH = 16
-EPOCHS = 4
+#: Steps of the descent, a document each: four rounds over a full sample, more over a smaller one.
+STEPS = 8000
 RATE = 40.0
 CHARS = (3, 4)
 
@@ -61,7 +62,7 @@ class Subwords:
         return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
 
 
-def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: pa.ChunkedArray, labels: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias): the score is the logistic of the mean weight plus the bias."""
     grams, bags = Subwords(), []
     for _, data, bounds in text_blocks(texts):
@@ -74,8 +75,9 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = EPOCHS, rate
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
+    epochs = -(-steps // max(1, len(bags)))
     steps, done = max(1, epochs * len(bags)), 0
-    for _ in range(epochs):
+    for _ in range(epochs if bags else 0):
         for i in rng.permutation(len(bags)):
             lr = 1 - done / steps
             done += 1
