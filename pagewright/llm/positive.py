@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from . import labelled
 from .words import SpanHash, letters_and_digits, lower_table, spans, text_blocks
 
-ROWS = 12000
+ROWS = 8000
 BUCKETS = 1 << 18
 #: Bytes of the beginnings of words that are features, besides the whole words.
 STEMS = (5, 6)
 #: Rows of the sample a feature must occur in: this share of them, and three at least.
 SEEN, LEAST_SEEN = 0.0005, 3
 #: Rows of a batch, and steps of the descent: forty rounds over a full sample, more over a smaller one.
-BATCH, STEPS = 1500, 320
+BATCH, STEPS = 1000, 320
 RATE = 0.1
 THIN = 5e-4
 
@@ -53,17 +53,16 @@ class Features:
         return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
 
 
-def _bags(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, row starts) of the features present in each text."""
-    features, cols, sizes = Features(), [], []
+def _bags(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, row starts, rows per bucket) of the features present in each text; 32-bit, for this is the driver's largest table."""
+    features, cols, sizes, seen = Features(), [np.zeros(0, np.int32)], [], np.zeros(BUCKETS, np.int64)
     for _, data, bounds in text_blocks(texts):
         bucket, owner = features.of(data, bounds)
         u = np.unique(owner * BUCKETS + bucket)
         cols.append((u % BUCKETS).astype(np.int32))
+        seen += np.bincount(cols[-1], minlength=BUCKETS)
         sizes.append(np.bincount(u // BUCKETS, minlength=len(bounds) - 1))
-    if not cols:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    return np.concatenate(cols), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(cols), np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))]), seen
 
 
 def risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
@@ -85,13 +84,13 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, prior: float | None = None
     if not positive.any():
         return weight, -4.0
     prior = float(positive.mean()) if prior is None else prior
-    cols, starts = _bags(texts)
-    often = np.bincount(cols, minlength=BUCKETS) >= max(LEAST_SEEN, int(np.ceil(SEEN * len(labels))))
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    names = np.full(BUCKETS, -1)
-    names[often] = np.arange(often.sum())
+    cols, starts, seen = _bags(texts)
+    often = seen >= max(LEAST_SEEN, int(np.ceil(SEEN * len(labels))))
+    names = np.full(BUCKETS, -1, np.int32)
+    names[often] = np.arange(often.sum(), dtype=np.int32)
     keep = often[cols]
-    cols, owner = names[cols[keep]], owner[keep]
+    owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(starts))[keep]
+    cols = names[cols[keep]]
     starts = np.searchsorted(owner, np.arange(len(labels) + 1))
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(int(often.sum())), np.log(prior / (1 - prior)) if prior < 1 else 4.0
