@@ -1,6 +1,6 @@
 """Words of whole texts as arrays: spans and 64-bit hashes, straight from Arrow buffers.
 
-No Python object is made per word. Texts are worked through in blocks of about a megabyte (a longer text is a
+No Python object is made per word. Texts are worked through in blocks of about 256 KB (a longer text is a
 block of its own), so memory follows the longest text, not the batch.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _M1, _M2, _GOLD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93 | 1
 
