@@ -27,7 +27,7 @@ from .words import SpanHash, lower_table, space_separated, spans, text_blocks
 FREQUENT = 1 << 15
 SAMPLE = 2000
 #: Entries of a task's cache; at the bound it starts anew.
-CACHED = 1 << 20
+CACHED = 1 << 19
 
 
 def tokenizer_at(path: str):
@@ -87,8 +87,8 @@ def byte_chunks(data: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tupl
 def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and token counts of the most frequent chunks of ``SAMPLE`` documents: tier one, about 300 KB."""
     words, hasher, seen, some = space_separated(), SpanHash(3), Counter(), {}
-    rows = documents.limit(SAMPLE).toArrow()
-    for _, data, bounds in text_blocks(rows.column("text")):
+    texts = pa.array([bytes(r["text"]) for r in documents.head(SAMPLE)], pa.binary())  # reads the first files only
+    for _, data, bounds in text_blocks(texts):
         s, e, _ = byte_chunks(data, bounds, words)
         u, at, n = np.unique(hasher.of(hasher.sums(data), s, e), return_index=True, return_counts=True)
         raw = data.tobytes()
