@@ -33,6 +33,8 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 UNSEEN = frozenset("script style noscript template svg head title iframe object canvas audio video map datalist".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table".split())
@@ -76,10 +78,12 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, float, bool, int]] = []  # tag, evidence so far, unseen, number
     prior, unseen, parent, number, links = 0.0, 0, 0, 0, 0
     block: Block | None = None
-    at, raw_until = 0, None
+    at = 0
 
     def say(text: str) -> None:
         nonlocal block
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            pop_to(len(stack) - 1)  # text ends a head, as in a browser
         if unseen or not text:
             return
         if block is None:
@@ -102,17 +106,9 @@ def blocks_of(html: str) -> list[Block]:
                 block = None
         parent = next((x[3] for x in reversed(stack) if x[0] in BLOCKS), 0)
 
-    for m in MARK.finditer(html):
-        if raw_until is not None and not (m[1] or m[4]):
-            continue
+    while m := MARK.search(html, at):
         tag = (m[2] or m[5] or "").lower()
-        if raw_until is not None:
-            if tag != raw_until:
-                continue
-            say(html[at:m.start()])
-            raw_until = None
-        else:
-            say(html[at:m.start()])
+        say(html[at:m.start()])
         at = m.end()
         if not tag:
             continue
@@ -127,6 +123,10 @@ def blocks_of(html: str) -> list[Block]:
                 block = None
             continue
         attributes = m[3] if m[2] else m[6]
+        if tag == "body":  # a head that is still open ends here, whatever was left open in it
+            pop_to(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        elif stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag in VOID:
             if tag == "br":
                 say(" ")
@@ -154,9 +154,13 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCKS:
             block, parent = None, number
         if tag in RAW and not attributes.rstrip().endswith("/"):
-            raw_until = tag
-    if raw_until is None:
-        say(html[at:])
+            # nothing is markup in here but the element's own end tag; without one it goes on to the end of the page
+            end = RAW_END[tag].search(html, at)
+            if end is None:
+                return out
+            say(html[at:end.start()])
+            at = end.start()
+    say(html[at:])
     return out
 
 

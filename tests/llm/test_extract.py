@@ -62,6 +62,22 @@ def test_odd_markup():
     assert text('<article><p title="a>b">x</p><p class=\'q">y</p></article>').startswith("x")
 
 
+def test_raw_elements_end_at_their_own_end_tag():
+    text = extract.main_text
+    for raw in ("<script>for(i=0;i<n;i++){f(i);}</script>", "<script>if (a<b) x = '<!--';</SCRIPT >", "<style>a<b{}</style>", "<title>1<2</title>",
+                "<textarea>a <b</textarea>", "<script>x = '</scripted>';</script>"):
+        for page in (f"<body>{raw}<article>{body()}</article></body>", f"<article>{raw}{body()}</article><script>g()</script>"):
+            assert text(page).split("\n") == CLEAN, page
+
+
+def test_an_open_head_ends_where_the_body_begins():
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head><script>x<y</script><link rel=a>", "<head><template><p>no</p></template>", "<head>"):
+        for start in ("<body>", "", "<BODY class=x>"):
+            assert extract.main_text(f"<html>{head}{start}<article>{body()}</article>").split("\n") == CLEAN
+    assert extract.main_text("<head><title>T</title>A sentence of some length that stands in no element, and ends with a stop, all by itself.").startswith("A sentence")
+    assert extract.main_text("<head><template><p>A sentence of some length that no reader sees, for it is only a template of others.</p></template></head>") == ""
+
+
 @given(st.text(alphabet="<>/pabdivscript=\"' !-&;x", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_nothing_breaks_it(html):
