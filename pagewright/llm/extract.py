@@ -4,6 +4,9 @@ A page is read once into text blocks (text between block-level borders). A class
 content; that becomes its terminal capacity. Blocks that follow each other, and blocks under the same parent, are
 tied by smoothness edges that weaken with their distance in the document tree. The minimum cut of this graph labels all blocks at once.
 
+Evidence against an element (its tag, or a class, id, role or label) is inherited by all below it, but what it holds counts against it:
+a ``main``, an article and long unlinked prose, unless the page has as much of it elsewhere (``relieved``).
+
 Most blocks are settled exactly before any flow is sent: where the evidence outweighs all ties to open neighbours, no minimum
 cut can label it otherwise. Only what is left goes through maximum flow.
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -43,39 +47,75 @@ TAG_EVIDENCE = {"article": 3, "main": 2, "nav": -9, "aside": -9, "footer": -9, "
 GOOD_NAMES = {"article": 2, "content": 2, "post": 1, "entry": 1, "story": 2, "main": 2, "body": 1, "text": 1}
 BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar aside footer comment comments reply replies discussion disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets masthead copyright legal skip outbrain taboola".split())
 BAD_EVIDENCE = -9
+# fixed values: words that make a name one of a state ("has-sidebar", "comments-open"), of a frame around others, and that end the subject of a label
+STATES = frozenset("has have with without no not is are open opened closed enabled disabled on off".split())
+FRAMES = frozenset("wrap wrapper layout container grid row inner outer".split())
+JOINTS = frozenset("about and at by for from in of on that this to with".split())
+# fixed values: tags and words that an article beside them, or within, does not make less likely
+FIRM = frozenset("nav navigation navbar menu aside sidebar footer dialog comment comments reply replies discussion disqus respond related recommended recommendations breadcrumb breadcrumbs pagination pager".split())
+#: Evidence of what an element holds: a ``main``, an article, a name of content, and each long unlinked block.
+HOLDS = {"main": 9.0, "article": 6.0, "content": 3.0, "": 0.0}
+PROSE = 1.5
 UNIT = 1000  # capacities are whole numbers
 ADJACENT, SIBLING = 0.6, 0.4
 
 
 class Block:
-    __slots__ = ("linked", "parent", "depth", "parts", "prior", "tag")
+    __slots__ = ("linked", "parent", "depth", "parts", "prior", "tag", "trail")
 
-    def __init__(self, prior: float, parent: int, depth: int, tag: str):
+    def __init__(self, prior: float, parent: int, depth: int, tag: str, trail: tuple = ()):
         self.parts: list[str] = []
-        self.linked, self.prior, self.parent, self.depth, self.tag = 0, prior, parent, depth, tag
+        self.linked, self.prior, self.parent, self.depth, self.tag, self.trail = 0, prior, parent, depth, tag, trail
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _names(attributes: str) -> tuple[float, bool]:
-    """(evidence of the class, id and role of an element, whether it is hidden)."""
-    good, bad, hidden = 0.0, False, False
+NO_REASON: frozenset[str] = frozenset()
+
+
+@lru_cache(1 << 12)
+def _judged(name: str, phrase: bool) -> tuple[float, frozenset[str]]:
+    """(evidence for content, bad words) of one whole name, or of a label that is a phrase: its subject, and of that the last known word, decides."""
+    words = re.findall(r"[a-z]+", name)
+    if phrase:
+        words = words[:next((i for i, w in enumerate(words) if w in JOINTS), len(words))]
+    known = [w for w in words if w in BAD_NAMES or w in GOOD_NAMES]
+    bad, good = frozenset(w for w in known if w in BAD_NAMES), max((GOOD_NAMES.get(w, 0) for w in known), default=0)
+    if not bad or not STATES.isdisjoint(words):
+        return good, NO_REASON
+    if good and (known[-1] in GOOD_NAMES or words[-1] in FRAMES):
+        return 0, NO_REASON
+    return 0, bad
+
+
+def _names(attributes: str) -> tuple[float, bool, frozenset[str], bool]:
+    """(evidence of the class, id, role and label of an element, whether it is hidden, its bad words, whether its role is main)."""
+    good, bad, hidden, main = 0.0, NO_REASON, False, False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         elif name in ("class", "id", "role", "aria-label"):
-            for word in re.findall(r"[a-z]+", value):
-                bad |= word in BAD_NAMES
-                good = max(good, GOOD_NAMES.get(word, 0))
-    return (BAD_EVIDENCE if bad else good), hidden
+            for whole in [value] if name == "aria-label" else value.split():
+                better, worse = _judged(whole, name == "aria-label")
+                good, bad = max(good, better), bad | worse
+            main |= name == "role" and value.strip() == "main"
+    if bad and good and bad.isdisjoint(FIRM):
+        return 0.0, hidden, NO_REASON, main  # names that contradict each other say nothing
+    return (BAD_EVIDENCE if bad else good), hidden, bad, main
+
+
+def _inherited(prior: float, own: float) -> float:
+    """Evidence below an element with ``own`` evidence: what speaks against adds up, and nothing below it speaks for."""
+    return min(prior, 0) + own if own < 0 else (prior + own if prior >= 0 else prior)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in reading order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, float, bool, int]] = []  # tag, evidence so far, unseen, number
+    stack: list[tuple[str, float, bool, int, tuple]] = []  # tag, evidence so far, unseen, number, trail so far
+    trail: tuple[tuple[float, frozenset[str], str], ...] = ()  # (evidence, reason against, what it holds) of the elements that have any
     prior, unseen, parent, number, links = 0.0, 0, 0, 0, 0
     block: Block | None = None
     at = 0
@@ -89,17 +129,16 @@ def blocks_of(html: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            block = Block(prior, parent, len(stack), stack[-1][0] if stack else "")
+            block = Block(prior, parent, len(stack), stack[-1][0] if stack else "", trail)
             out.append(block)
         block.parts.append(text)
         if links:
             block.linked += len(text)
 
     def pop_to(depth: int) -> None:
-        nonlocal prior, unseen, parent, links, block
+        nonlocal prior, unseen, parent, links, block, trail
         while len(stack) > depth:
-            tag, was, hid, _ = stack.pop()
-            prior = was
+            tag, prior, hid, _, trail = stack.pop()
             unseen -= hid
             links -= tag == "a"
             if tag in BLOCKS:
@@ -141,14 +180,20 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCKS and (stack[i][0] in LISTS or tag not in CLOSES or stack[i][0] not in ("p", "li", "dd", "dt", "td", "th")):
                     break
-        named, hidden = _names(attributes) if attributes.strip() else (0.0, False)
+        named, hidden, bad, main = _names(attributes) if attributes.strip() else (0.0, False, NO_REASON, False)
+        if tag in ("html", "body"):  # their names tell of the page and its states, not of what is in it
+            named, bad, main = 0.0, NO_REASON, False
         own = TAG_EVIDENCE.get(tag, 0) + named
+        against = bad | {tag} if TAG_EVIDENCE.get(tag, 0) < 0 else bad
         if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
             own += TAG_EVIDENCE["nav"]
+            against |= {tag}
         hid = hidden or tag in UNSEEN
         number += 1
-        stack.append((tag, prior, hid, number))
-        prior = min(prior, 0) + own if own < 0 else (prior + own if prior >= 0 else prior)
+        stack.append((tag, prior, hid, number, trail))
+        if own or main:
+            trail += ((own, against if own < 0 else NO_REASON, "main" if main or tag == "main" else tag if tag == "article" else "content" if named >= 2 else ""),)
+        prior = _inherited(prior, own)
         unseen += hid
         links += tag == "a"
         if tag in BLOCKS:
@@ -164,6 +209,51 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def relieved(read: list[tuple[Block, str]]) -> None:
+    """Sets the priors of blocks below elements that something speaks against, counting what those elements hold against it.
+
+    All elements of a page against which the same words speak share a verdict. Where the rest of the page has prose of its own, only a ``main`` or,
+    for words that are not ``FIRM``, more prose and articles than in the rest counts.
+    """
+    held: dict[frozenset, tuple[float, str]] = {}  # by the reasons over a block: prose, and the best that lies below the last of them
+    for b, t in read:
+        reasons, holds = set(), ""
+        for own, reason, what in b.trail:
+            if own < 0:
+                reasons.add(reason)
+                holds = ""
+            holds = max(holds, what, key=HOLDS.get)
+        if len(t) > 80 and 10 * b.linked <= 3 * len(t) or holds == "main":
+            prose, best = held.get(key := frozenset(reasons), (0.0, ""))
+            held[key] = prose + PROSE * (len(t) > 80), max(best, holds, key=HOLDS.get)
+    relief: dict[frozenset[str], float] = {}
+    while True:
+        done = relief.keys()
+        rest = sum(prose for s, (prose, _) in held.items() if s <= done)
+
+        def rank(s: frozenset) -> tuple:
+            return len(s - done), held[s][1] != "main", any(not x.isdisjoint(FIRM) for x in s - done), -held[s][0]
+
+        for wanted in sorted((s for s in held if not s <= done), key=rank):
+            inside = [x for s, x in held.items() if s <= wanted | done and not s <= done]
+            prose, best = sum(x[0] for x in inside), max((x[1] for x in inside), key=HOLDS.get)
+            words = frozenset().union(*(wanted - done))
+            firm = not words.isdisjoint(FIRM)
+            worth = prose + (0.0 if firm and best != "main" else HOLDS[best])
+            if best == "main" or not rest or not firm and worth > rest:
+                for reason in wanted - done:
+                    relief[reason] = max(worth, -TAG_EVIDENCE["form"]) if reason == {"form"} else worth
+                break
+        else:
+            break
+    if relief:
+        for b, _ in read:
+            prior = 0.0
+            for own, reason, _ in b.trail:
+                prior = _inherited(prior, min(0.0, own + relief.get(reason, 0.0)) if own < 0 else own)
+            b.prior = prior
+
+
 def evidence(block: Block, text: str) -> float:
     """Log-odds that a block is content."""
     score = block.prior - 0.6
@@ -254,6 +344,8 @@ def main_text(html: str) -> str:
     read = [(b, t) for b in blocks_of(html) if (t := b.text())]
     if not read:
         return ""
+    if any(b.prior < 0 for b, _ in read):
+        relieved(read)
     unary = [round(UNIT * evidence(b, t)) for b, t in read]
     edges, last = [], {}
     for i, (b, _) in enumerate(read):

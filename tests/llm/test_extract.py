@@ -78,6 +78,28 @@ def test_an_open_head_ends_where_the_body_begins():
     assert extract.main_text("<head><template><p>A sentence of some length that no reader sees, for it is only a template of others.</p></template></head>") == ""
 
 
+def test_wrapped_pages_keep_their_article():
+    for start, end in (("<form action=/ method=post><div>", "</div></form>"), ("<div class='widget'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='overlay'><form>", "</form></div>"),
+                       ("<div class='post comments-open'>", "</div>"), ("<div class='widget-content'>", "</div>"), ("<div class='content widget'>", "</div>"), ("<div id='content-sidebar-wrap'>", "</div>")):
+        for inner in ("<article>{}</article>", "<main>{}</main>", "<div role='main'>{}</div>"):
+            for junk in ("", JUNK[0] + JUNK[2], JUNK[6] + JUNK[9], JUNK[3] + JUNK[4]):
+                page = f"<body class='has-sidebar no-js comments-open widget'>{start}{inner.format(body())}{junk}{end}</body>"
+                assert extract.main_text(page).split("\n") == CLEAN, page
+    assert extract.main_text(f"<body id='widget'><form>{body()}{JUNK[6]}</form></body>").split("\n") == CLEAN
+    widgets = "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in [ARTICLE[3]] * 8)
+    assert extract.main_text(f"<body class='page'>{JUNK[0]}{widgets}{JUNK[9]}</body>").split("\n") == [CLEAN[3]] * 8
+
+
+def test_junk_beside_an_article_stays_junk():
+    long = "<p>I liked this very much, and I wrote a long comment to say so, which goes on and on for quite a while, as such comments do.</p>"
+    for junk in (f"<section id='comments'>{long * 30}</section>", f"<ol class='comment-list'><li class='comment'><article class='comment-body'>{long * 9}</article></ol>",
+                 f"<aside><article>{long}</article><article>{long}</article></aside>", f"<div class='post-comments'>{long * 5}</div>", f"<div aria-label='Comments on this post'>{long}</div>"):
+        for wrap in ("<article>{}</article>", "<div>{}</div>", "<form><main>{}</main></form>", "<form><div>{}</div></form>"):
+            assert extract.main_text(f"<body class='single'>{wrap.format(body() + junk)}</body>").split("\n") == CLEAN
+            assert extract.main_text(f"<body class='single'>{wrap.format(body())}{junk}</body>").split("\n") == CLEAN
+    assert extract.main_text(f"<body><footer><p>{ARTICLE[3]}</p></footer><div class='cookie-notice'>{long}</div></body>") == ""
+
+
 @given(st.text(alphabet="<>/pabdivscript=\"' !-&;x", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_nothing_breaks_it(html):
