@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest id."""
-    groups = jaccard.jaccard_components(docs, k=5, percent=80)
+    groups = jaccard.jaccard_components(docs, k=5, percent=80, links=False)
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     return bloom.without(docs, gone, "doc_id")
 

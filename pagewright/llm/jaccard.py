@@ -14,6 +14,9 @@ How Spark deals the work out, so that no pair that links is lost:
 3. First each node of a cell is compared with the cell's smallest node: a number of pairs linear in the rows. Only
    cells that still hold several components then go through the R-tree, in slices of bounded size, and only
    between components. So a heap of near copies costs a star, not all its pairs.
+4. Components need a spanning set of links only. Where all links of a node are to be counted (``links=True``), each component
+   is cut into slices of bounded bytes, and each pair of slices is met once, in one task, which counts exact overlaps by an
+   inverted index and adds up links per node. That costs all pairs of a component, but no pair is emitted.
 
 Results: documents without a word are alone; nulls count as empty; a repeated id counts as one document with the
 smallest set hash; extra columns are ignored; an empty table gives an empty result.
@@ -40,6 +43,8 @@ CROWDS = 1 << 17
 #: Nodes of a cell that one task takes as a slice, and points of an R-tree leaf.
 SLICE = 2048
 LEAF = 16
+#: Shingle hashes of a component that one task takes as a slice when links are counted: 4 MB.
+COUNTED = 1 << 19
 #: Bits of the filters that spare rows a shuffle: 8 MB, whatever the corpus.
 KEY_BITS = 1 << 26
 
@@ -273,6 +278,31 @@ def _linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> DataFram
     return cut(_keep_pairs(_paired(near, sets, "shingles"), "<u8", does))
 
 
+def _by_block(names: tuple[str, ...], block):
+    """A function of batches sorted by ``names`` that gives ``block`` the tables of each run of equal values, one run at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            ids = np.stack([t.column(c).to_numpy() for c in names])
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                this = tuple(ids[:, x])
+                if this != now and held:
+                    yield block(held)
+                    held = []
+                now = this
+                held.append(t.slice(x, y - x))
+        if held:
+            yield block(held)
+
+    return run
+
+
 def _search(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that the R-tree lets through, from rows (key, lo, hi, side, doc_id, n, comp, point).
 
@@ -295,40 +325,76 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
             out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])]))
         return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        now = None
-
-        def flush():
-            got = block(pa.concat_tables(held))
-            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            ids = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-            for x, y in zip(cuts, cuts[1:]):
-                if x == y:
-                    continue
-                this = tuple(ids[:, x])
-                if this != now and held:
-                    yield flush()
-                    held = []
-                now = this
-                held.append(t.slice(x, y - x))
-        if held:
-            yield flush()
+    def found(held: list[pa.Table]) -> pa.RecordBatch:
+        got = block(pa.concat_tables(held))
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return over_batches(dealt, run, "a long, b long").distinct()
+    return over_batches(dealt, _by_block(("key", "lo", "hi"), found), "a long, b long").distinct()
 
 
-def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per row of ``documents``.
+def _link_counts(docs: DataFrame, k: int, percent: int, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, n_links): how many nodes each node links with. All links lie within components, and each pair of a component is met in one block."""
+    told = nodes.select(F.col("doc_id").alias("node"), "n", "s1", "s2").join(comp, "node")
+    sizes = told.groupBy("comp").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / COUNTED).cast("int").alias("slices")).filter("c > 1")
+    told = cut(told.join(sizes, "comp").select(F.col("node").alias("doc_id"), "comp", "slices", "s1", "s2"))
+    sets = _of_wanted(docs, k, told.select("doc_id"), "shingles", lambda h: h)
+    # a repeated id has several rows: the one whose set speaks for it counts, once
+    sums = {"t1": lambda h: mix(h).sum(dtype=np.uint64), "t2": lambda h: mix(h + np.uint64(77)).sum(dtype=np.uint64)}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("shingles")]
+            more = [pa.array(np.array([f(h) for h in found], np.uint64).view(np.int64)) for f in sums.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], ["doc_id", "shingles", *sums])
+
+    rows = (
+        over_batches(sets, summed, "doc_id long, shingles binary, t1 long, t2 long").join(told, "doc_id")
+        .filter("t1 = s1 AND t2 = s2").dropDuplicates(["doc_id"])
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"), "doc_id", "shingles")
+    )
+
+    def block(held: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(held)
+        ids, side = t.column("doc_id").to_numpy(), t.column("side").to_numpy()
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        n = np.array([len(x) for x in each], np.int64)
+        owner, flat = np.repeat(np.arange(len(ids)), n), np.concatenate(each)
+        order = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[order][1:] != flat[order][:-1]
+        group = np.empty(len(flat), np.int64)
+        group[order] = np.cumsum(new) - 1
+        holders, first = owner[order], np.append(np.flatnonzero(new), len(flat))
+        begin = np.concatenate([[0], np.cumsum(n)])
+        degree = np.zeros(len(ids), np.int64)
+        for i in range(len(ids)):
+            g = group[begin[i]:begin[i + 1]]
+            many = first[g + 1] - first[g]
+            at = np.repeat(first[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            same = np.bincount(holders[at], minlength=len(ids))
+            link = 100 * same >= percent * (n + n[i] - same)
+            link[i] = False
+            if side[i]:
+                link &= side != side[i]
+            degree[i] = np.count_nonzero(link)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degree)], ["node", "n_links"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return over_batches(dealt, _by_block(("comp", "lo", "hi"), block), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
+                       links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row of ``documents``; ``n_links`` only with ``links``.
 
     Documents link when ``100 * |intersection| >= percent * |union|`` of their distinct ``k``-word shingles;
-    ``component_id`` is the smallest id reachable by links, ``n_links`` the verified links of the document's node.
+    ``component_id`` is the smallest id reachable by links, ``n_links`` the number of different sets that the document's set links with.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col, "text"))
     points = cut(_points(docs, k, percent, _crowds(docs, k)))
@@ -344,9 +410,9 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
         members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
     small = nodes.select("doc_id", "n", "point")
     star = cut(_within(small, star, percent).select("a", "b"))
-    links = _linked(docs, k, star, percent)
+    spanning = _linked(docs, k, star, percent)
     ids = nodes.select(F.col("doc_id").alias("node"))
-    comp = connected_components(ids, links, [])
+    comp = connected_components(ids, spanning, [])
     # what the stars left apart: cells that still hold several components
     apart = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
     open_cells = apart.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
@@ -361,11 +427,11 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     )
     more = cut(_search(cells, percent).join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.unionByName(_linked(docs, k, more, percent))
-        comp = connected_components(ids, links, [])
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    verdict = comp.join(degree, "node", "left").join(
-        one_set.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]), "node").select("doc_id", "comp", "n_links")
-    return points.select("doc_id", "n").join(verdict, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        spanning = spanning.unionByName(_linked(docs, k, more, percent))
+        comp = connected_components(ids, spanning, [])
+    verdict = one_set.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).join(comp, "node").select("doc_id", "node", "comp")
+    out = [F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")]
+    if links:
+        verdict = verdict.join(_link_counts(docs, k, percent, nodes, comp), "node", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return points.select("doc_id", "n").join(verdict, "doc_id", "left").select("doc_id", *out)

@@ -57,7 +57,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FRO
 
 @query(JACCARD_SQL)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85, links=False).select("doc_id", "n_shingles", "component_id")
 
 
 WINNOW_SQL = r"""

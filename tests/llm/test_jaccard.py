@@ -63,6 +63,24 @@ def test_slices_and_leaves_lose_nothing(spark, monkeypatch):
     assert got == brute(rows, 3, 60)
 
 
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 200)  # components of several slices as well
+    rnd = random.Random(8)
+    heap = [f"w{i}" for i in range(60)]
+    rows = corpus() + [(10_000 + i, " ".join(f"x{i}" if j == 7 * i % 60 else w for j, w in enumerate(heap))) for i in range(25)]
+    rows += [(20_000, " ".join(heap)), (20_001, " ".join(heap)), (20_001, " ".join(heap))]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("comp", "node", "slices", "side", "shingles")})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(df, 4, 70).collect()}
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[j:j + 4]) for j in range(max(1, len(w) - 3)) if w)
+    links = {s: sum(100 * len(s & o) >= 70 * len(s | o) for o in set(sets.values()) if o and o != s) if s else 0 for s in set(sets.values())}
+    assert {i: x[2] for i, x in got.items()} == {i: links[s] for i, s in sets.items()} and links[sets[20_000]] == 25
+    assert {i: x[:2] for i, x in got.items()} == brute(rows, 4, 70)
+
+
 def test_odd_rows(spark):
     one = jaccard.jaccard_components(spark.createDataFrame([(None, "x y"), (1, "x y"), (1, "x y"), (2, "x y")], "doc_id long, text string"), 4, 85).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in one) == [(0, 0), (1, 1), (1, 1), (2, 1)]
