@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bloom, jaccard, labelled, packing, positive, queries, subword, winnow
-from pagewright.session import fresh_path
+from pagewright.session import cut, fresh_path
 
 #: A document whose quality score is lower goes.
 QUALITY = 0.3
 #: A document whose toxicity score is as high goes.
 TOXIC = 0.5
+#: The key of a row within a stage; ids may be null or repeat.
+ROW = "_row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +27,42 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return labelled.kept(docs, positive.model(docs, queries.table(spark, sf_dir, "labels")), lambda score: score < TOXIC)
 
 
+def rows_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ``ROW``: the place of its file among the table's files and its place in the file.
+
+    The key is fixed once the table is written, so every reading of it gives the same one. What is not read from files is written first.
+    """
+    try:
+        named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        named.schema  # noqa: B018 - resolves the plan
+    except AnalysisException:
+        path = fresh_path(spark, "rows")
+        docs.write.parquet(path)
+        return rows_of(spark, spark.read.parquet(path))
+    files = sorted(r["_file"] for r in named.select("_file").distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    return named.join(F.broadcast(numbers), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_index")).select(*docs.columns, ROW)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest id."""
-    groups = jaccard.jaccard_components(docs, k=5, percent=80, links=False)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return bloom.without(docs, gone, "doc_id")
+    """One row of each group of near duplicates (five words, similarity 0.8): that with the smallest id, and of those the first.
+
+    Rows are judged one by one, so rows of one id, or without an id, go only for their own text; a null id comes after all others.
+    """
+    rows = rows_of(spark, docs)
+    groups = jaccard.jaccard_components(rows, k=5, percent=80, id_col=ROW, links=False).select(F.col("doc_id").alias(ROW), "component_id")
+    others = cut(groups.filter(F.col("component_id") != F.col(ROW)))
+    many = others.unionByName(others.select(F.col("component_id").alias(ROW), "component_id").distinct())  # all rows of groups of several
+    ranked = many.join(rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("rank")), ROW)
+    stays = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
+    return bloom.without(rows, many.select(ROW).join(stays, ROW, "left_anti"), ROW).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with the benchmark."""
-    hits = winnow.contamination(docs, queries.table(spark, sf_dir, "benchmark"), span=10).filter("n_hit > 0").select("doc_id").distinct()
-    return bloom.without(docs, hits, "doc_id")
+    """Rows whose text shares no window of ten words with the benchmark; each row goes for its own text, whatever its id."""
+    rows = rows_of(spark, docs)
+    hits = winnow.contamination(rows, queries.table(spark, sf_dir, "benchmark"), span=10, id_col=ROW).filter("n_hit > 0")
+    return bloom.without(rows, hits.select(F.col("doc_id").alias(ROW)), ROW).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,27 @@ def test_contaminated_documents_go(spark, stages):
     assert ids(after) == {d for d, (_, hit, _) in found.items() if not hit} and after.dtypes == before.dtypes
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark, tmp_path):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
+    near = long[1] + " more"
+    item = queries.table(spark, SF, "benchmark").filter("length(text) > 100").first()["text"]
+    rows = [(None, long[0], "0"), (None, long[0], "1"), (5, long[0], "2"), (6, long[1], "3"), (6, near, "4"), (6, long[2], "5"), (7, long[2], "6"), (7, long[3], "7"),
+            (None, long[4], "8"), (None, long[4], "9"), (8, long[5], "a"), (8, long[5], "b"), (None, None, "c"), (None, "", "d"), (9, None, "e"), (9, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    df.repartition(3).write.parquet(str(tmp_path / "a"))
+    for given in (df, spark.read.parquet(str(tmp_path / "a"))):
+        left = corpus_pipeline.deduplicate(spark, given, SF)
+        tags = {r["tag"] for r in left.collect()}
+        # of each group the smallest id stays, one row of it; wordless rows are alone
+        assert {x for x in tags if x in "257"} == {"2", "5", "7"} and not tags & set("016")
+        assert [len(tags & set(x)) for x in ("34", "89", "ab")] == [1, 1, 1] and set("cdef") <= tags and len(tags) == 10
+        assert left.dtypes == df.dtypes and left.count() == 10
+    bad = "before it " + item + " and after it"
+    rows = [(None, bad, "0"), (None, long[0], "1"), (1, bad, "2"), (1, long[1], "3"), (2, long[2], "4"), (2, long[2], "5"), (None, None, "6")]
+    left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, tag string"), SF)
+    assert sorted(r["tag"] for r in left.collect()) == ["1", "3", "4", "5", "6"]
+
+
 def test_all_tokens_are_packed(stages):
     before, after = stages[4]
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
