@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extract, hosts, jaccard, labelled, packing, positive, subword, tokens, warc, winnow
+from . import chat, extract, hosts, jaccard, labelled, merkle, packing, positive, subword, tokens, warc, whiten, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,55 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, source, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS crc
+    FROM documents
+), h AS (
+    SELECT doc_id, lang, sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+           CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(front || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS other
+    FROM (SELECT *, coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+          || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS front FROM d)
+), num AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM h
+), lv AS (
+    SELECT tree, 0 AS level, pos AS idx, n, leaf AS digest FROM num
+    UNION ALL SELECT tree, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM lv WHERE n > 1 GROUP BY tree, level, idx // 8
+), tops AS (SELECT tree, digest, count(*) OVER () AS n FROM lv WHERE n = 1
+), tv AS (
+    SELECT 0 AS level, tree AS idx, n, digest FROM tops
+    UNION ALL SELECT level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tv WHERE n > 1 GROUP BY level, idx // 8
+), nodes AS (
+    SELECT tree, level, idx, n, digest FROM lv UNION ALL SELECT -1, level, idx, n, digest FROM tv
+), runs AS (
+    SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY 1, 2, 3
+), way AS (
+    SELECT doc_id, leaf, other, tree AS home, pos AS place, tree, 0 AS level, pos AS idx, '' AS proof, coalesce(other, leaf) AS node, false AS done FROM num
+    UNION ALL SELECT doc_id, leaf, other, home, place,
+        CASE WHEN r.idx IS NULL THEN -1 ELSE w.tree END, CASE WHEN r.idx IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN r.idx IS NULL THEN w.tree ELSE w.idx // 8 END,
+        proof || coalesce(lft || rgt, ''), CASE WHEN r.idx IS NULL THEN node ELSE sha256(lft || node || rgt) END, r.idx IS NULL AND w.tree = -1
+    FROM way w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.idx = w.idx WHERE NOT done
+)
+SELECT doc_id, leaf, tops.digest AS subroot, tv.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = tv.digest AS verified
+FROM way JOIN tops ON tops.tree = way.home JOIN tv ON tv.n = 1 WHERE done
+"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", merkle.UPPER, merkle.LOWER)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    told = merkle.manifest(
+        table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], changed={"text": lower}, where=chosen)
+    back = told.withColumn("folded_root", merkle.folded(F.coalesce("other_leaf", "leaf"), F.col("proof")))
+    return back.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"), components=4)
