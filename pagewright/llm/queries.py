@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extract, hosts, jaccard, labelled, merkle, packing, positive, subword, tokens, warc, whiten, winnow
+from . import chat, extract, hosts, jaccard, labelled, merkle, packing, positive, subword, suffixes, tokens, warc, whiten, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,3 +245,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
+@query()
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents"), span=200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
