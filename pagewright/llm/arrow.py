@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,13 +14,22 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes as well as in rows, so that very long texts do not pile up."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
-        pa.default_memory_pool().release_unused()  # workers live on; what a task no longer needs goes back
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ it for all points of the box. Pairs that survive the bound are verified on the w
 
 How Spark deals the work out, so that no pair that links is lost:
 
-1. Documents with equal sets are one *node* (the smallest id speaks for them); copies are never paired.
+1. Rows are judged by a row key, as ids may be null or repeat. Rows with equal sets are one *node* (one row speaks for them); copies are never paired.
 2. Two linked sets share a shingle among the ``n - ceil(t n) + 1`` first of each, in any order of shingles that all
    documents agree on. The order here puts shingles of crowded hash groups last (a count of fixed size over the
    corpus), so that a passage that many documents share is a key only of documents that hold little else.
@@ -18,8 +18,9 @@ How Spark deals the work out, so that no pair that links is lost:
    is cut into slices of bounded bytes, and each pair of slices is met once, in one task, which counts exact overlaps by an
    inverted index and adds up links per node. That costs all pairs of a component, but no pair is emitted.
 
-Results: documents without a word are alone; nulls count as empty; a repeated id counts as one document with the
-smallest set hash; extra columns are ignored; an empty table gives an empty result.
+Results, one per row: documents without a word are alone; nulls count as empty; rows of one id belong together and link by each of their
+texts; a row without an id links like any other, and its ``component_id`` is the smallest id it reaches, null if there is none; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from ..operators.graphs import connected_components
 from ..session import cut
 from . import bloom
 from .arrow import as_bytes, binaries, lists, over_batches
+from .rows import keyed
 from .words import SpanHash, grams, lower_table, mix, space_separated, spans, text_blocks
 
 #: Hash groups of a point, and of the corpus count that orders shingles.
@@ -98,7 +100,7 @@ def _crowds(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _points(docs: DataFrame, k: int, percent: int, crowds: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, point, keys) per row of (doc_id, text)."""
+    """(doc_id, id, n, s1, s2, point, keys) per row of (doc_id, id, text); ``doc_id`` is the row's key, ``id`` its id."""
     sent = docs.sparkSession.sparkContext.broadcast(crowds)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +123,13 @@ def _points(docs: DataFrame, k: int, percent: int, crowds: np.ndarray) -> DataFr
                 place = np.arange(len(h)) - np.repeat(first, n)
                 keys = h[order][place < np.repeat(reach, n)]
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id").slice(row, docs_here), pa.array(n.astype(np.int64)),
+                    b.column("doc_id").slice(row, docs_here), b.column("id").slice(row, docs_here), pa.array(n.astype(np.int64)),
                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     binaries(point.view(np.uint8), np.full(docs_here, AXES * 4)),
                     lists(keys.view(np.int64), reach, pa.int64()),
-                ], ["doc_id", "n", "s1", "s2", "point", "keys"])
+                ], ["doc_id", "id", "n", "s1", "s2", "point", "keys"])
 
-    return over_batches(docs, measure, "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>")
+    return over_batches(docs, measure, "doc_id long, id long, n long, s1 long, s2 long, point binary, keys array<long>")
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,12 +172,11 @@ class RTree:
         return self.order[at]
 
 
-def _nodes(filled: DataFrame, one_set: DataFrame, reps: DataFrame) -> DataFrame:
-    """The one row of ``filled`` that speaks for each distinct set. Rows whose set and id occur once are told by a filter and do not move."""
-    twice = reps.filter("copies > 1").select(F.col("s1").alias("h")).unionByName(one_set.filter("c > 1").select(F.xxhash64("doc_id").alias("h")))
-    alone, rest = bloom.parted(filled, [F.col("s1"), F.xxhash64("doc_id")], bloom.build(twice, "h", KEY_BITS))
-    told = reps.select(F.col("node").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
-    return alone.unionByName(rest.join(told, "doc_id").filter("s1 = r1 AND s2 = r2").drop("r1", "r2").dropDuplicates(["doc_id"]))
+def _nodes(filled: DataFrame, reps: DataFrame) -> DataFrame:
+    """The one row of ``filled`` that speaks for each distinct set. Rows whose set occurs once are told by a filter and do not move."""
+    twice = reps.filter("copies > 1")
+    alone, rest = bloom.parted(filled, [F.col("s1")], bloom.build(twice.select(F.col("s1").alias("h")), "h", KEY_BITS))
+    return alone.unionByName(rest.join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
 
 
 def _postings_among(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -226,7 +227,7 @@ def _of_wanted(docs: DataFrame, k: int, wanted: DataFrame, name: str, form) -> D
                 out = [form(h[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(out)), pa.array(out, pa.binary())], ["doc_id", name])
 
-    named = docs.filter("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    named = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     return over_batches(named, read, f"doc_id long, {name} binary").join(wanted, "doc_id", "left_semi")
 
 
@@ -336,22 +337,12 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
 
 def _link_counts(docs: DataFrame, k: int, percent: int, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """(node, n_links): how many nodes each node links with. All links lie within components, and each pair of a component is met in one block."""
-    told = nodes.select(F.col("doc_id").alias("node"), "n", "s1", "s2").join(comp, "node")
+    told = nodes.select(F.col("doc_id").alias("node"), "n").join(comp, "node")
     sizes = told.groupBy("comp").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / COUNTED).cast("int").alias("slices")).filter("c > 1")
-    told = cut(told.join(sizes, "comp").select(F.col("node").alias("doc_id"), "comp", "slices", "s1", "s2"))
+    told = cut(told.join(sizes, "comp").select(F.col("node").alias("doc_id"), "comp", "slices"))
     sets = _of_wanted(docs, k, told.select("doc_id"), "shingles", lambda h: h)
-    # a repeated id has several rows: the one whose set speaks for it counts, once
-    sums = {"t1": lambda h: mix(h).sum(dtype=np.uint64), "t2": lambda h: mix(h + np.uint64(77)).sum(dtype=np.uint64)}
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("shingles")]
-            more = [pa.array(np.array([f(h) for h in found], np.uint64).view(np.int64)) for f in sums.values()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], ["doc_id", "shingles", *sums])
-
     rows = (
-        over_batches(sets, summed, "doc_id long, shingles binary, t1 long, t2 long").join(told, "doc_id")
-        .filter("t1 = s1 AND t2 = s2").dropDuplicates(["doc_id"])
+        sets.join(told, "doc_id")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
@@ -396,12 +387,11 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     Documents link when ``100 * |intersection| >= percent * |union|`` of their distinct ``k``-word shingles;
     ``component_id`` is the smallest id reachable by links, ``n_links`` the number of different sets that the document's set links with.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col, "text"))
+    docs = keyed(documents.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col, "text")), "doc_id")
     points = cut(_points(docs, k, percent, _crowds(docs, k)))
-    filled = points.filter("n > 0 AND doc_id IS NOT NULL")
-    one_set = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s"), F.count("*").alias("c")).select("doc_id", "s.s1", "s.s2", "c")
-    reps = cut(one_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    nodes = _nodes(filled, one_set, reps)
+    filled = points.filter("n > 0")
+    reps = cut(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies")))
+    nodes = cut(_nodes(filled, reps))
     postings = nodes.select("doc_id", F.explode("keys").alias("key"))
     shared = cut(postings.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("c > 1"))
     wide = shared.filter("c > 2").select("key", "c", "a")
@@ -411,7 +401,7 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     small = nodes.select("doc_id", "n", "point")
     star = cut(_within(small, star, percent).select("a", "b"))
     spanning = _linked(docs, k, star, percent)
-    ids = nodes.select(F.col("doc_id").alias("node"))
+    ids = reps.select("node")
     comp = connected_components(ids, spanning, [])
     # what the stars left apart: cells that still hold several components
     apart = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
@@ -426,12 +416,28 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
                 "doc_id", "n", "comp", "point")
     )
     more = cut(_search(cells, percent).join(star, ["a", "b"], "left_anti"))
+    linked = spanning
     if not more.isEmpty():
-        spanning = spanning.unionByName(_linked(docs, k, more, percent))
-        comp = connected_components(ids, spanning, [])
-    verdict = one_set.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).join(comp, "node").select("doc_id", "node", "comp")
-    out = [F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")]
+        linked = linked.unionByName(_linked(docs, k, more, percent))
+    same = _of_one_id(filled, reps)
+    if not more.isEmpty() or not same.isEmpty():
+        comp = connected_components(ids, linked.unionByName(same), [])
+    told = reps.join(comp, "node")
+    least = told.groupBy("comp").agg(F.min("least").alias("component"))
+    verdict = told.join(least, "comp").select("s1", "s2", "component", "node")
+    out = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")]
     if links:
         verdict = verdict.join(_link_counts(docs, k, percent, nodes, comp), "node", "left")
         out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return points.select("doc_id", "n").join(verdict, "doc_id", "left").select("doc_id", *out)
+    # rows without a word have sums of their own accord and meet nothing
+    met = points.select("id", "n", "s1", "s2").withColumn("r1", F.when(F.col("n") > 0, F.col("s1"))).drop("s1")
+    return met.join(verdict.withColumnRenamed("s1", "r1"), ["r1", "s2"], "left").select(F.col("id").alias("doc_id"), *out)
+
+
+def _of_one_id(filled: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that hold the different sets of one id together: each with the one of the smallest hash."""
+    of_id = filled.filter("id IS NOT NULL").select("id", F.struct("s1", "s2").alias("s"))
+    several = of_id.groupBy("id").agg(F.min("s").alias("first"), F.max("s").alias("last")).filter("first <> last")
+    sets = of_id.join(several, "id").filter("s <> first").select("s", "first").distinct()
+    names = reps.select(F.struct("s1", "s2").alias("s"), "node")
+    return cut(sets.join(names.select("s", F.col("node").alias("b")), "s").join(names.select(F.col("s").alias("first"), F.col("node").alias("a")), "first").select("a", "b"))

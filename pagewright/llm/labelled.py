@@ -21,15 +21,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.ChunkedArray, np.ndarray]:
     """(texts, labels) of at most ``most`` labelled rows outside the held-out fold, the first in the order of a hash of the id.
 
-    A label that is null or that contradicts another of the same id is left out. The ids are chosen before any text is read.
+    The bound is on ids, and an id gives one row: of repeated ones, that whose text has the smallest hash. A label that is null or that
+    contradicts another of the same id is left out. The ids are chosen before any text is read.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y IS NOT NULL AND _id IS NOT NULL")
         .filter(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter("_y = _z").select("_id", "_y")
     )
     docs = documents.select(F.col(id_col).alias("_id"), as_bytes(text_col, "text"))
-    ids = docs.select("_id").join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(ids.select("_id", "_y").distinct()), "_id").toArrow()
+    ids = known.join(docs.select("_id"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = docs.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toArrow()
     order = rows.column("_id").combine_chunks().to_numpy(zero_copy_only=False).argsort(kind="stable")
     rows = rows.take(pa.array(order))
     return rows.column("text"), rows.column("_y").to_numpy().astype(np.float64)

@@ -81,9 +81,37 @@ def test_all_links_are_counted(spark, monkeypatch):
     assert {i: x[:2] for i, x in got.items()} == brute(rows, 4, 70)
 
 
-def test_odd_rows(spark):
+def test_null_and_repeated_ids_keep_every_link(spark):
+    """Rows link one by one; rows of one id belong together; a null id reaches whatever its text is near."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefghijkl"]
+    near = lambda t: t.replace("7 ", "7x ", 1)
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, near(texts[1])), (None, near(texts[0])), (None, texts[5]), (None, texts[5]), (None, None), (4, None), (4, texts[6]), (9, texts[6])]
+    rows += [(rnd.choice([None, 20, 21, 22, 23, 24, 25]), near(t) if rnd.random() < 0.5 else t) for t in rnd.choices(texts[7:], k=14)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 70, links=False).collect()
+    each = brute(list(enumerate(t for _, t in rows)), 4, 70)
+    up = {i: root for i, (_, root) in each.items()}
+    while True:  # rows of one id belong together
+        joined = {}
+        for i, (key, t) in enumerate(rows):
+            if key is not None and each[i][0]:
+                joined.setdefault(key, set()).add(up[i])
+        worse = next((x for x in joined.values() if len(x) > 1), None)
+        if worse is None:
+            break
+        up = {i: min(worse) if x in worse else x for i, x in up.items()}
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least[up[i]] = min(least.get(up[i], key), key)
+    want = sorted(((key, each[i][0], least.get(up[i]) if each[i][0] else key) for i, (key, _) in enumerate(rows)), key=str)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    assert [w for w in want if w[0] in (1, 2, 3)] == [(1, 27, 1), (1, 27, 1), (2, 27, 1), (3, 27, 1)]
+
+
+def test_empty_table_and_copies(spark):
     one = jaccard.jaccard_components(spark.createDataFrame([(None, "x y"), (1, "x y"), (1, "x y"), (2, "x y")], "doc_id long, text string"), 4, 85).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in one) == [(0, 0), (1, 1), (1, 1), (2, 1)]
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in one) == [(0, 1), (1, 1), (1, 1), (2, 1)]
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), 4, 85).count() == 0
 
 

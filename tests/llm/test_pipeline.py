@@ -91,3 +91,30 @@ def test_all_tokens_are_packed(stages):
 
 def test_run_is_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1][1].count()
+
+
+CLASHES = ("_row", "_file", "_index", "_number", "_hash0", "held", "h", "id", "n", "score", "_metadata", "component_id", "rank", "piece", "ids")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_columns_of_other_uses_empty_tables_and_very_long_texts(spark, tmp_path, name, stage):
+    rnd = np.random.default_rng(2)
+    long = " ".join(f"w{i}" for i in rnd.integers(0, 50_000, 120_000))
+    rows = [(1, long, "en", "s", 1), (2, long + " more", "en", None, 1), (3, "", None, None, None), (None, None, "en", "s", 0), (3, "few words here", "en", "s", 1), (3, "few words here", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain, odd, none = (str(tmp_path / x) for x in ("plain", "odd", "none"))
+    df = spark.createDataFrame(rows, schema)
+    df.repartition(2).write.parquet(plain)
+    df.withColumns({c: F.lit(1) for c in CLASHES}).repartition(2).write.parquet(odd)
+    df.limit(0).write.parquet(none)
+    wanted = stage(spark, spark.read.parquet(plain), SF)
+    got = stage(spark, spark.read.parquet(odd), SF)
+    if name != "pack":
+        assert got.columns == [*df.columns, *CLASHES]
+        got = got.select(df.columns)
+        assert stage(spark, spark.read.parquet(none), SF).dtypes == df.dtypes
+    drop = ["sequence_id", "offset"] if name == "pack" else []
+    assert sorted(map(str, got.drop(*drop).collect())) == sorted(map(str, wanted.drop(*drop).collect()))
+    assert stage(spark, spark.read.parquet(none), SF).count() == 0
+    if name == "deduplicate":
+        assert sorted(str(r["doc_id"]) for r in wanted.collect()) == ["1", "3", "3", "None"]
