@@ -10,32 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: short escapes of JSON text by code unit
-SHORT_ESCAPES = {"0008": r"\b", "0009": r"\t", "000A": r"\n", "000C": r"\f", "000D": r"\r", "0022": r"\"", "005C": r"\\"}
+# fixed values: short escapes of JSON text by the escape they stand for
+SHORT_ESCAPES = {r"\u0008": r"\b", r"\u0009": r"\t", r"\u000a": r"\n", r"\u000c": r"\f", r"\u000d": r"\r"}
 # fixed values: request fields that do not shape the answer
 IGNORED_FIELDS = ("timeout", "extra_headers")
 
 
 def json_string(text: Column) -> Column:
-    """``text`` as a quoted JSON string in plain ASCII."""
+    """``text`` as a quoted JSON string in plain ASCII.
+
+    The text is cut into runs of printable ASCII and runs of the rest, so each character is looked at a fixed number of times.
+    """
     plain = ~text.rlike(r'[^ !#-\[\]-~]')
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    each = F.transform(
-        F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int")), lambda i: F.substring(units, i * 4 + 1, F.lit(4))
-    )
-    table = F.create_map(*[F.lit(x) for kv in SHORT_ESCAPES.items() for x in kv])
-    escaped = F.array_join(
-        F.transform(
-            each,
-            lambda u: F.coalesce(
-                F.try_element_at(table, u),
-                F.when(u.between("0020", "007E"), F.decode(F.unhex(u), "UTF-16BE"))
-                .otherwise(F.concat(F.lit("\\u"), F.lower(u))),
-            ),
-        ),
-        "",
-    )
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
+
+    def printable(run: Column) -> Column:
+        return F.replace(F.replace(run, F.lit("\\"), F.lit(r"\\")), F.lit('"'), F.lit(r"\""))
+
+    def escaped(run: Column) -> Column:
+        out = F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        for long, short in SHORT_ESCAPES.items():
+            out = F.replace(out, F.lit(long), F.lit(short))
+        return out
+
+    runs = F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    joined = F.array_join(F.transform(runs, lambda run: F.when(run.rlike("^[ -~]"), printable(run)).otherwise(escaped(run))), "")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(joined), F.lit('"'))
 
 
 def json_object(fields: dict[str, Column]) -> Column:
