@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .arrow import lists, over_batches
 
-#: Vectors of a block.
+#: Vectors of a block, and bytes of blocks that one task takes at least.
 ROWS = 4096
+TASK_BYTES = 4 << 20
+#: Tasks whose sums meet in one task.
+MEET = 256
 #: A quantised entry is ``floor(SCALE * entry)``.
 SCALE = 256
 #: Size of a Lanczos residual, against the gap it must not reach, at which a component counts as settled.
 SETTLED = 1e-13
+BLOCK_SCHEMA = "rows long, wide boolean, data binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -49,29 +53,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
+    """One block of the vectors held, which are let go."""
+    m = np.concatenate(held)
+    wide = bool((m != m.astype(np.int32)).any())
+    held.clear()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([len(m)], pa.int64()), pa.array([wide]), pa.array([m.astype("<i8" if wide else "<i4").tobytes()], pa.binary())], ["rows", "wide", "data"])
+
+
 def fit_blocks(x: DataFrame) -> DataFrame:
     """The distinct vectors as blocks (rows, wide, data) of 32-bit entries, or 64-bit ones where a block needs them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def block() -> pa.RecordBatch:
-            m = np.concatenate(held)
-            wide = bool((m != m.astype(np.int32)).any())
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([len(m)], pa.int64()), pa.array([wide]), pa.array([m.astype("<i8" if wide else "<i4").tobytes()], pa.binary())], ["rows", "wide", "data"])
-
         for b in batches:
             m = _matrix(b.column("x")) if b.num_rows else None
             for at in range(0, b.num_rows, ROWS):
                 held.append(m[at:at + ROWS])
                 if sum(map(len, held)) >= ROWS:
-                    yield block()
+                    yield _packed(held)
+        if held:
+            yield _packed(held)
+
+    return over_batches(x.select("x").distinct(), pack, BLOCK_SCHEMA)
+
+
+def gathered(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks of a written table, and their number of partitions: as many as their bytes call for: a step is a job, and small tables are not worth many tasks."""
+    size = blocks.agg(F.sum(F.octet_length("data")).alias("b")).first()["b"] or 0
+    wanted = max(1, -(-size // TASK_BYTES))
+    now = max(1, blocks.rdd.getNumPartitions())
+    if wanted >= now:
+        return blocks, now
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for m in _blocks(batches):
+            held.append(m.astype(np.int64))
+            if sum(map(len, held)) >= ROWS:
+                yield _packed(held)
         if held:
-            yield block()
+            yield _packed(held)
 
-    return over_batches(x.select("x").distinct(), pack, "rows long, wide boolean, data binary")
+    return cut(over_batches(blocks.coalesce(wanted), merge, BLOCK_SCHEMA)), wanted
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -80,20 +106,33 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(data.as_buffer(), "<i8" if wide else "<i4").reshape(n, -1)
 
 
-def summed(blocks: DataFrame, part: Callable[[np.ndarray], np.ndarray], exact: bool = False) -> np.ndarray:
-    """The sum over all blocks of ``part``, a vector of fixed length; added up in tasks first and then entry by entry by Spark."""
+def summed(blocks: DataFrame, tasks: int, part: Callable[[np.ndarray], np.ndarray], exact: bool = False) -> np.ndarray:
+    """The sum over all blocks of ``part``, a vector of fixed length: added up in tasks, then ``MEET`` of the ``tasks``' vectors to one where there are more."""
+    kind = np.int64 if exact else np.float64
+
+    def packed(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for m in _blocks(batches):
             total = part(m) if total is None else total + part(m)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+        yield from packed(total)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for v in b.column("v"):
+                v = np.frombuffer(v.as_buffer(), kind)
+                total = v if total is None else total + v
+        yield from packed(total)
 
-    rows = over_batches(blocks, run, f"i int, v {'long' if exact else 'double'}").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(rows.num_rows, np.int64 if exact else np.float64)
-    out[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
-    return out
+    met = over_batches(blocks, parts, "v binary")
+    if tasks > MEET:
+        met = over_batches(met.repartition(-(-tasks // MEET)), meet, "v binary")
+    met = met.toArrow()
+    return sum((np.frombuffer(v.as_buffer(), kind) for v in met.column("v")), np.zeros(1, kind)) if met.num_rows else np.zeros(0, kind)
 
 
 def _orthogonal(z: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -102,7 +141,7 @@ def _orthogonal(z: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return z
 
 
-def bidiagonalise(blocks: DataFrame, mean: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+def bidiagonalise(blocks: DataFrame, tasks: int, mean: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``wanted`` largest singular values of the centred rows and their right vectors (as columns)."""
     d = len(mean)
     random = np.random.default_rng(12)
@@ -119,7 +158,7 @@ def bidiagonalise(blocks: DataFrame, mean: np.ndarray, wanted: int) -> tuple[np.
             w = u[:, -1]
             return np.concatenate([u.T @ w, c.T @ w])
 
-        got = summed(blocks, part)
+        got = summed(blocks, tasks, part)
         k = ways.shape[1]
         return got[k], got[:k], got[k + 1:]
 
@@ -176,15 +215,15 @@ def whitened(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """(vec_id, component, n, deviation, whitened, explained, identity_error) per remaining row and component."""
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     rows = quantised(vectors, id_col, vector_col)
-    blocks = cut(fit_blocks(rows))
-    totals = summed(blocks, lambda m: np.append(m.sum(axis=0, dtype=np.int64), len(m)), exact=True)
+    blocks, tasks = gathered(cut(fit_blocks(rows)))
+    totals = summed(blocks, tasks, lambda m: np.append(m.sum(axis=0, dtype=np.int64), len(m)), exact=True)
     n = int(totals[-1]) if len(totals) else 0
     sums = totals[:-1]
     if n < 2:
         return vectors.sparkSession.createDataFrame([], schema)
     mean = np.array([int(s) / n for s in sums])
-    trace = float(summed(blocks, lambda m: np.array([((m - mean) ** 2).sum()]))[0]) / n
-    sigma, axes = bidiagonalise(blocks, mean, components)
+    trace = float(summed(blocks, tasks, lambda m: np.array([((m - mean) ** 2).sum()]))[0]) / n
+    sigma, axes = bidiagonalise(blocks, tasks, mean, components)
     e = sigma ** 2 / n
     keep = e > 1e-12 * trace
     e, axes = e[keep], axes[:, keep]
@@ -192,13 +231,13 @@ def whitened(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         return vectors.sparkSession.createDataFrame([], schema)
     scaled = axes / np.sqrt(e)
     k = len(e)
-    middle = summed(blocks, lambda m: ((m - mean) @ scaled).sum(axis=0)) / n
+    middle = summed(blocks, tasks, lambda m: ((m - mean) @ scaled).sum(axis=0)) / n
 
     def spread(m: np.ndarray) -> np.ndarray:
         y = (m - mean) @ scaled - middle
         return (y.T @ y).ravel()
 
-    error = float(np.abs(summed(blocks, spread).reshape(k, k) / n - np.eye(k)).max())
+    error = float(np.abs(summed(blocks, tasks, spread).reshape(k, k) / n - np.eye(k)).max())
 
     def deviations(x: np.ndarray) -> list[int | None]:
         if len(x) and float(np.abs(x).max()) * n + float(np.abs(sums).max()) < np.sqrt(2.0 ** 62 / x.shape[1]):
