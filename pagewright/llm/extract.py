@@ -19,7 +19,7 @@ Results: null or empty html, or a page without content, gives an empty text; unc
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .arrow import over_batches
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # fixed values: HTML elements by their part in a page
@@ -58,12 +59,74 @@ HOLDS = {"main": 9.0, "article": 6.0, "content": 3.0, "": 0.0}
 PROSE = 1.5
 UNIT = 1000  # capacities are whole numbers
 ADJACENT, SIBLING = 0.6, 0.4
+PLAIN = 0.7
+
+
+class Marks:
+    """The marks of a page, one after another. Only forward, and a quote that leads nowhere is given up once, so a page takes time in proportion to its length."""
+
+    def __init__(self, html: str):
+        self.html, self.lost = html, set()  # quotes from which no end of a tag is reached
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.close = html.find(">")
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it is an end tag, tag, attributes) of the first mark from ``at`` on; a comment or declaration has no tag."""
+        html, i = self.html, self.html.find("<", at)
+        while i >= 0:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(html), False, "", ""
+            if 0 <= self.close < i:
+                self.close = html.find(">", i)
+            if self.close >= 0:
+                if html[i + 1] in "!?":
+                    return i, self.close + 1, False, "", ""
+                if name := NAME.match(html, i):
+                    end = self._end(name.end())
+                    return i, end + 1, bool(name[1]), name[2].lower(), html[name.end():end]
+            i = html.find("<", i + 1)
+        return None
+
+    def _end(self, at: int) -> int:
+        """The ``>`` that ends a tag: the first outside quotes or, if there is none, the first."""
+        html, tried = self.html, []
+        while found := SPECIAL.search(html, at):
+            at = found.start()
+            if html[at] == ">":
+                return at
+            if at in self.lost:
+                break
+            tried.append(at)
+            if self.last[html[at]] <= at:
+                break
+            at = html.find(html[at], at + 1) + 1
+        self.lost.update(tried)
+        return self.close
+
+
+class Trail:
+    """What speaks for or against an element, linked to that of the elements around it."""
+
+    __slots__ = ("above", "own", "reason", "holds", "seen", "prior")
+
+    def __init__(self, above: Trail | None, own: float, reason: frozenset[str], holds: str):
+        self.above, self.own, self.reason, self.holds = above, own, reason, holds
+        self.seen = self.prior = None  # (reasons from here up, best that is held below the last of them), evidence after relief
+
+    def unread(self, field: str) -> list[Trail]:
+        """This and the trails around it whose ``field`` is not yet known, outermost first."""
+        out, at = [], self
+        while at is not None and getattr(at, field) is None:
+            out.append(at)
+            at = at.above
+        return out[::-1]
 
 
 class Block:
     __slots__ = ("linked", "parent", "depth", "parts", "prior", "tag", "trail")
 
-    def __init__(self, prior: float, parent: int, depth: int, tag: str, trail: tuple = ()):
+    def __init__(self, prior: float, parent: int, depth: int, tag: str, trail: Trail | None = None):
         self.parts: list[str] = []
         self.linked, self.prior, self.parent, self.depth, self.tag, self.trail = 0, prior, parent, depth, tag, trail
 
@@ -114,9 +177,11 @@ def _inherited(prior: float, own: float) -> float:
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in reading order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, float, bool, int, tuple]] = []  # tag, evidence so far, unseen, number, trail so far
-    trail: tuple[tuple[float, frozenset[str], str], ...] = ()  # (evidence, reason against, what it holds) of the elements that have any
-    prior, unseen, parent, number, links = 0.0, 0, 0, 0, 0
+    stack: list[tuple[str, float, bool, int, Trail | None]] = []  # tag, evidence so far, unseen, number, trail so far
+    framed: list[int] = []  # places of block elements in the stack
+    open_tags: Counter[str] = Counter()
+    trail: Trail | None = None
+    prior, unseen, number, links = 0.0, 0, 0, 0
     block: Block | None = None
     at = 0
 
@@ -129,41 +194,43 @@ def blocks_of(html: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            block = Block(prior, parent, len(stack), stack[-1][0] if stack else "", trail)
+            block = Block(prior, stack[framed[-1]][3] if framed else 0, len(stack), stack[-1][0] if stack else "", trail)
             out.append(block)
         block.parts.append(text)
         if links:
             block.linked += len(text)
 
     def pop_to(depth: int) -> None:
-        nonlocal prior, unseen, parent, links, block, trail
+        nonlocal prior, unseen, links, block, trail
         while len(stack) > depth:
             tag, prior, hid, _, trail = stack.pop()
+            open_tags[tag] -= 1
             unseen -= hid
             links -= tag == "a"
             if tag in BLOCKS:
                 block = None
-        parent = next((x[3] for x in reversed(stack) if x[0] in BLOCKS), 0)
+                framed.pop()
+
+    def last(tag: str) -> int | None:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if open_tags[tag] else None
 
-    while m := MARK.search(html, at):
-        tag = (m[2] or m[5] or "").lower()
-        say(html[at:m.start()])
-        at = m.end()
+    marks = Marks(html)
+    while mark := marks.next(at):
+        start, end, closing, tag, attributes = mark
+        say(html[at:start])
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
-                block = None
-                continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if closing:
+            depth = last(tag)
             if depth is not None:
                 pop_to(depth)
             elif tag in BLOCKS:
                 block = None
             continue
-        attributes = m[3] if m[2] else m[6]
-        if tag == "body":  # a head that is still open ends here, whatever was left open in it
-            pop_to(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        if tag == "body":
+            while open_tags["head"]:  # a head that is still open ends here, whatever was left open in it
+                pop_to(last("head"))
         elif stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             pop_to(len(stack) - 1)
         if tag in VOID:
@@ -174,30 +241,32 @@ def blocks_of(html: str) -> list[Block]:
             continue
         shut = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else None)
         if shut:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(framed):
                 if stack[i][0] in shut:
                     pop_to(i)
                     break
-                if stack[i][0] in BLOCKS and (stack[i][0] in LISTS or tag not in CLOSES or stack[i][0] not in ("p", "li", "dd", "dt", "td", "th")):
+                if stack[i][0] in LISTS or tag not in CLOSES or stack[i][0] not in ("p", "li", "dd", "dt", "td", "th"):
                     break
         named, hidden, bad, main = _names(attributes) if attributes.strip() else (0.0, False, NO_REASON, False)
         if tag in ("html", "body"):  # their names tell of the page and its states, not of what is in it
             named, bad, main = 0.0, NO_REASON, False
         own = TAG_EVIDENCE.get(tag, 0) + named
         against = bad | {tag} if TAG_EVIDENCE.get(tag, 0) < 0 else bad
-        if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
+        if tag == "header" and not open_tags["article"] and not open_tags["main"]:
             own += TAG_EVIDENCE["nav"]
             against |= {tag}
         hid = hidden or tag in UNSEEN
         number += 1
         stack.append((tag, prior, hid, number, trail))
+        open_tags[tag] += 1
         if own or main:
-            trail += ((own, against if own < 0 else NO_REASON, "main" if main or tag == "main" else tag if tag == "article" else "content" if named >= 2 else ""),)
+            trail = Trail(trail, own, against if own < 0 else NO_REASON, "main" if main or tag == "main" else tag if tag == "article" else "content" if named >= 2 else "")
         prior = _inherited(prior, own)
         unseen += hid
         links += tag == "a"
         if tag in BLOCKS:
-            block, parent = None, number
+            block = None
+            framed.append(len(stack) - 1)
         if tag in RAW and not attributes.rstrip().endswith("/"):
             # nothing is markup in here but the element's own end tag; without one it goes on to the end of the page
             end = RAW_END[tag].search(html, at)
@@ -217,15 +286,15 @@ def relieved(read: list[tuple[Block, str]]) -> None:
     """
     held: dict[frozenset, tuple[float, str]] = {}  # by the reasons over a block: prose, and the best that lies below the last of them
     for b, t in read:
-        reasons, holds = set(), ""
-        for own, reason, what in b.trail:
-            if own < 0:
-                reasons.add(reason)
-                holds = ""
-            holds = max(holds, what, key=HOLDS.get)
+        for step in b.trail.unread("seen") if b.trail else ():
+            reasons, holds = step.above.seen if step.above else (frozenset(), "")
+            if step.own < 0:
+                reasons, holds = reasons if step.reason in reasons else reasons | {step.reason}, ""
+            step.seen = reasons, max(holds, step.holds, key=HOLDS.get)
+        reasons, holds = b.trail.seen if b.trail else (frozenset(), "")
         if len(t) > 80 and 10 * b.linked <= 3 * len(t) or holds == "main":
-            prose, best = held.get(key := frozenset(reasons), (0.0, ""))
-            held[key] = prose + PROSE * (len(t) > 80), max(best, holds, key=HOLDS.get)
+            prose, best = held.get(reasons, (0.0, ""))
+            held[reasons] = prose + PROSE * (len(t) > 80), max(best, holds, key=HOLDS.get)
     relief: dict[frozenset[str], float] = {}
     while True:
         done = relief.keys()
@@ -248,10 +317,10 @@ def relieved(read: list[tuple[Block, str]]) -> None:
             break
     if relief:
         for b, _ in read:
-            prior = 0.0
-            for own, reason, _ in b.trail:
-                prior = _inherited(prior, min(0.0, own + relief.get(reason, 0.0)) if own < 0 else own)
-            b.prior = prior
+            for step in b.trail.unread("prior") if b.trail else ():
+                own = min(0.0, step.own + relief.get(step.reason, 0.0)) if step.own < 0 else step.own
+                step.prior = _inherited(step.above.prior if step.above else 0.0, own)
+            b.prior = b.trail.prior if b.trail else 0.0
 
 
 def evidence(block: Block, text: str) -> float:
@@ -346,7 +415,9 @@ def main_text(html: str) -> str:
         return ""
     if any(b.prior < 0 for b, _ in read):
         relieved(read)
-    unary = [round(UNIT * evidence(b, t)) for b, t in read]
+    # a page on which nothing is linked or spoken against has no boilerplate to tell from
+    lean = PLAIN if not any(b.prior < 0 or b.linked for b, _ in read) else 0.0
+    unary = [round(UNIT * (evidence(b, t) + lean)) for b, t in read]
     edges, last = [], {}
     for i, (b, _) in enumerate(read):
         if i:

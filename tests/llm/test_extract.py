@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -112,3 +114,30 @@ def test_rows(spark):
     assert len(got) == 5 and {r["page_id"]: r["text"] for r in got}[None] == "\n".join(CLEAN)
     assert max(len(r["text"]) for r in got) == 11 * 40_000 - 1
     assert extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def seconds(html):
+    start = time.process_time()
+    extract.main_text(html)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: '<a "' * n, lambda n: "<a '\"" * n, lambda n: "<a " * n, lambda n: "<a<" * n + ">", lambda n: "<!" * n, lambda n: "<b>" * n + "</p>" * n, lambda n: "<b>" * n + "<p></p>" * n,
+    lambda n: "<ul><li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<div class=content>word " * n, lambda n: "<nav><div class=content>word " * n, lambda n: "<header>" * n, lambda n: "<" * n,
+])
+def test_odd_pages_take_time_in_proportion(make):
+    seconds(make(2_000))
+    assert seconds(make(40_000)) < 5 * max(seconds(make(20_000)), 0.05)
+
+
+def test_quotes_and_open_ends():
+    assert extract.main_text('<p title="a > b">One.</p><p title=\'"\'>Two.</p>') == "One.\nTwo."
+    assert extract.main_text('<p title="open>One.</p><p>Two.</p>') == "One.\nTwo."
+    assert extract.main_text("One <b two") == "One <b two" and extract.main_text("a < b > c") == "a < b > c"
+
+
+def test_a_page_without_junk_is_kept_however_short():
+    assert extract.main_text("Just a line.") == "Just a line." and extract.main_text("<p>ok") == "ok"
+    assert extract.main_text("<title>x</title><body><div>one</div><div>two</div>") == "one\ntwo"
+    assert extract.main_text("<nav>menu</nav>") == ""
