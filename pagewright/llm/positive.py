@@ -23,14 +23,14 @@ from .words import SpanHash, letters_and_digits, lower_table, spans, text_blocks
 
 ROWS = 8000
 BUCKETS = 1 << 18
-#: Bytes of the beginnings of words that are features, besides the whole words.
-STEMS = (5, 6)
+#: Bytes of the beginnings of words that are features, besides the whole words; inflected forms of a word share one.
+STEMS = (4,)
 #: Rows of the sample a feature must occur in: this share of them, and three at least.
 SEEN, LEAST_SEEN = 0.0005, 3
 #: Rows of a batch, and steps of the descent: forty rounds over a full sample, more over a smaller one.
 BATCH, STEPS = 1000, 320
 RATE = 0.1
-THIN = 5e-4
+THIN = 2e-4
 
 
 class Features:

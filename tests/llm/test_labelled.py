@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, the risk estimator, and odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -25,6 +26,43 @@ def test_held_out_rows_are_judged_right(tables, scores, label, at, least):
     assert np.mean([(r["score"] >= at) == bool(r[label]) for r in rows]) >= least
 
 
+@pytest.mark.parametrize("scores, label, at, right, caught", [(subword.quality_scores, "quality", 0.3, 0.97, 0.97), (positive.toxicity_scores, "toxic", 0.5, 0.97, 0.93)])
+def test_held_out_precision_and_recall(spark, scores, label, at, right, caught):
+    """Over the rare class of a larger table, where a scorer that calls all rows alike is nothing."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = scores(documents, labels).filter(labelled.held_out()).join(labels, "doc_id").toPandas()
+    rare = int(label == "toxic")  # poor quality, or toxic
+    said, true = (held["score"] >= at).astype(int) == rare, held[label] == rare
+    assert true.sum() > 80 and (said & true).sum() >= right * said.sum() and (said & true).sum() >= caught * true.sum()
+
+
+def test_toxicity_scores_are_those_of_the_weights():
+    """The scorer against sums over words and their beginnings taken one by one."""
+    texts = ["Bad words, bad WORDS here", "", "nice day", "bä d wordy 123abc", None]
+    weight = np.random.default_rng(3).normal(size=positive.BUCKETS).astype(np.float32) * (np.random.default_rng(4).random(positive.BUCKETS) < 0.5)
+    hasher, column = positive.Features().hasher, pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    score = positive.scorer(weight, -0.7)
+    for _, data, bounds in positive.text_blocks(column):
+        got = score(data, bounds)
+    for t, z in zip(texts, got):
+        buckets = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()):
+            for part, salt in [(w, 0)] + [(w[:n], 0xC0FFEE) for n in positive.STEMS if len(w) > n]:
+                raw = np.frombuffer(part, np.uint8)
+                h = hasher.of(hasher.sums(raw), np.array([0]), np.array([len(raw)])) ^ np.uint64(salt)
+                buckets.add(int(h[0] % np.uint64(positive.BUCKETS)))
+        assert z == pytest.approx(1 / (1 + np.exp(-(sum(float(weight[b]) for b in buckets) - 0.7))), abs=1e-6)
+
+
+def test_the_bound_of_the_sample_holds_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(i, "x") for i in range(2, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, quality int")
+    texts, y = labelled.sample(docs, labels, "quality", 50)
+    assert len(texts) == len(y) == 50
+    texts, y = labelled.sample(docs, labels, "quality", 1000)
+    assert len(texts) == len({i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_labels_of_the_held_out_fold_are_never_seen(spark, tables):
     documents, labels = tables
     twisted = labels.withColumn("quality", F.when(labelled.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
