@@ -3,10 +3,10 @@
 A sequence's contents are a *pattern* of lengths. The program asks for the fewest patterns that cover every length as
 often as it occurs; it depends on the histogram alone, which has at most ``capacity`` entries however many pieces there are.
 
-* Multiplicative weights: a length's weight falls exponentially with the share of it that is covered so far. Its
-  price is its length, raised by at most a part ``lift`` by the weight and by the length itself (at an optimum of a rich
-  histogram prices are proportional to lengths, those of long pieces a little above; a larger lift lets prices move further
-  from that). Two lifts and two lengths of the iteration are tried and the best result is kept.
+* Multiplicative weights: a length's weight starts at its length and falls exponentially with the share of it that is covered so far;
+  weights are the prices. Scaled by the best pattern's price they solve the dual program, so every round gives a lower bound of the
+  number of sequences, and the best of them is kept. Where lengths are many and all patterns come out full, prices near the lengths
+  pack better: further solutions let the weight raise the length by a part ``lift`` at most. The fewest sequences win, at a tie those of the pure weights.
 * Pricing: the pattern of the highest price, by knapsack dynamic programming over the capacity.
 * Rounding: patterns in order of their use, down or up (the better result is kept) and as often as whole pieces remain; what is left
   is best-fit decreasing, also on the histogram.
@@ -32,7 +32,7 @@ from .words import text_blocks
 
 ROUNDS = 192
 STEP = 0.5
-RATE = 4.0
+RATE, LIFTED_RATE = 1.0, 4.0
 
 
 def best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
@@ -62,19 +62,23 @@ def best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
     return taken
 
 
-def fractional(demand: np.ndarray, capacity: int, lift: float, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """(pattern, times) of an approximate solution of the linear program, most used first."""
-    lengths = np.arange(len(demand))
+def fractional(demand: np.ndarray, capacity: int, lift: float | None, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(pattern, times) of an approximate solution of the linear program, most used first, and the dual bound of its rounds.
+
+    Without ``lift`` the weights alone are the prices; with one they raise the lengths by that part at most.
+    """
+    lengths, bound = np.arange(len(demand)), 0.0
     covered = np.where(demand > 0, 0.0, 1.0)
     use: dict[bytes, tuple[np.ndarray, float]] = {}
     for _ in range(rounds):
         open_ = covered < 1 - 1e-9
         if not open_.any():
             break
-        weight = np.exp(-RATE * covered)
+        weight = np.exp(-(RATE if lift is None else LIFTED_RATE) * covered)
         weight /= weight[open_].max()
-        price = np.where(open_, lengths * (1 + lift * (lengths / capacity + weight) / 2), 0.0)
+        price = np.where(open_, lengths * (weight if lift is None else 1 + lift * (lengths / capacity + weight) / 2), 0.0)
         taken = best_pattern(price, capacity)
+        bound = max(bound, float(price @ demand) / float(price @ taken))
         on = taken > 0
         left = (1 - covered[on]) * demand[on]
         taken[on] = np.minimum(taken[on], np.maximum(1, np.ceil(left - 1e-9))).astype(np.int64)
@@ -83,7 +87,7 @@ def fractional(demand: np.ndarray, capacity: int, lift: float, rounds: int = ROU
         covered[on] = np.minimum(1.0, covered[on] + times * taken[on] / demand[on])
         key = taken.tobytes()
         use[key] = (taken, use.get(key, (taken, 0.0))[1] + times)
-    return sorted(use.values(), key=lambda x: -x[1])
+    return sorted(use.values(), key=lambda x: -x[1]), bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -120,16 +124,23 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(pattern, copies) that hold every piece of the histogram exactly once."""
+    return bounded_plan(histogram, capacity)[0]
+
+
+def bounded_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """``plan``, and a number of sequences below which no packing can go: the best dual bound, rounded up."""
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         demand[length] = n
     whole = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
     demand[capacity] = 0
+    full = int(sum(c for _, c in whole))
     if not demand.any():
-        return whole
-    found = []
-    for lift, rounds in ((1 / capacity, ROUNDS), (1 / capacity, ROUNDS // 8), (0.1, ROUNDS)):
-        solution = fractional(demand, capacity, lift, rounds)
+        return whole, full
+    found, least = [], 0.0
+    for lift, rounds in ((None, ROUNDS), (1 / capacity, ROUNDS), (1 / capacity, ROUNDS // 8), (0.1, ROUNDS)):
+        solution, bound = fractional(demand, capacity, lift, rounds)
+        least = max(least, bound)
         for whole_times in (np.floor, np.ceil):
             left, used = demand.copy(), []
             for taken, times in solution:
@@ -139,7 +150,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
                     left[on] -= copies * taken[on]
                     used.append(({int(x): int(taken[x]) for x in on}, copies))
             found.append(used + best_fit(left, capacity))
-    return whole + min(found, key=lambda x: sum(c for _, c in x))
+        if min(sum(c for _, c in x) for x in found) <= np.ceil(least - 1e-6):
+            break  # no packing has fewer
+    return whole + min(found, key=lambda x: sum(c for _, c in x)), full + int(np.ceil(least - 1e-6))
 
 
 class Places:
