@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A host is turned down when its shrunk failure rate is above this.
 MOST_FAILED = 0.5
 #: Bounds of the strength (a + b) of the prior, in documents.
@@ -78,7 +80,7 @@ def quality_verdicts(documents: DataFrame, host: str = "source", most: float = M
     """(doc_id, host, the measures, base_failed, host_rate, host_failed, kept) per row."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text_col).alias("text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = measured(docs).drop("text").withColumn("base_failed", base)
+    judged = cut(measured(docs).drop("text").withColumn("base_failed", base))  # texts are read once, for the rates and for the rows
     verdict = host_verdicts(judged, "host", "base_failed", most).select(
         F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_failed")
     return judged.join(verdict, F.col("host").eqNullSafe(F.col("_host"))).drop("_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
