@@ -5,14 +5,15 @@ cut there into chunks (a word with at most one space before it, or a run of othe
 up. Tier one is a broadcast table of the lengths of frequent chunks, at most ``FREQUENT`` of them; tier two is a bounded cache in each
 task, filled by the tokenizer itself on a miss. Chunks never leave their task: there is no shuffle.
 
-The frequent chunks come from ``SAMPLE`` documents. They only decide which tier answers, never a count: every count is the tokenizer's own.
+The frequent chunks are counted over all documents: each task keeps a sketch of ``SKETCH`` counters (what does not fit lowers all others alike, so any
+chunk with more than a ``SKETCH``-th part of a task's chunks is in it), and Spark adds the sketches up. Chunks of more than ``LONGEST`` bytes are left to
+tier two. The table only decides which tier answers, never a count: every count is the tokenizer's own.
 Texts where the chunk rule might not hold (white space outside ASCII, control separators, strings like a special token)
 are given to the tokenizer whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,8 @@ from .arrow import as_bytes, over_batches
 from .words import SpanHash, lower_table, space_separated, spans, text_blocks
 
 FREQUENT = 1 << 15
-SAMPLE = 2000
+SKETCH = 1 << 13
+LONGEST = 48
 #: Entries of a task's cache; at the bound it starts anew.
 CACHED = 1 << 19
 
@@ -84,21 +86,50 @@ def byte_chunks(data: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tupl
     return starts, ends, owner
 
 
+class Sketch:
+    """The most frequent short chunks of a stream of blocks, in at most twice ``SKETCH`` counters."""
+
+    def __init__(self):
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.size = np.zeros((0, LONGEST), np.uint8), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        short = end - start <= LONGEST
+        start, size = start[short], (end - start)[short]
+        at = np.minimum(start[:, None] + np.arange(LONGEST), len(data) - 1)
+        both = np.concatenate([self.hashes, hashes[short]])
+        self.hashes, first, back = np.unique(both, return_index=True, return_inverse=True)
+        self.counts = np.bincount(back, np.concatenate([self.counts, counts[short]])).astype(np.int64)
+        self.raw, self.size = np.concatenate([self.raw, data[at]])[first], np.concatenate([self.size, size])[first]
+        if len(both) > 2 * SKETCH:
+            floor = np.sort(self.counts)[::-1][SKETCH] if len(self.counts) > SKETCH else 0
+            keep = self.counts > floor
+            self.hashes, self.counts, self.raw, self.size = self.hashes[keep], self.counts[keep] - floor, self.raw[keep], self.size[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        chunks = [r[:n].tobytes() for r, n in zip(self.raw, self.size)]
+        return pa.RecordBatch.from_arrays([pa.array(self.hashes.view(np.int64)), pa.array(self.counts), pa.array(chunks, pa.binary())], ["h", "n", "chunk"])
+
+
 def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and token counts of the most frequent chunks of ``SAMPLE`` documents: tier one, about 300 KB."""
-    words, hasher, seen, some = space_separated(), SpanHash(3), Counter(), {}
-    texts = pa.array([bytes(r["text"]) for r in documents.head(SAMPLE)], pa.binary())  # reads the first files only
-    for _, data, bounds in text_blocks(texts):
-        s, e, _ = byte_chunks(data, bounds, words)
-        u, at, n = np.unique(hasher.of(hasher.sums(data), s, e), return_index=True, return_counts=True)
-        raw = data.tobytes()
-        for h, i, k in zip(u.tolist(), at.tolist(), n.tolist()):
-            seen[h] += k
-            if h not in some:
-                some[h] = raw[s[i]:e[i]]
-    best = sorted(h for h, _ in seen.most_common(FREQUENT))
-    got = tokenizer_at(path).encode_batch_fast([some[h].decode("utf-8", "replace") for h in best], add_special_tokens=False)
-    return np.array(best, np.uint64), np.array([len(x) for x in got], np.int64)
+    """Sorted hashes and token counts of the most frequent chunks of all documents: tier one, about 500 KB."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hasher, sketch = space_separated(), SpanHash(3), Sketch()
+        for b in batches:
+            for _, data, bounds in text_blocks(b.column("text")):
+                s, e, _ = byte_chunks(data, bounds, words)
+                if len(s):
+                    u, at, n = np.unique(hasher.of(hasher.sums(data), s, e), return_index=True, return_counts=True)
+                    sketch.add(u, n, data, s[at], e[at])
+        yield sketch.rows()
+
+    counted = over_batches(documents.select("text"), count, "h long, n long, chunk binary").groupBy("h").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk"))
+    best = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    got = tokenizer_at(path).encode_batch_fast([c.as_py().decode("utf-8", "replace") for c in best.column("chunk")], add_special_tokens=False)
+    hashes = best.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([len(x) for x in got], np.int64)[order]
 
 
 def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,7 +105,8 @@ def test_empty_tables(spark):
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=15))
 @settings(max_examples=60, deadline=None)
 def test_plans_hold_every_piece_once(histogram):
-    patterns = packing.plan(histogram, 40)
+    patterns, least = packing.bounded_plan(histogram, 40)
+    assert least <= sum(c for _, c in patterns)
     held = defaultdict(int)
     for pattern, copies in patterns:
         assert copies > 0 and sum(x * n for x, n in pattern.items()) <= 40
@@ -133,3 +134,28 @@ def test_pricing_is_the_best_multiset():
             best[c] = max([best[c - 1], *(best[c - x] + price[x] for x in range(1, c + 1) if price[x] > 0)])
         taken = packing.best_pattern(price, 12)
         assert (taken * np.arange(13)).sum() <= 12 and abs((taken * price).sum() - best[12]) < 1e-9
+
+
+def test_dual_bound_meets_the_best_packing():
+    assert packing.bounded_plan({6: 10, 4: 10}, 10)[1] == 10 == sum(c for _, c in packing.plan({6: 10, 4: 10}, 10))
+    assert packing.bounded_plan({6: 10}, 10)[1] == 10  # two do not fit: the bound knows, the sum of lengths does not
+    rnd = np.random.default_rng(3)
+    many = {int(x): int(n) for x, n in zip(*np.unique(rnd.integers(1, 500, 4000), return_counts=True))}
+    patterns, least = packing.bounded_plan(many, 512)
+    assert sum(c for _, c in patterns) == least
+
+
+def test_frequent_chunks_are_those_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SKETCH", 40)
+    monkeypatch.setattr(tokens, "FREQUENT", 8)
+    rnd = np.random.default_rng(4)
+    often = [f"often{i}" for i in range(8)]
+    texts = [" ".join(["first only"] * 3)] * 5 + [" ".join([*(f"w{x}" for x in rnd.integers(0, 10**9, 60)), *often, "x" * 5000]) for _ in range(200)]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3)
+    hashes, lengths = tokens.frequent_lengths(docs, BYTES)
+    hasher, tok = tokens.SpanHash(3), Tokenizer.from_file(BYTES)
+    want = {}
+    for w in often:
+        raw = np.frombuffer(f" {w}".encode(), np.uint8)
+        want[int(hasher.of(hasher.sums(raw), np.array([0]), np.array([len(raw)]))[0])] = len(tok.encode(f" {w}", add_special_tokens=False).ids)
+    assert dict(zip(hashes.tolist(), lengths.tolist())) == want
