@@ -11,9 +11,9 @@ How Spark deals the work out, so that no pair that links is lost:
    documents agree on. The order here puts shingles of crowded hash groups last (a count of fixed size over the
    corpus), so that a passage that many documents share is a key only of documents that hold little else.
    Nodes that share such a key form a *cell*.
-3. First each node of a cell is compared with the cell's smallest node: a number of pairs linear in the rows. Only
-   cells that still hold several components then go through the R-tree, in slices of bounded size, and only
-   between components. So a heap of near copies costs a star, not all its pairs.
+3. First each node is compared with the smallest node it shares any cell with: one pair a node. Then, only where components still meet in a
+   cell, a node is compared with the cell's smallest node. Only cells that hold several components even then go through the R-tree, in
+   slices of bounded size, and only between components. So a heap of near copies costs a star, not all its pairs.
 4. Components need a spanning set of links only. Where all links of a node are to be counted (``links=True``), each component
    is cut into slices of bounded bytes, and each pair of slices is met once, in one task, which counts exact overlaps by an
    inverted index and adds up links per node. That costs all pairs of a component, but no pair is emitted.
@@ -259,6 +259,13 @@ def _keep_pairs(both: DataFrame, kind: str, links) -> DataFrame:
     return over_batches(both, check, "a long, b long")
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``members`` (doc_id, key, c, a) of cells that hold several components, with their component and that of the cell's smallest node (``least``)."""
+    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
+    cells = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "doc_id").alias("least")).filter("x <> y").select("key", "least")
+    return cut(placed.join(cells, "key"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -274,8 +281,9 @@ def _linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> DataFram
         same = int(np.count_nonzero(one[1:] == one[:-1]))
         return 100 * same >= percent * (len(x) + len(y) - same)
 
-    near = cut(_keep_pairs(_paired(pairs, _of_wanted(docs, k, _ends(pairs), "fine", fine_point), "fine"), "<u2", may))
-    sets = _of_wanted(docs, k, _ends(near), "shingles", lambda h: h)
+    pairs = cut(pairs)
+    near = cut(_keep_pairs(_paired(pairs, _of_wanted(docs, k, cut(_ends(pairs)), "fine", fine_point), "fine"), "<u2", may))
+    sets = _of_wanted(docs, k, cut(_ends(near)), "shingles", lambda h: h)
     return cut(_keep_pairs(_paired(near, sets, "shingles"), "<u8", does))
 
 
@@ -396,26 +404,33 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     shared = cut(postings.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("c > 1"))
     wide = shared.filter("c > 2").select("key", "c", "a")
     members = cut(_postings_among(nodes, bloom.build(wide, "key", KEY_BITS)).join(wide, "key"))
-    star = shared.filter("c = 2").select("a", F.col("z").alias("b")).unionByName(
-        members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
+    twos = cut(shared.filter("c = 2").select("a", F.col("z").alias("b")).distinct())
+    rays = members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     small = nodes.select("doc_id", "n", "point")
-    star = cut(_within(small, star, percent).select("a", "b"))
-    spanning = _linked(docs, k, star, percent)
     ids = reps.select("node")
-    comp = connected_components(ids, spanning, [])
-    # what the stars left apart: cells that still hold several components
-    apart = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
-    open_cells = apart.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    # one pair a node: the smallest node it meets
+    one = cut(twos.unionByName(rays).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    spanning = _linked(docs, k, _within(small, one, percent).select("a", "b"), percent)
+    comp = cut(connected_components(ids, spanning, []))
+    # then what that left apart, in the cells where components still meet
+    apart = _open(members, comp)
+    of = comp.withColumnRenamed("comp", "other")
+    pairs = twos.join(comp, twos["b"] == comp["node"]).drop("node").join(of, F.col("a") == of["node"]).filter("comp <> other").select("a", "b")
+    star = cut(pairs.unionByName(apart.filter("comp <> least").select("a", F.col("doc_id").alias("b"))).distinct().join(one, ["a", "b"], "left_anti"))
+    if not star.isEmpty():
+        spanning = spanning.unionByName(_linked(docs, k, _within(small, star, percent).select("a", "b"), percent))
+        comp = cut(connected_components(ids, spanning, []))
+        apart = _open(apart.drop("comp", "least"), comp)
     slices = F.ceil(F.col("c") / SLICE).cast("int")
     cells = (
-        apart.join(open_cells, "key", "left_semi").join(small, "doc_id")
+        apart.join(small, "doc_id")
         .withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("comp", "doc_id"), F.col("slices")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                 F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
                 "doc_id", "n", "comp", "point")
     )
-    more = cut(_search(cells, percent).join(star, ["a", "b"], "left_anti"))
+    more = cut(_search(cells, percent).join(one.unionByName(star), ["a", "b"], "left_anti"))
     linked = spanning
     if not more.isEmpty():
         linked = linked.unionByName(_linked(docs, k, more, percent))
