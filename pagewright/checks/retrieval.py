@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import unit
+from ..operators import index as kept_index
 from ..operators import prompts as prompt_ops
 from ..operators import retrieval as ops
+from ..session import fresh_path, spread
 from ..sources import maps
 from .registry import Tables, check
 
@@ -30,7 +32,7 @@ posting AS (SELECT entry_idx, has_ref, unnest(words) AS word FROM entries)
 
 
 def entries(t: Tables):
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text")).select(
         F.col("doc_id").alias("entry_idx"), words(F.col("text")).alias("words"),
         (F.col("doc_id") % 2 == 0).alias("has_ref"),
     )
@@ -91,6 +93,17 @@ def _(t):
     return ops.retrieve_topk(entries(t), prompts(t))
 
 
+@check("retrieve_kept_index", f"""WITH {TOPK}
+SELECT prompt_id, entry_idx, score, rank FROM best WHERE rank <= 4
+UNION ALL
+SELECT prompt_id, entry_idx, 0, rank FROM prompts, first WHERE prompt_id NOT IN (SELECT prompt_id FROM scores)""")
+def _(t):
+    """An index that was written before and is opened by its path."""
+    path = fresh_path(t.spark, "index")
+    kept_index.build(entries(t).filter("has_ref"), path)
+    return ops.topk_from(kept_index.opened(t.spark, path), prompts(t))
+
+
 def _unrestricted(sql: str) -> str:
     """The same with every entry eligible."""
     return sql.replace("WHERE has_ref GROUP BY ALL", "GROUP BY ALL").replace("FROM entries WHERE has_ref", "FROM entries")

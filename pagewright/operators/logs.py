@@ -1,7 +1,7 @@
 """Logs of many sources: repeats, retention, signs of damage, stalls.
 
 Rows are (source, ts, line_id, level, text). One busy source may hold most of the rows, so everything ordered goes by
-time slices of a source.
+slices of a source.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ def _order() -> list[Column]:
     return [F.col("ts"), F.col("line_id")]
 
 
-def by_time(log: DataFrame, slice_by: str = "hour") -> DataFrame:
-    """Cuts every source into time slices."""
-    return log.withColumn(ordered.SLICE, F.date_trunc(slice_by, "ts"))
+def by_time(log: DataFrame) -> DataFrame:
+    """Cuts the sources, in the order of time, into slices of about as many rows."""
+    return ordered.range_slices(log, ["source"], _order())
 
 
-def repeat_collapse(log: DataFrame, slice_by: str = "hour") -> DataFrame:
+def repeat_collapse(log: DataFrame) -> DataFrame:
     """Immediate repeats of one (level, text) of a source written once."""
     said = F.struct("level", "text")
-    seen = ordered.previous(by_time(log, slice_by), ["source"], _order(), said, "before")
+    seen = ordered.previous(by_time(log), ["source"], _order(), said, "before")
     return seen.filter(~said.eqNullSafe(F.col("before"))).select(*log.columns)
 
 
@@ -45,18 +45,18 @@ def line_bytes() -> Column:
     return F.lit(STAMP_CHARS + 3) + F.greatest(F.length("level"), F.lit(LEVEL_CHARS)) + F.octet_length(text)
 
 
-def _from_newest(log: DataFrame, size: Column, slice_by: str) -> DataFrame:
+def _from_newest(log: DataFrame, size: Column) -> DataFrame:
     """Adds ``size``, ``total`` of the source and ``rest``: the size from this line to the newest."""
-    sized = by_time(log, slice_by).withColumn("size", size)
+    sized = by_time(log).withColumn("size", size)
     run = ordered.running_sum(sized, ["source"], _order(), F.col("size"), "upto")
     total = sized.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("total"))
     whole = run.join(total, run["source"].eqNullSafe(total["_source"])).drop("_source")
     return whole.withColumn("rest", F.col("total") - F.col("upto") + F.col("size")).drop("upto", ordered.SLICE)
 
 
-def log_retention(log: DataFrame, max_bytes: int = MAX_BYTES, keep_bytes: int = KEEP_BYTES, slice_by: str = "hour") -> DataFrame:
+def log_retention(log: DataFrame, max_bytes: int = MAX_BYTES, keep_bytes: int = KEEP_BYTES) -> DataFrame:
     """Sources over ``max_bytes`` keep their newest whole lines inside ``keep_bytes``, after a line that says so."""
-    w = _from_newest(log, line_bytes(), slice_by)
+    w = _from_newest(log, line_bytes())
     over = F.col("total") > max_bytes
     kept = w.filter(~over | (F.col("rest") < keep_bytes)).select(*log.columns)
     kinds = {f.name: f.dataType for f in log.schema.fields}
@@ -65,9 +65,9 @@ def log_retention(log: DataFrame, max_bytes: int = MAX_BYTES, keep_bytes: int =
     return kept.unionByName(note)
 
 
-def damage_signs(log: DataFrame, signs: tuple[str, ...] = DAMAGE_SIGNS, tail: int = TAIL_CHARS, slice_by: str = "hour") -> DataFrame:
+def damage_signs(log: DataFrame, signs: tuple[str, ...] = DAMAGE_SIGNS, tail: int = TAIL_CHARS) -> DataFrame:
     """(source, damaged): whether a damage phrase stands within the last characters of a source's log."""
-    w = _from_newest(log, F.length("text") + 1, slice_by)
+    w = _from_newest(log, F.length("text") + 1)
     shown = w.filter(F.col("rest") - F.col("size") < tail).withColumn(
         "seen", F.when(F.col("rest") <= tail, F.col("text")).otherwise(
             F.expr(f"right(text, cast({tail} - (rest - size) - 1 AS int))")))
@@ -81,8 +81,8 @@ def seconds_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
-def stall_gaps(beats: DataFrame, limit: float = STALL_SECONDS, slice_by: str = "hour") -> DataFrame:
+def stall_gaps(beats: DataFrame, limit: float = STALL_SECONDS) -> DataFrame:
     """(source, stalled_at, resumed_at, seconds) wherever two heartbeats lie further apart than ``limit``."""
-    p = ordered.previous(by_time(beats, slice_by), ["source"], _order(), F.col("ts"), "before")
+    p = ordered.previous(by_time(beats), ["source"], _order(), F.col("ts"), "before")
     gap = seconds_between(F.col("before"), F.col("ts"))
     return p.filter(gap > limit).select("source", F.col("before").alias("stalled_at"), F.col("ts").alias("resumed_at"), gap.alias("seconds"))

@@ -1,7 +1,7 @@
 """Ordered work per group that survives a group holding a large part of all rows.
 
 A plain window over a hot key sorts that key in one task. Here every group is cut into slices by a
-column that never decreases along the order (a coarse time, a quantile of the id). Windows run inside
+number that never decreases along the order (``range_slices``, or a coarse place where that is bounded). Windows run inside
 slices; what one slice owes the next is a single row per slice, and only those rows meet in a
 second, far smaller window. Results are exactly those of the plain window.
 """
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SLICE = "_slice"
 
 
-def quantile_slices(df: DataFrame, order: str, slices: int = 64) -> DataFrame:
-    """Adds a slice number that splits a numeric order column into about equal parts.
+def range_slices(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """Adds a slice number by a range sort over the keys and the whole order, written once.
 
-    The cut points are a constant-size aggregate read back as a scalar subquery.
+    Slices hold about as many rows each wherever the rows lie: a hot group, a burst in one hour and a tied value (told apart by what follows it in the
+    order, then by row) are cut like anything else. Spark takes the bounds from a sample it draws below the shuffle.
     """
-    at = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(order, at, 1000).alias("cuts"))
-    return df.withColumn("_cuts", cuts.scalar()).withColumn(
-        SLICE, F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    return cut(tied.repartitionByRange(*keys, *order, "_tie").drop("_tie").withColumn(SLICE, F.spark_partition_id()))
 
 
 def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,6 +95,6 @@ def previous(df: DataFrame, keys: list[str], order: list[Column], value: Column,
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row ``median``: the mean of the two middle values, found by numbering slices instead of one big sort."""
     some = df.filter(F.col(value).isNotNull()).select(value)
-    numbered = number_rows(quantile_slices(some, value), [], [F.col(value)], "_n")
+    numbered = number_rows(range_slices(some, [], [value]), [], [F.col(value)], "_n")
     n = some.agg(F.count("*").alias("n"))
     return numbered.withColumn("_c", n.scalar()).filter("_n = (_c + 1) div 2 OR _n = _c div 2 + 1").agg(F.avg(value).alias("median"))

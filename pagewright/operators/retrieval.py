@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import md5_order, words
 from ..functions.vectors import cosine_unit
 from ..session import cut, is_empty
+from . import index as kept_index
 
 # fixed values: defaults of a map and of its near-duplicate rule
 TOP_K = 4
@@ -61,14 +62,13 @@ def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
-def _or_first(entries: DataFrame, prompts: DataFrame, best: DataFrame, k: int, require_ref: bool) -> DataFrame:
-    """``best`` with the first ``k`` entries for every prompt it says nothing about.
+def _or_first(first: DataFrame, prompts: DataFrame, best: DataFrame) -> DataFrame:
+    """``best`` with the entries of ``first`` for every prompt it says nothing about.
 
     The prompts are laid over the result once, so scoring is not run a second time to find who went without.
     """
     cols = [c for c in best.columns if c != "prompt_id"]
-    eligible = entries.filter("has_ref") if require_ref else entries
-    first = eligible.select("entry_idx").orderBy("entry_idx").limit(k).agg(F.array_sort(F.collect_list("entry_idx")))
+    first = first.agg(F.array_sort(F.collect_list("entry_idx")))
 
     def instead(entry, pos):
         values = {"entry_idx": entry, "score": F.lit(0).cast("long")}
@@ -79,11 +79,25 @@ def _or_first(entries: DataFrame, prompts: DataFrame, best: DataFrame, k: int, r
     return laid.select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
 
 
+def _first(entries: DataFrame, k: int, require_ref: bool) -> DataFrame:
+    eligible = entries.filter("has_ref") if require_ref else entries
+    return eligible.select("entry_idx").orderBy("entry_idx").limit(k)
+
+
+def topk_from(index: kept_index.Index, prompts: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The best ``k`` entries of a kept index (``index.build``, ``index.opened``) per prompt; a prompt that matches nothing gets the first ``k``."""
+    best = kept_index.top_scores(index, prompt_words(prompts), k)
+    return _or_first(kept_index.first_entries(index, k), prompts, best)
+
+
 def retrieve_topk(entries: DataFrame, prompts: DataFrame, k: int = TOP_K, require_ref: bool = True) -> DataFrame:
-    """The best ``k`` entries per prompt; a prompt that matches nothing gets the first ``k``."""
+    """The best ``k`` entries per prompt; a prompt that matches nothing gets the first ``k``.
+
+    For prompts that come once: every posting of their words is counted. Where prompts keep coming, ``topk_from`` a kept index reads far fewer.
+    """
     scores = keyword_score(retrieve_join(entries, prompts, require_ref))
     best = ranked(scores, k).select("prompt_id", "entry_idx", "score", "rank")
-    return _or_first(entries, prompts, best, k, require_ref)
+    return _or_first(_first(entries, k, require_ref), prompts, best)
 
 
 def walk_score(entries: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -112,7 +126,7 @@ def seeded_draw(entries: DataFrame, prompts: DataFrame, seed: int, k: int = TOP_
         md5_order(F.lit(seed), F.col("prompt_id"), F.col("entry_idx")), "entry_idx"
     )
     drawn = pool.withColumn("draw", F.row_number().over(by)).filter(F.col("draw") <= k)
-    return _or_first(entries, prompts, drawn.select("prompt_id", "entry_idx", "score", "rank", "draw"), k, require_ref)
+    return _or_first(_first(entries, k, require_ref), prompts, drawn.select("prompt_id", "entry_idx", "score", "rank", "draw"))
 
 
 def _keep(kept: Column, nxt: Column, k: int, limit: float) -> Column:

@@ -30,7 +30,7 @@ def numbered_after(rows: DataFrame, store: DataFrame, order: str) -> DataFrame:
     Numbers come from per-slice counts, so no single task sees all rows.
     """
     top = store.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
-    n = ordered.number_rows(ordered.quantile_slices(rows, order), [], [F.col(order)], "_n")
+    n = ordered.number_rows(ordered.range_slices(rows, [], [order]), [], [F.col(order)], "_n")
     return n.withColumn("_top", top.scalar()).withColumn("id", F.col("_top") + F.col("_n")).drop("_n", "_top", ordered.SLICE)
 
 
@@ -99,7 +99,7 @@ def photo_rotation(photos: DataFrame, excluded: DataFrame, chosen: DataFrame, ca
     very many photos is numbered slice by slice.
     """
     pos = F.when(F.col("is_primary"), F.lit(-1)).otherwise(F.col("seq")).cast("long")
-    sliced = ordered.quantile_slices(photos.withColumn("_pos", pos), "_pos")
+    sliced = ordered.range_slices(photos.withColumn("_pos", pos), ["person_id"], ["_pos", "seq"])
     order = [F.col("_pos"), F.col("seq")]
     numbered = ordered.number_rows(sliced, ["person_id"], order, "_n").withColumn("idx", (F.col("_n") - 1).cast("long"))
     out = excluded.select("person_id", F.col("idx").cast("long").alias("idx"), F.lit(True).alias("_out"))
@@ -113,8 +113,7 @@ def photo_rotation(photos: DataFrame, excluded: DataFrame, chosen: DataFrame, ca
         .withColumn("turn", F.pmod(F.col("idx") - F.coalesce("lead", F.lit(0)), F.col("n")))
     )
     if cap is None:
-        again = ordered.number_rows(turned.drop(ordered.SLICE).transform(ordered.quantile_slices, "turn"),
-                                    ["person_id"], [F.col("turn")], "place")
+        again = ordered.number_rows(ordered.range_slices(turned.drop(ordered.SLICE), ["person_id"], ["turn"]), ["person_id"], [F.col("turn")], "place")
         return again.select("person_id", "seq", "idx", "place")
     by = Window.partitionBy("person_id").orderBy("turn")
     best = turned.withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= cap)

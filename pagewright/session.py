@@ -38,5 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer files than there are cores dealt over all of them, before costly work on each; any other table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import pandas as pd
 import pytest
@@ -76,3 +77,21 @@ def test_store_on_disk_keeps_the_newest(spark):
     sinks.save_answers(spark.createDataFrame([("k", "aa1", 1, "old", "end_turn", "m"), ("k", "bb1", 1, "only", "end_turn", "m")], cols), path)
     sinks.save_answers(spark.createDataFrame([("k", "aa1", 2, "new", "end_turn", "m")], cols), path)
     assert {r["key"]: r["text"] for r in sinks.load_answers(spark, path, "k").collect()} == {"aa1": "new", "bb1": "only"}
+
+
+def test_json_text_of_odd_characters_and_of_long_texts(spark):
+    """The escape against ``json.dumps``, and its time in proportion to the text."""
+    texts = ["", "plain", 'q"b\\s/', "\b\t\n\f\r\x00\x1f\x7f", "é日本", "😀a😀", "\\u000a", "a b", "tail\n", '"', "\\", "퟿", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", json_string(F.col("t")).alias("j")).collect():
+        assert r["j"] == (None if texts[r["i"]] is None else json.dumps(texts[r["i"]]))
+
+    def seconds(n):
+        start = time.time()
+        got = spark.range(8).select(json_string(F.repeat(F.lit('é"x\n '), n)).alias("j")).agg(F.sum(F.length("j"))).first()[0]
+        assert got == 8 * (len(json.dumps('é"x\n ')[1:-1]) * n + 2)
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(200_000) < 20  # a million characters a row
+    assert seconds(16_000) < 3 * max(seconds(8_000), 0.5)

@@ -8,7 +8,7 @@ def test_slices_equal_plain_windows_on_a_hot_group(spark):
     df = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(0)).alias("k"), F.col("id").alias("t"),
         (F.col("id") * 37 % 101).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("maybe"))
-    sliced = ordered.quantile_slices(df, "t", 16)
+    sliced = ordered.range_slices(df, ["k"], ["t"])
     order = [F.col("t")]
     out = ordered.running_sum(sliced, ["k"], order, F.col("v"), "s")
     out = ordered.running_max(out, ["k"], order, F.col("v"), "m")
@@ -25,3 +25,16 @@ def test_median(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select((F.col("id") * 3.0).alias("v"))
         assert ordered.exact_median(df, "v").first()[0] == (n - 1) * 1.5
+
+
+def test_bursts_and_ties_are_spread_over_slices(spark):
+    """One group, one hour, one value for most rows: no slice holds much more than its share, and windows stay exact."""
+    df = spark.range(8000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 10 > 0, F.lit(5)).otherwise(F.col("id")).alias("t"), "id")
+    sliced = ordered.range_slices(df, ["k"], ["t", "id"])
+    sizes = [r["count"] for r in sliced.groupBy(ordered.SLICE).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 3 * 8000 / len(sizes)
+    order = [F.col("t"), F.col("id")]
+    got = ordered.number_rows(sliced, ["k"], order, "n").select("id", "n")
+    assert got.exceptAll(df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).alias("n"))).count() == 0
+    same = ordered.range_slices(spark.range(4000).select(F.lit(1).alias("v")), [], ["v"])
+    assert same.select(ordered.SLICE).distinct().count() >= 4

@@ -63,3 +63,22 @@ def test_trigger_is_not_doubled(spark):
     df = spark.createDataFrame([("a Knight rides", "knight"), ("a horse", "knight"), ("x", None)], "p string, t string")
     got = [r[0] for r in df.select(with_trigger(F.col("p"), F.col("t"))).collect()]
     assert got == ["a Knight rides", "a horse, knight", "x"]
+
+
+def test_the_kept_index_equals_a_walk(spark, tmp_path):
+    """Random words of very unequal frequency, ties at the last place, prompts with few and with no matches."""
+    from pagewright.operators import index as I
+
+    rng = np.random.default_rng(5)
+    pick = lambda n: sorted({f"w{int(x)}" for x in rng.zipf(1.3, n) if x < 400})
+    entries = [(i, pick(rng.integers(0, 40))) for i in range(500)] + [(900 + i, ["w1", "w2", "w3"]) for i in range(30)]
+    asked = {p: pick(rng.integers(1, 30)) for p in range(25)} | {50: ["w399x"], 51: ["w1"], 52: ["w1", "w2", "w3", "nowhere"]}
+    index = I.build(spark.createDataFrame(entries, "entry_idx long, words array<string>"), str(tmp_path / "index"))
+    words = spark.createDataFrame([(p, w) for p, ws in asked.items() for w in ws], "prompt_id long, word string")
+    for k in (1, 4, 700):
+        got = {}
+        for r in I.top_scores(I.opened(spark, str(tmp_path / "index")), words, k).collect():
+            got.setdefault(r["prompt_id"], {})[r["rank"]] = (r["entry_idx"], r["score"])
+        for p, ws in asked.items():
+            scored = sorted(((-len(set(ws) & set(e)), i) for i, e in entries if set(ws) & set(e)))[:k]
+            assert got.get(p, {}) == {n + 1: (i, -s) for n, (s, i) in enumerate(scored)}, (k, p)
