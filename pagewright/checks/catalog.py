@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as ops
+from ..session import fresh_path
 from ..sources import catalogs
 from .registry import Tables, check
 
@@ -210,6 +211,23 @@ def _(t):
     return ops.shallowest_wins(files)
 
 
+@check("src_presets", """
+WITH x AS (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS item_no, p_partkey, p_name, p_type, p_brand FROM part)
+SELECT p_size, item_no::INT AS item_no, 'preset ' || p_partkey AS name, p_name || ', "' || p_type || '"' AS style,
+  CASE WHEN p_partkey % 2 = 0 THEN p_type END AS negative, p_name AS example, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS model_hint FROM x""")
+def _(t):
+    """Preset files, one for each size, written and read back."""
+    item = F.struct(
+        F.concat(F.lit("preset "), "p_partkey").alias("name"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("style"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("negative"), F.col("p_name").alias("example"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise("").alias("model_hint"))
+    lists = t.part.groupBy("p_size").agg(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("l"))
+    path = fresh_path(t.spark, "presets")
+    lists.select("p_size", F.to_json(F.struct(F.col("l.item").alias("presets"))).alias("value")).write.partitionBy("p_size").text(path)
+    size = F.regexp_extract("host_id", r"p_size=(\d+)", 1).cast("int")
+    return catalogs.read_presets(t.spark, path).withColumn("p_size", size).drop("host_id")
+
+
 @check("src_manifest", """
 WITH x AS (SELECT p_partkey, p_type, p_brand, p_name, unnest(range(p_size % 4 + 1)) AS i FROM part)
 SELECT 'host/' || p_partkey AS host_id, i::INT AS item_no, p_type AS dir, p_name || '_' || i || '.safetensors' AS local,

@@ -169,15 +169,7 @@ def ranking(v):
     )
 
 
-@check("near_dup_thin", f"""{WALK}
-SELECT label AS prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank,
-       generate_subscripts(ids, 1) AS place FROM last""")
-def _(t):
-    v = vectors(t)
-    return ops.near_dup_thin(ranking(v), v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
-
-
-@check("retrieve_thinned", f"""WITH RECURSIVE {_unrestricted(TOPK)}, {VECTORS},
+THINNED = f"""WITH RECURSIVE {_unrestricted(TOPK)}, {VECTORS},
 ranking AS (SELECT prompt_id, entry_idx, rank, e FROM best LEFT JOIN vectors ON vec_id = entry_idx),
 walk AS (
   SELECT DISTINCT prompt_id, 0::BIGINT AS pos, []::BIGINT[] AS ids, []::BIGINT[] AS ranks, []::DOUBLE[][] AS es FROM ranking
@@ -187,13 +179,33 @@ walk AS (
   FROM walk w JOIN ranking r ON r.prompt_id = w.prompt_id AND r.rank = w.pos + 1,
   LATERAL (SELECT list_position(list_transform(w.es, lambda q: list_dot_product(q, r.e) > 0.97), true) IS NULL AS ok) WHERE len(w.ids) < 4),
 last AS (SELECT prompt_id, ids, ranks FROM walk QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY pos DESC) = 1)
-SELECT prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank, generate_subscripts(ids, 1) AS place FROM last""")
+SELECT prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank, generate_subscripts(ids, 1) AS place FROM last"""
+
+
+@check("near_dup_thin", f"""{WALK}
+SELECT label AS prompt_id, unnest(ids) AS entry_idx, unnest(ranks) AS rank,
+       generate_subscripts(ids, 1) AS place FROM last""")
+def _(t):
+    v = vectors(t)
+    return ops.near_dup_thin(ranking(v), v.select(F.col("vec_id").alias("entry_idx"), "e"), k=THIN_K, pool=16)
+
+
+@check("retrieve_thinned", THINNED)
 def _(t):
     # from words to kept entries in one job: every document is an entry, its vector the one of the same number
     ranking_ = ops.ranked(ops.keyword_score(ops.retrieve_join(entries(t), prompts(t))))
     return ops.near_dup_thin(ranking_, vectors(t).select(F.col("vec_id").alias("entry_idx"), "e"), k=4)
 
 
+@check("retrieve_map_files", THINNED)
+def _(t):
+    """One job from map files to thinned answers: read, words, ranking, vectors, walk."""
+    read = ops.entry_words(maps.map_entries(maps.read_map_files(t.spark, map_files(t, F.lit(None).cast("array<string>")))))
+    known = read.select(F.regexp_extract("image", r"doc_(\d+)", 1).cast("long").alias("entry_idx"), "words")
+    ranking_ = ops.ranked(ops.keyword_score(ops.retrieve_join(known, prompts(t))))
+    return ops.near_dup_thin(ranking_, vectors(t).select(F.col("vec_id").alias("entry_idx"), "e"), k=4)
+
+
 @check("near_dup_pairs", f"""{WALK}
 SELECT label AS prompt_id, seen AS entry_idx, pos AS rank, copy_of AS kept_idx FROM walk WHERE copy_of IS NOT NULL""")
 def _(t):
@@ -232,6 +244,28 @@ def _(t):
     )
 
 
+def map_files(t: Tables, keywords) -> str:
+    """A folder of map files, each of at most fifty documents, none of which names its entries by number."""
+    item = F.struct(F.concat(F.lit("doc_"), "doc_id", F.lit(".png")).alias("image"), keywords.alias("keywords"), F.col("text").alias("caption"))
+    maps_ = t.documents.groupBy(F.expr("doc_id div 50").alias("no")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("l"))
+    value = F.to_json(F.struct(F.concat(F.lit("map "), "no").alias("name"), F.when(F.col("no") % 2 == 0, F.lit("ink")).alias("lora"), F.col("l.item").alias("entries")))
+    path = fresh_path(t.spark, "maps")
+    maps_.select("no", value.alias("value")).write.partitionBy("no").text(path)
+    return path
+
+
+@check("src_map_files", f"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS entry_idx,
+  CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' ELSE '' END || coalesce(text, '') AS said FROM documents)
+SELECT 'map ' || doc_id // 50 AS name, CASE WHEN doc_id // 50 % 2 = 0 THEN 'ink.safetensors' END AS lora, entry_idx::INT AS entry_idx, 'doc_' || doc_id || '.png' AS image,
+  len({_words('said')}) AS n_words, md5(array_to_string(list_sort({_words('said')}), ' ')) AS words_md5 FROM d""")
+def _(t):
+    """Map files written and read back, with the words of their entries."""
+    path = map_files(t, F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")))
+    read = ops.entry_words(maps.map_entries(maps.read_map_files(t.spark, path)))
+    return read.select("name", "lora", "entry_idx", "image", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort("words"), " ").cast("binary")).alias("words_md5"))
+
+
 @check("src_map_entries", r"""
 WITH m AS (SELECT *, 'maps/' || source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '-rag.ragmap.json'
                   ELSE '-rag.json' END AS map_id,
