@@ -368,6 +368,7 @@ def tile_split(pieces: DataFrame, avail_w: float, avail_h: float, overlap: float
     )
     x0, y0 = F.col("col") * step_w, F.col("row") * step_h
     part = F.col("row") * F.col("nx") + F.col("col") + 1
+    # fixed value: what is printed on a tile
     label = F.format_string(f"part %d of %d (row %d, column %d; {overlap:.2f} in overlap)", part, F.col("nx") * F.col("ny"),
                             F.col("row") + 1, F.col("col") + 1)
     is_tile = F.col("w_in").isNotNull() & big
