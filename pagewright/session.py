@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Cuts from one collection to the next.
+COLLECT = 8
+_cuts = itertools.count(1)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
@@ -33,9 +38,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that an iteration does not replay its whole history."""
+    """Materialise ``df`` reliably so that an iteration does not replay its whole history.
+
+    What lies behind a cut is garbage, but executors keep its shuffle files until the driver's collector finds that out, which on a driver
+    with little to collect takes long; so every ``COLLECT``-th cut asks for a collection.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_cuts) % COLLECT == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
