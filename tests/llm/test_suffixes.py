@@ -35,7 +35,7 @@ def words(rnd, n, of=400):
     return " ".join(f"w{rnd.randrange(of)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("seed,span", [(1, 200), (2, 64), (3, 40), (4, 32)])
+@pytest.mark.parametrize("seed,span", [(1, 200), (2, 64), (3, 32)])
 def test_passages_copies_and_edits(spark, seed, span):
     rnd = random.Random(seed)
     shared = [words(rnd, 30 + 20 * i) for i in range(8)]
@@ -59,10 +59,11 @@ def test_passages_copies_and_edits(spark, seed, span):
 
 def test_exact_length_of_a_repeat(spark):
     rnd = random.Random(5)
-    for n in (199, 200, 201, 368, 369, 600):
-        s = "".join(rnd.choice("abcdefgh") for _ in range(n))
-        check(spark, [f"1{s}2", f"3{s}4", f"5{s}"], 200)
-        check(spark, [f"1{s}2 {words(rnd, 80)} 3{s}4"], 200)
+    texts = []
+    for n in (199, 200, 201, 368, 369, 600):  # strings of their own, so that one corpus holds all cases
+        s, own = ("".join(rnd.choice("abcdefgh") for _ in range(n)) for _ in range(2))
+        texts += [f"1{s}2", f"3{s}4", f"5{s}", f"1{own}2 {words(rnd, 80, 10**6)} 3{own}4"]
+    check(spark, texts, 200)
 
 
 def test_low_variety_and_pieces(spark, monkeypatch):
