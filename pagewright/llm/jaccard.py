@@ -14,6 +14,8 @@ How Spark deals the work out, so that no pair that links is lost:
 3. First each node is compared with the smallest node it shares any cell with: one pair a node. Then, only where components still meet in a
    cell, a node is compared with the cell's smallest node. Only cells that hold several components even then go through the R-tree, in
    slices of bounded size, and only between components. So a heap of near copies costs a star, not all its pairs.
+   Cells of the same nodes are one cell, and a pair is let through only where the key can be the first that the two sets share: what
+   follows it in both must still suffice. Two sets that link pass at their first shared key, so later ones need not report them again.
 4. Components need a spanning set of links only. Where all links of a node are to be counted (``links=True``), each component
    is cut into slices of bounded bytes, and each pair of slices is met once, in one task, which counts exact overlaps by an
    inverted index and adds up links per node. That costs all pairs of a component, but no pair is emitted.
@@ -180,18 +182,20 @@ def _nodes(filled: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _postings_among(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, key) for the keys that may be among those of the filter ``wanted``."""
+    """(doc_id, key, place) for the keys that may be among those of the filter ``wanted``; ``place`` tells how many of the set's shingles precede the key."""
     sent = nodes.sparkSession.sparkContext.broadcast(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("keys")
-            owner = np.repeat(b.column("doc_id").to_numpy(), keys.value_lengths().to_numpy())
+            many = keys.value_lengths().to_numpy()
+            owner = np.repeat(b.column("doc_id").to_numpy(), many)
             flat = keys.flatten().to_numpy()
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
             ok = bloom.holds(sent.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(flat[ok])], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(flat[ok]), pa.array(place[ok].astype(np.int32))], ["doc_id", "key", "place"])
 
-    return over_batches(nodes.select("doc_id", "keys"), read, "doc_id long, key long")
+    return over_batches(nodes.select("doc_id", "keys"), read, "doc_id long, key long, place int")
 
 
 def _within(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -260,9 +264,15 @@ def _keep_pairs(both: DataFrame, kind: str, links) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """``members`` (doc_id, key, c, a) of cells that hold several components, with their component and that of the cell's smallest node (``least``)."""
+    """``members`` (doc_id, key, place, c, a) of cells that hold several components, with their component and that of the cell's smallest node (``least``).
+
+    Of cells with the same nodes, told by two sums of their ids' hashes, that of the first key stays: all sets have their keys in one order.
+    """
     placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
-    cells = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "doc_id").alias("least")).filter("x <> y").select("key", "least")
+    told = placed.groupBy("key").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "doc_id").alias("least"), F.min_by("place", "doc_id").alias("place"),
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2"))
+    cells = told.filter("x <> y").groupBy("n", "h1", "h2").agg(F.min_by(F.struct("key", "least"), "place").alias("cell")).select("cell.*")
     return cut(placed.join(cells, "key"))
 
 
@@ -313,13 +323,14 @@ def _by_block(names: tuple[str, ...], block):
 
 
 def _search(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the R-tree lets through, from rows (key, lo, hi, side, doc_id, n, comp, point).
+    """Pairs of different components that the R-tree lets through, from rows (key, lo, hi, side, doc_id, n, place, comp, point).
 
     A block (key, lo, hi) holds one or two slices of a cell; sorted partitions are read run by run.
     """
 
     def block(rows: pa.Table) -> np.ndarray:
-        ids, n, comp, side = (rows.column(c).to_numpy() for c in ("doc_id", "n", "comp", "side"))
+        ids, n, comp, side, place = (rows.column(c).to_numpy() for c in ("doc_id", "n", "comp", "side", "place"))
+        rest = n - place  # the key and what follows it
         points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint32).reshape(-1, AXES)
         tree, out = RTree(points, n), []
         whole = (side == 0).all()
@@ -329,7 +340,7 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
             if whole and comp[i] == largest:  # met by every other component's query
                 continue
             j = tree.search(points[i], n[i], percent)
-            j = j[comp[j] != comp[i]]
+            j = j[(comp[j] != comp[i]) & may_link(np.minimum(rest[j], rest[i]), n[j], n[i], percent)]
             j = j[(comp[j] == largest) | (j < i)] if whole else j[side[j] == 2]
             out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])]))
         return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
@@ -428,7 +439,7 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                 F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
-                "doc_id", "n", "comp", "point")
+                "doc_id", "n", "place", "comp", "point")
     )
     more = cut(_search(cells, percent).join(one.unionByName(star), ["a", "b"], "left_anti"))
     linked = spanning
