@@ -12,7 +12,8 @@ How Spark deals the work out, so that no pair that links is lost:
    corpus), so that a passage that many documents share is a key only of documents that hold little else.
    Nodes that share such a key form a *cell*.
 3. First each node is compared with the smallest node it shares any cell with: one pair a node. Then, only where components still meet in a
-   cell, a node is compared with the cell's smallest node. Only cells that hold several components even then go through the R-tree, in
+   cell, a node is compared with the cell's hub, of whose keys the largest share lies in cells: a text that others were copied from, with changes, shares
+   all its keys, a changed copy only some. Only cells that hold several components even then go through the R-tree, in
    slices of bounded size, and only between components. So a heap of near copies costs a star, not all its pairs.
    Cells of the same nodes are one cell, and a pair is let through only where the key can be the first that the two sets share: what
    follows it in both must still suffice. Two sets that link pass at their first shared key, so later ones need not report them again.
@@ -182,7 +183,10 @@ def _nodes(filled: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _postings_among(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, key, place) for the keys that may be among those of the filter ``wanted``; ``place`` tells how many of the set's shingles precede the key."""
+    """(doc_id, key, place, share) for the keys that may be among those of the filter ``wanted``.
+
+    ``place`` tells how many of the set's shingles precede the key, ``share`` how much of the set's keys the filter lets through.
+    """
     sent = nodes.sparkSession.sparkContext.broadcast(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +197,12 @@ def _postings_among(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
             flat = keys.flatten().to_numpy()
             place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
             ok = bloom.holds(sent.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(flat[ok]), pa.array(place[ok].astype(np.int32))], ["doc_id", "key", "place"])
+            held = np.bincount(np.repeat(np.arange(len(many)), many), weights=ok, minlength=len(many)) / np.maximum(many, 1)
+            share = np.repeat(held.astype(np.float32), many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner[ok]), pa.array(flat[ok]), pa.array(place[ok].astype(np.int32)), pa.array(share[ok])], ["doc_id", "key", "place", "share"])
 
-    return over_batches(nodes.select("doc_id", "keys"), read, "doc_id long, key long, place int")
+    return over_batches(nodes.select("doc_id", "keys"), read, "doc_id long, key long, place int, share float")
 
 
 def _within(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -264,15 +271,16 @@ def _keep_pairs(both: DataFrame, kind: str, links) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """``members`` (doc_id, key, place, c, a) of cells that hold several components, with their component and that of the cell's smallest node (``least``).
+    """``members`` (doc_id, key, place, share, c, a) of cells that hold several components, with their component and the cell's ``hub`` (its doc_id and comp).
 
     Of cells with the same nodes, told by two sums of their ids' hashes, that of the first key stays: all sets have their keys in one order.
     """
     placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
     told = placed.groupBy("key").agg(
-        F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "doc_id").alias("least"), F.min_by("place", "doc_id").alias("place"),
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("place", "doc_id").alias("place"),
+        F.max_by(F.struct("doc_id", "comp"), F.struct("share", "doc_id")).alias("hub"),
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2"))
-    cells = told.filter("x <> y").groupBy("n", "h1", "h2").agg(F.min_by(F.struct("key", "least"), "place").alias("cell")).select("cell.*")
+    cells = told.filter("x <> y").groupBy("n", "h1", "h2").agg(F.min_by(F.struct("key", "hub"), "place").alias("cell")).select("cell.*")
     return cut(placed.join(cells, "key"))
 
 
@@ -427,11 +435,11 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, id_c
     apart = _open(members, comp)
     of = comp.withColumnRenamed("comp", "other")
     pairs = twos.join(comp, twos["b"] == comp["node"]).drop("node").join(of, F.col("a") == of["node"]).filter("comp <> other").select("a", "b")
-    star = cut(pairs.unionByName(apart.filter("comp <> least").select("a", F.col("doc_id").alias("b"))).distinct().join(one, ["a", "b"], "left_anti"))
+    star = cut(pairs.unionByName(apart.filter("comp <> hub.comp").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))).distinct().join(one, ["a", "b"], "left_anti"))
     if not star.isEmpty():
         spanning = spanning.unionByName(_linked(docs, k, _within(small, star, percent).select("a", "b"), percent))
         comp = cut(connected_components(ids, spanning, []))
-        apart = _open(apart.drop("comp", "least"), comp)
+        apart = _open(apart.drop("comp", "hub"), comp)
     slices = F.ceil(F.col("c") / SLICE).cast("int")
     cells = (
         apart.join(small, "doc_id")
