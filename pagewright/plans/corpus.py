@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.colour import RGB, hex_of, mean_level
 from ..operators import boxes as box_ops
 from ..operators import gates, keying, raster, regions
+from ..operators.tiles import same_pixels
 from ..session import cut
 from . import cutting
 
@@ -54,7 +55,7 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
     Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan. The keyed pages are cut once,
     because holes are looked for in them.
     """
-    backing = page_backing(pixels) if backing is None else backing
+    backing = cut(page_backing(pixels)) if backing is None else backing
     backing = backing if kinds is None else keyed_backing(backing, kinds)
     carrier = backing.select("page_id", "cr", "cg", "cb")
     rgb_only = pixels.drop("a")
@@ -63,7 +64,7 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
     if kinds is not None:
         keyed = _without_fringe(keyed, kinds.filter("kind = 'photo'").select("page_id"))
     alpha = keying.clean_matte(keyed).select("page_id", "y", "x", "a")
-    clean = cut(raster.destripe(rgb_only).join(alpha, ["page_id", "y", "x"]))
+    clean = cut(same_pixels(raster.destripe(rgb_only), alpha))
     if not fill_holes:
         return clean
     side = max(4, int(round(HOLE_MM / 25.4 * max(LEAST_DPI, dpi))))

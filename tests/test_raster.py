@@ -153,3 +153,30 @@ def test_pictures_from_files(spark, tmp_path):
         assert (got[["r", "g", "b"]].to_numpy() == v[..., :3].reshape(-1, 3)).all()
         assert (got["width"] == v.shape[1]).all() and len(got) == v.shape[0] * v.shape[1]
     assert rows[rows["label"] == "a"]["dpi"].eq(300).all() and rows[rows["label"] == "b"]["dpi"].isna().all()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sheets_are_drawn_by_many_tasks(spark):
+    from pagewright.checks.registry import Tables
+    from pagewright.checks.sheets import sheet_pixels
+
+    assert sheet_pixels(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("key", ["kept_leak", "coverage", "scan_check"])
+def test_pixels_are_not_broadcast(spark, key):
+    from __spark_entry__ import queries
+
+    assert "BroadcastHashJoin" not in _plan(queries()[key](spark, "/root/testdata/sf0.001"))
+
+
+def test_pixels_of_crowded_pages_find_their_boxes(spark):
+    n = raster.FEW_BOXES + 3
+    pixels = spark.range(40).selectExpr("id div 20 + 1 AS page_id", "0 AS y", "cast(id % 20 AS int) AS x")
+    boxes = spark.createDataFrame([(1, i, i % 19, 0, i % 19 + 2, 1) for i in range(n)] + [(2, 0, 3, 0, 6, 1)],
+                                  "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    got = sorted((r.page_id, r.box_id, r.x) for r in raster.pixels_in_boxes(pixels, boxes).collect())
+    assert got == sorted([(1, i, i % 19 + d) for i in range(n) for d in (0, 1)] + [(2, 0, x) for x in (3, 4, 5)])
