@@ -156,3 +156,25 @@ def test_orientations_compose(spark):
     for r in pairs.withColumn("c", C.compose_orientation(F.col("o"), F.col("i"))).collect():
         m = lambda k: np.array(C.ORIENTATIONS[k]).reshape(2, 2)
         assert (m(r["c"]) == m(r["o"]) @ m(r["i"])).all()
+
+
+def test_a_half_of_exactly_a_fifth_counts(spark):
+    """Two halves in the proportion 1 : 4, for which 0.2 * w * h in doubles lies above the whole number."""
+    rows = [(1, 1, 0, 0, 6, 1), (1, 2, 0, 1, 6, 5), (1, 3, 100, 100, 106, 105)]
+    b = spark.createDataFrame(rows, "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    assert [(r.box_a, r.box_b, r["like"]) for r in B.split_halves(b, 1).collect()] == [(1, 2, 3)]
+
+
+def test_identical_big_pieces_stay_apart_from_words(spark):
+    rows = [(1, i, 0, 0, 90, 90) for i in (1, 2)] + [(1, i, 300, 0, 310, 10) for i in (3, 4)]
+    p = spark.createDataFrame(rows, "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    got = sorted((r.item, r.pieces) for r in regions.group_words(p, 20).collect())
+    assert got == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_near_pairs_of_few_and_of_many_boxes(spark):
+    rows = [(p, i, (i * 37) % 300, (i * 53) % 200, (i * 37) % 300 + 9, (i * 53) % 200 + 9) for p, n in ((1, 20), (2, 60), (3, 1)) for i in range(n)]
+    b = spark.createDataFrame(rows, "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    want = {(p, i, j) for p, i, a, c, d, e in rows for q, j, f, g, h, k in rows
+            if p == q and i < j and a - 12 <= h and f - 12 <= d and c - 12 <= k and g - 12 <= e}
+    assert {(r.page_id, r.box_a, r.box_b) for r in B.box_near_join(b, 12).collect()} == want
