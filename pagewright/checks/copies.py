@@ -12,6 +12,8 @@ from .registry import check
 from .sheets import PIXELS_SQL, sheet_boxes, sheet_pixels
 
 G = ops.GRID
+#: Composed pages a task makes the pixels of: about a million and a half.
+PAGES_A_TASK = 500
 SIG_SQL = f"""
 mixed AS (SELECT page_id, y, x, a, {', '.join(f"(({c} * a + 128 * (255 - a)) // 255) AS {c}" for c in 'rgb')} FROM pixels),
 lum AS (SELECT *, (r * 19595 + g * 38470 + b * 7471 + 32768) >> 16 AS v FROM mixed),
@@ -122,7 +124,11 @@ top AS (SELECT page_id, y, x, max(box_id) AS box_id, arg_max(r, box_id) AS r, ar
 SELECT page_id, count(*) AS pixels, sum((box_id + r + g + a) * (x + 1))::BIGINT AS by_x, sum((box_id + r + g + a) * (y + 1))::BIGINT AS by_y FROM top GROUP BY page_id""")
 def _(t):
     b = boxes(t)
-    parts = b.filter("x1 > x0 AND y1 > y0").withColumn("y", F.explode(F.expr("sequence(0, y1 - y0 - 1)"))).withColumn(
+    # a page's few boxes become thousands of pixels: tasks grow with the pages
+    n = t.lineitem.agg(F.approx_count_distinct("l_orderkey")).first()[0]
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-n // PAGES_A_TASK))
+    dealt = b.repartition(tasks + (tasks == int(t.spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
+    parts = dealt.filter("x1 > x0 AND y1 > y0").withColumn("y", F.explode(F.expr("sequence(0, y1 - y0 - 1)"))).withColumn(
         "x", F.explode(F.expr("sequence(0, x1 - x0 - 1)"))).select(
         "page_id", "box_id", "y", "x", F.expr("cast((y * 5 + box_id) % 256 AS int)").alias("r"), F.expr("(x * 7) % 256").alias("g"), F.lit(9).alias("b"),
         F.expr("(x + y) % 4 * 85").alias("a"))

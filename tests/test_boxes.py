@@ -178,3 +178,14 @@ def test_near_pairs_of_few_and_of_many_boxes(spark):
     want = {(p, i, j) for p, i, a, c, d, e in rows for q, j, f, g, h, k in rows
             if p == q and i < j and a - 12 <= h and f - 12 <= d and c - 12 <= k and g - 12 <= e}
     assert {(r.page_id, r.box_a, r.box_b) for r in B.box_near_join(b, 12).collect()} == want
+
+
+def test_sheet_of_many_pieces_is_composed_like_one_of_few(spark):
+    n = C.raster.FEW_BOXES + 5
+    boxes = spark.createDataFrame([(1, i, 2 * i, 0, 2 * i + 3, 1) for i in range(n)] + [(2, i, 2 * i, 0, 2 * i + 3, 1) for i in range(4)],
+                                  "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    parts = boxes.selectExpr("page_id", "box_id", "0 AS y", "explode(sequence(0, 2)) AS x", "box_id AS r", "1 AS g", "2 AS b", "255 AS a")
+    got = C.sheet_compose(parts, boxes)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.page_id, r.x): (r.box_id, r.r) for r in got.collect()}
+    assert rows == {(p, 2 * i + d): (i, i) if d < 2 or i == last else (i + 1, i + 1) for p, last in ((1, n - 1), (2, 3)) for i in range(last + 1) for d in (0, 1, 2)}
