@@ -105,17 +105,22 @@ def walk_score(entries: DataFrame, prompts: DataFrame) -> DataFrame:
     pairs = retrieve_join(entries, prompts).select("prompt_id", "entry_idx").distinct()
     have = prompts.select("prompt_id", words(F.col("text")).alias("asked"))
     return (
-        pairs.join(have, "prompt_id").join(entries.select("entry_idx", "words"), "entry_idx")
+        # a pair meets its entry as two numbers; the prompt's words join it behind that shuffle
+        pairs.join(entries.select("entry_idx", "words"), "entry_idx").join(have, "prompt_id")
         .select("prompt_id", "entry_idx",
                 F.size(F.array_intersect("words", "asked")).cast("long").alias("score"))
     )
 
 
 def rows_differ(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows found in one of two results only, tagged with the side that has them."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(
-        right.exceptAll(left).withColumn("side", F.lit("right"))
-    )
+    """Rows found in one of two results only, tagged with the side that has them, as often as that side has more of them.
+
+    One count over both, so each result is worked out once.
+    """
+    cols = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionAll(right.select(*cols).withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return more.select(*cols, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("col")
 
 
 def seeded_draw(entries: DataFrame, prompts: DataFrame, seed: int, k: int = TOP_K, require_ref: bool = True) -> DataFrame:

@@ -82,3 +82,13 @@ def test_the_kept_index_equals_a_walk(spark, tmp_path):
         for p, ws in asked.items():
             scored = sorted(((-len(set(ws) & set(e)), i) for i, e in entries if set(ws) & set(e)))[:k]
             assert got.get(p, {}) == {n + 1: (i, -s) for n, (s, i) in enumerate(scored)}, (k, p)
+
+
+def test_rows_that_differ_are_counted_once_per_side(spark):
+    from pagewright.operators.retrieval import rows_differ
+
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "n int, s string")
+    right = spark.createDataFrame([(1, "a"), (2, None), (4, "d"), (4, "d")], "n int, s string")
+    df = rows_differ(left, right)
+    assert sorted(map(tuple, df.collect())) == [(1, "a", "left"), (3, "c", "left"), (4, "d", "right"), (4, "d", "right")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
