@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import copies as ops
-from ..operators import raster
+from ..operators import ordered, raster
 from .boxes import BOXES, boxes
 from .registry import check
 from .sheets import PIXELS_SQL, sheet_boxes, sheet_pixels
@@ -137,6 +136,13 @@ def _(t):
         F.count("*").alias("pixels"), F.sum(v * (F.col("x") + 1)).alias("by_x"), F.sum(v * (F.col("y") + 1)).alias("by_y"))
 
 
+def frames(t):
+    """Embeddings as the frames of a clip per label, numbered by slices: a label may hold a large part of all rows."""
+    sliced = ordered.range_slices(t.embeddings.select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    numbered = ordered.number_rows(sliced, ["label"], [F.col("vec_id")], "_n")
+    return numbered.select(F.col("label").alias("clip"), (F.col("_n") - 1).cast("int").alias("frame_no"), F.col("embedding").alias("e"))
+
+
 @check("loop_cut", """
 WITH f AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
 s AS (SELECT *, coalesce(list_sum(list_transform(list_zip(lag(e) OVER w, e), lambda p: abs(p[1] - p[2]))) / len(e), 0) AS step FROM f WINDOW w AS (PARTITION BY clip ORDER BY n)),
@@ -145,9 +151,7 @@ j AS (SELECT a.clip, a.n AS start, b.n AS stop, list_sum(list_transform(list_zip
   FROM p a JOIN p b ON a.clip = b.clip AND b.n - a.n BETWEEN 8 AND 48 WHERE (b.path - a.path) / (b.n - a.n) >= 0.6 * a.usual)
 SELECT clip, arg_min(start, (gap, start, stop))::INT AS start, arg_min(stop, (gap, start, stop))::INT AS stop, round(min(gap), 6) AS gap FROM j GROUP BY clip""")
 def _(t):
-    by = Window.partitionBy("label").orderBy("vec_id")
-    frames = t.embeddings.select(F.col("label").alias("clip"), (F.row_number().over(by) - 1).alias("frame_no"), F.col("embedding").alias("e"))
-    return ops.loop_cut(frames, 8, 48).withColumn("gap", F.round("gap", 6))
+    return ops.loop_cut(frames(t), 8, 48).withColumn("gap", F.round("gap", 6))
 
 
 @check("loop_cut_long", """
@@ -158,6 +162,4 @@ j AS (SELECT a.clip, a.n AS start, b.n AS stop, list_sum(list_transform(list_zip
   FROM p a JOIN p b ON a.clip = b.clip AND b.n - a.n BETWEEN 20 AND 150 WHERE (b.path - a.path) / (b.n - a.n) >= 0.6 * a.usual)
 SELECT clip, arg_min(start, (gap, start, stop))::INT AS start, arg_min(stop, (gap, start, stop))::INT AS stop, round(min(gap), 6) AS gap FROM j GROUP BY clip""")
 def _(t):
-    by = Window.partitionBy("label").orderBy("vec_id")
-    frames = t.embeddings.select(F.col("label").alias("clip"), (F.row_number().over(by) - 1).alias("frame_no"), F.col("embedding").alias("e"))
-    return ops.loop_cut(frames, 20, 150).withColumn("gap", F.round("gap", 6))
+    return ops.loop_cut(frames(t), 20, 150).withColumn("gap", F.round("gap", 6))

@@ -48,3 +48,17 @@ def test_bursts_and_ties_are_spread_over_slices(spark, whole_slices):
     assert got.exceptAll(df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).alias("n"))).count() == 0
     same = ordered.range_slices(spark.range(4000).select(F.lit(1).alias("v")), [], ["v"])
     assert same.select(ordered.SLICE).distinct().count() >= 4
+
+
+def test_frames_of_a_clip_are_numbered_by_slices(spark):
+    import re
+
+    from pagewright.checks.copies import frames
+    from pagewright.checks.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    df = frames(t)
+    assert not re.search(r"windowspecdefinition\(label#\d+, vec_id", df._jdf.queryExecution().optimizedPlan().toString())
+    got = sorted((r.clip, r.frame_no) for r in df.collect())
+    n = {r.label: r["count"] for r in t.embeddings.groupBy("label").count().collect()}
+    assert got == sorted((clip, i) for clip, k in n.items() for i in range(k))
