@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.colour import RGB, hex_of, mean_level
 from ..operators import boxes as box_ops
 from ..operators import gates, keying, raster, regions
-from ..operators.tiles import same_pixels
-from ..session import cut
+from ..session import cut, is_empty
 from . import cutting
 
 # fixed values: dark backings, and hole sizes in millimetres
@@ -52,39 +51,45 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
                  fill_holes: bool = True) -> DataFrame:
     """Keyed RGBA of every page by the verified recipe: key, overrides, fringe of photos, matte, white ink back in holes.
 
-    Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan. The keyed pages are cut once,
-    because holes are looked for in them.
+    Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan, which rides beside
+    the mended colours, so a page goes through all steps once. What is known of a page is cut before pixels meet it, and the keyed
+    pages are cut once, because holes are looked for in them.
     """
-    backing = cut(page_backing(pixels)) if backing is None else backing
-    backing = backing if kinds is None else keyed_backing(backing, kinds)
+    backing = cut(page_backing(pixels) if backing is None else backing)
+    if kinds is not None:
+        kinds = cut(kinds)
+        backing = cut(keyed_backing(backing, kinds))
     carrier = backing.select("page_id", "cr", "cg", "cb")
     rgb_only = pixels.drop("a")
-    keyed = keying.carrier_alpha(rgb_only, carrier)
-    keyed = keying.alpha_overrides(keyed, carrier, raster.edge_strips(rgb_only))
+    strips = cut(raster.edge_strips(rgb_only))
+    mended = {f"mended_{c}": c for c in RGB}
+    both = raster.destripe(rgb_only.withColumns({f"scan_{c}": F.col(c) for c in RGB})).withColumnsRenamed({c: m for m, c in mended.items()})
+    keyed = keying.carrier_alpha(both.withColumnsRenamed({f"scan_{c}": c for c in RGB}), carrier)
+    keyed = keying.alpha_overrides(keyed, carrier, strips)
     if kinds is not None:
-        keyed = _without_fringe(keyed, kinds.filter("kind = 'photo'").select("page_id"))
-    alpha = keying.clean_matte(keyed).select("page_id", "y", "x", "a")
-    clean = cut(same_pixels(raster.destripe(rgb_only), alpha))
+        photos = kinds.filter("kind = 'photo'").select("page_id")
+        keyed = keyed if is_empty(photos) else _without_fringe(cut(keyed), photos)
+    clean = cut(keying.clean_matte(keyed.drop(*RGB)).withColumnsRenamed(mended).select(*rgb_only.columns, "a"))
     if not fill_holes:
         return clean
     side = max(4, int(round(HOLE_MM / 25.4 * max(LEAST_DPI, dpi))))
     letter = int(round(LETTER_MM / 25.4 * max(LEAST_DPI, dpi)))
     tinted = carrier.filter(~keying.is_neutral())
-    holes = regions.enclosed_holes(clean, side, int(1.5 * side * side), tinted, letter)
+    clear = regions.clear_runs(clean)
+    holes = regions.enclosed_holes(clean, side, int(1.5 * side * side), tinted, letter, clear)
     light = carrier.filter(mean_level("cr", "cg", "cb") >= DARK_BACKING).select("page_id", keying.is_neutral().alias("neutral"))
     holes = holes.join(light, "page_id")
     if kinds is not None:
         # digital art on white: whatever an outline shuts in is its white ink
         holes = holes.join(kinds.select("page_id", "kind"), "page_id").withColumn(
             "fill", F.col("fill") | (F.col("neutral") & (F.col("kind") == "digital")))
-    return keying.fill_holes(clean, regions.hole_runs(clean, holes))
+    return keying.fill_holes(clean, cut(regions.hole_runs(clean, holes, clear)))
 
 
 def _without_fringe(keyed: DataFrame, photos: DataFrame) -> DataFrame:
-    of_photos = keyed.join(photos, "page_id", "left_semi")
-    fringe = regions.border_fringe(of_photos).select("page_id", "comp_id")
-    small = regions.label_runs(regions.runs_of(regions.reduced(of_photos, F.col("a") > regions.OPAQUE), F.col("m")))
-    gone = small.join(fringe, ["page_id", "comp_id"], "left_semi")
+    runs = cut(regions.runs_of(keyed.join(photos, "page_id", "left_semi"), F.col("a") > regions.OPAQUE))
+    small = regions.label_runs(regions.runs_of(regions.reduced_runs(runs), F.lit(True)))
+    gone = cut(small.join(regions.fringe_among(small, runs), ["page_id", "comp_id"], "left_semi"))
     d = regions.DOWN
     full = gone.select("page_id", F.explode(F.sequence(F.col("y") * d, F.col("y") * d + d - 1)).alias("y"), (F.col("x0") * d).alias("x0"), (F.col("x1") * d).alias("x1"))
     marked = regions.covered_by_runs(keyed, full, "_fringe")

@@ -3,7 +3,7 @@
 import numpy as np
 
 from pagewright.operators import graphs
-from pagewright.plans import cutting
+from pagewright.plans import corpus, cutting
 
 from .pages import pixel_table
 
@@ -50,3 +50,13 @@ def test_a_sheet_is_cut_with_one_look_at_its_pixels(spark):
     p, seen = _counted(spark, pixel_table(spark, {1: _page()}))
     assert cutting.segment_sheet(p, gap=2, min_side=8, pad=0).count() == 2
     assert seen.value == 60 * 80
+
+
+def test_a_page_is_cleaned_with_few_looks_at_its_pixels(spark):
+    page = np.full((60, 80, 3), 250)
+    page[20:40, 20:50] = (190, 20, 30)
+    p, seen = _counted(spark, pixel_table(spark, {1: page}))
+    backing = corpus.page_backing(p)
+    assert corpus.clean_corpus(p, backing, corpus.page_kinds(p, backing)).count() == 60 * 80
+    # borders, grain, edges, streaks, and the two ways a page can be mended and keyed
+    assert seen.value <= 12 * 60 * 80, seen.value / 4800
