@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from pagewright.checks.registry import Tables
+from pagewright.checks.sheets import sheet_pixels
 from pagewright.operators import copies, graphs, raster
 from pagewright.plans import corpus, cutting
 
@@ -78,3 +80,13 @@ def test_signatures_leave_pixels_with_their_page(spark):
     got = copies.piece_signature(p, b)
     assert "FlatMapGroupsInArrow" not in _plan(got)
     assert {(r["box_id"], r["w"], r["h"], len(r["shape"])) for r in got.collect()} == {(1, 34, 34, 256), (2, 30, 30, 256)}
+
+
+def test_sheets_are_dealt_over_no_fewer_tasks_than_their_pages(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        assert sheet_pixels(t).rdd.getNumPartitions() == 41
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
