@@ -14,7 +14,8 @@ boxes AS (SELECT l_orderkey AS page_id, l_linenumber AS box_id, (min(l_partkey %
 
 
 def boxes(t: Tables):
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("box_id")).agg(
+    # dealt by page, as whatever is done with the boxes of a page wants them
+    return t.lines("l_orderkey").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("box_id")).agg(
         (F.min(F.col("l_partkey") % 40) * 12).cast("int").alias("x0"), (F.min(F.col("l_suppkey") % 30) * 12).cast("int").alias("y0"),
         F.max("l_quantity").cast("int").alias("_w"), F.min("l_quantity").cast("int").alias("_h"),
     ).select("page_id", "box_id", "x0", "y0", (F.col("x0") + 4 + F.col("_w")).alias("x1"), (F.col("y0") + 4 + F.col("_h")).alias("y1"))

@@ -189,3 +189,20 @@ def test_sheet_of_many_pieces_is_composed_like_one_of_few(spark):
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     rows = {(r.page_id, r.x): (r.box_id, r.r) for r in got.collect()}
     assert rows == {(p, 2 * i + d): (i, i) if d < 2 or i == last else (i + 1, i + 1) for p, last in ((1, n - 1), (2, 3)) for i in range(last + 1) for d in (0, 1, 2)}
+
+
+def test_order_lines_are_dealt_by_number(spark, monkeypatch):
+    """Boxes, attempts, files and members come from order lines: a task gets so many lines, not so many compressed bytes of them."""
+    from pagewright.checks import boxes as drawn
+    from pagewright.checks import copies, registry, store  # noqa: F401
+
+    monkeypatch.setattr(registry, "LINES_A_TASK", 250, raising=False)
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    want = -(-t.lineitem.count() // 250)
+    assert drawn.boxes(t).rdd.getNumPartitions() >= want
+    seen = []
+    for module, name in ((store, "sample_per_folder"), (copies, "group_representative")):
+        operator = getattr(module.ops, name)
+        monkeypatch.setattr(module.ops, name, lambda df, *a, go=operator: seen.append(df.rdd.getNumPartitions()) or go(df, *a))
+        registry.QUERIES[name](spark, t.dir)
+    assert len(seen) == 2 and min(seen) >= want
