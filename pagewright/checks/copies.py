@@ -109,7 +109,7 @@ k AS (SELECT *, CASE WHEN txt THEN own_score + CASE WHEN method = 'text' THEN 0.
 r AS (SELECT *, count(*) OVER (PARTITION BY page_id, group_id) AS drawn, row_number() OVER (PARTITION BY page_id, group_id ORDER BY key DESC, n) AS pick FROM k)
 SELECT page_id, group_id, box_id, method, round(key, 6) AS key, drawn FROM r WHERE pick = 1""")
 def _(t):
-    m = t.lineitem.groupBy("l_suppkey", "l_linenumber", "l_orderkey").agg(F.min("l_partkey").alias("box_id")).select(
+    m = t.lines("l_suppkey", "l_linenumber", "l_orderkey").groupBy("l_suppkey", "l_linenumber", "l_orderkey").agg(F.min("l_partkey").alias("box_id")).select(
         F.col("l_suppkey").alias("page_id"), F.col("l_linenumber").alias("group_id"), F.col("l_orderkey").alias("pos"), "box_id",
         F.expr("CASE WHEN (l_suppkey + l_linenumber + l_orderkey) % 3 = 0 THEN 'text' ELSE 'vector' END").alias("method"),
         F.expr("(box_id % 97) / 97.0D").alias("own_score"), F.expr("(box_id % 89) / 80.0D").alias("mean_fit"))
