@@ -8,9 +8,12 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import is_empty
 from . import ordered
 from .fold import ordered_fold
 
@@ -29,6 +32,8 @@ HALVES_SHARE = 0.2
 OWNER_SLACK = 4
 PIECE_DPI = 300.0
 SLICE_PX = 256
+# boxes of a page that a task still holds at once
+PAGE_ROWS = 4096
 FEW_BOXES = 32
 LETTER_MIN, LETTER_MAX, LETTER_LONG, LETTERS_NEEDED = 9, 90, 4, 5
 
@@ -299,30 +304,86 @@ def reading_order(boxes: DataFrame, first_n: int | None = None) -> DataFrame:
     """Adds ``row_no`` and ``order_no``: rows top to bottom, then left to right.
 
     A box joins the running row when it overlaps its growing band by more than 40 % of the smaller
-    height. The band makes this a fold over the boxes in (y0, x0) order. But a box below everything before it
-    always starts a row, so every page is shared out in the islands between such boxes.
+    height. The band makes this a fold over the boxes in (y0, x0) order, and a page of few boxes is one group of a task. But a box below
+    everything before it always starts a row, so a crowded page is shared out in the islands between such boxes.
     """
-    def step(state, row):
-        y0, y1 = row
-        n, top, low = state
-        if n and min(low, y1) - max(top, y0) > 0.4 * min(y1 - y0, low - top):
-            return (n, min(top, y0), max(low, y1)), (n,)
-        return (n + 1, y0, y1), (n + 1,)
+    crowded = _crowded_pages(boxes)
+    if is_empty(crowded):
+        out = _order_held(boxes)
+    else:
+        same = F.col("page_id").eqNullSafe(F.col("_page"))
+        out = _order_held(boxes.join(crowded, same, "left_anti")).unionByName(_order_sliced(boxes.join(crowded, same, "left_semi")))
+    return out if first_n is None else out.filter(F.col("order_no") <= first_n)
 
+
+def _crowded_pages(df: DataFrame) -> DataFrame:
+    """(_page): pages of more rows than a task holds at once."""
+    return df.groupBy(F.col("page_id").alias("_page")).agg(F.count("*").alias("_n")).filter(F.col("_n") > PAGE_ROWS).select("_page")
+
+
+def _reading_step(state, row):
+    y0, y1 = row
+    n, top, low = state
+    if n and min(low, y1) - max(top, y0) > 0.4 * min(y1 - y0, low - top):
+        return (n, min(top, y0), max(low, y1)), (n,)
+    return (n + 1, y0, y1), (n + 1,)
+
+
+def _order_held(boxes: DataFrame) -> DataFrame:
+    """``reading_order`` of pages of which each fits in memory: one shuffle by page, rows and places in one pass over the sorted boxes."""
+    cols = boxes.columns
+
+    def placed(t: pa.Table) -> pa.Table:
+        page, rows, at, state = [], [], -1, (0, 0, 0)
+        before = object()
+        for key, *row in zip(t["page_id"].to_pylist(), *(t[c].to_numpy().tolist() for c in ("y0", "y1"))):
+            if key != before:
+                before, at, state = key, at + 1, (0, 0, 0)
+            state, (n,) = _reading_step(state, row)
+            page.append(at)
+            rows.append(n)
+        page = np.array(page)
+        # boxes come by (y0, x0, box_id) and the sort is stable, so equal places go by box_id
+        by = np.lexsort((t["y0"].to_numpy(), t["x0"].to_numpy(), np.array(rows), page))
+        order = np.empty(len(by), np.int32)
+        order[by] = np.arange(len(by)) - np.searchsorted(page, page) + 1
+        return t.append_column("row_no", pa.array(rows, pa.int32())).append_column("order_no", pa.array(order))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            keys = t["page_id"].to_pylist()
+            # the last page may go on in the next batch
+            last = len(keys)
+            while last and keys[last - 1] == keys[-1]:
+                last -= 1
+            if last:
+                yield from placed(t.slice(0, last)).to_batches()
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield from placed(held).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema.fields) + ", row_no int, order_no int"
+    return boxes.repartition("page_id").sortWithinPartitions("page_id", "y0", "x0", "box_id").select(*cols).mapInArrow(run, schema)
+
+
+def _order_sliced(boxes: DataFrame) -> DataFrame:
+    """``reading_order`` of pages of any size, in slices and islands."""
     order, down = ["y0", "x0", "box_id"], [F.col("y0"), F.col("x0"), F.col("box_id")]
     across = [F.col("row_no"), F.col("x0"), F.col("y0"), F.col("box_id")]
     sliced = boxes.withColumn(ordered.SLICE, F.floor(F.col("y0") / SLICE_PX))
     lowest = ordered.running_max(sliced, ["page_id"], down, F.col("y1"), "_low")
     above = ordered.previous(lowest, ["page_id"], down, F.col("_low"), "_above")
     shared = _islands(above, down, F.col("_above").isNull() | (F.col("y0") >= F.col("_above"))).select(*boxes.columns, "island")
-    rows = ordered_fold(shared, ["page_id", "island"], order, lambda: (0, 0, 0), step, ["y0", "y1"], "_row int")
+    rows = ordered_fold(shared, ["page_id", "island"], order, lambda: (0, 0, 0), _reading_step, ["y0", "y1"], "_row int")
     before = Window.partitionBy("page_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
     per_island = rows.groupBy("page_id", "island").agg(F.max("_row").alias("_rows")).select(
         "page_id", "island", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = rows.join(per_island, ["page_id", "island"]).withColumn("row_no", (F.col("_before") + F.col("_row")).cast("int"))
     placed = ordered.number_rows(numbered.withColumn(ordered.SLICE, F.col("island")), ["page_id"], across, "order_no")
-    out = placed.select(*boxes.columns, "row_no", F.col("order_no").cast("int").alias("order_no"))
-    return out if first_n is None else out.filter(F.col("order_no") <= first_n)
+    return placed.select(*boxes.columns, "row_no", F.col("order_no").cast("int").alias("order_no"))
 
 
 def text_rows(pieces: DataFrame, page_ink: DataFrame) -> DataFrame:
@@ -353,12 +414,23 @@ def text_rows(pieces: DataFrame, page_ink: DataFrame) -> DataFrame:
             return (n, (mean * count + cy) / (count + 1), count + 1), (n,)
         return (n + 1, cy, 1), (n + 1,)
 
-    # a centre further than the reach below the one before it starts a row whatever the running mean is
-    across = [F.col("cy"), F.col("piece_id")]
-    prior = ordered.previous(centred.withColumn(ordered.SLICE, F.floor(F.col("cy") / SLICE_PX)), ["page_id"], across, F.col("cy"), "_prior")
-    shared = _islands(prior, across, F.col("_prior").isNull() | (F.col("cy") - F.col("_prior") > 0.6 * F.col("med_h")))
+    def islands(df):
+        # a centre further than the reach below the one before it starts a row whatever the running mean is
+        across = [F.col("cy"), F.col("piece_id")]
+        prior = ordered.previous(df.withColumn(ordered.SLICE, F.floor(F.col("cy") / SLICE_PX)), ["page_id"], across, F.col("cy"), "_prior")
+        shared = _islands(prior, across, F.col("_prior").isNull() | (F.col("cy") - F.col("_prior") > 0.6 * F.col("med_h")))
+        return shared.select(*df.columns, "island")
+
+    # a page of few pieces is one island; only crowded ones are shared out
+    crowded = _crowded_pages(pieces)
+    whole = F.lit(0).cast("bigint").alias("island")
+    if is_empty(crowded):
+        shared = centred.select("*", whole)
+    else:
+        same = F.col("page_id").eqNullSafe(F.col("_page"))
+        shared = centred.join(crowded, same, "left_anti").select("*", whole).unionByName(islands(centred.join(crowded, same, "left_semi")))
     rows = ordered_fold(
-        shared.select(*centred.columns, "island"), ["page_id", "island"], ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
+        shared, ["page_id", "island"], ["cy", "piece_id"], lambda: (0, 0.0, 0), step, ["cy", "med_h"], "row_no int")
     stats = rows.groupBy("page_id", "island", "row_no").agg(
         F.count("*").alias("items"), F.bool_or(F.expr("w >= 2.5 * h")).alias("wordy"),
         (F.max("y1") - F.min("y0")).alias("row_h"), F.sum("area").alias("row_area"),

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,26 @@ def test_order_lines_are_dealt_by_number(spark, monkeypatch):
         monkeypatch.setattr(module.ops, name, lambda df, *a, go=operator: seen.append(df.rdd.getNumPartitions()) or go(df, *a))
         registry.QUERIES[name](spark, t.dir)
     assert len(seen) == 2 and min(seen) >= want
+
+
+def test_pages_of_few_and_of_many_boxes_are_read_alike(spark, monkeypatch):
+    """Pages that fit a task take one pass; crowded ones go by slices, with the same rows and places."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(p, i, rnd.randint(0, 40) * 10, rnd.randint(0, 200) * 10) for p, n in ((1, 6), (2, 150), (5, 170), (3, 1), (4, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id int, box_id int, x0 int, y0 int").selectExpr("*", "x0 + 5 + box_id % 50 AS x1", "y0 + 6 + box_id % 17 AS y1")
+    pieces = df.withColumnRenamed("box_id", "piece_id").selectExpr(
+        "*", "cast((x1 - x0) * (y1 - y0) * 0.7 AS bigint) AS area", *[f"cast(piece_id % 3 * 60 AS double) AS {c}" for c in "rgb"])
+    ink = pieces.groupBy("page_id").agg(F.sum("area").alias("total"))
+    got = []
+    for most in (4096, 100):
+        monkeypatch.setattr(B, "PAGE_ROWS", most, raising=False)
+        got.append([Counter(map(tuple, d.collect())) for d in (B.reading_order(df), B.text_rows(pieces, ink))])
+    assert got[0] == got[1] and sum(got[0][0].values()) == len(rows)
+
+
+def test_reading_order_moves_boxes_of_small_pages_once(spark):
+    df = spark.range(2000).selectExpr("id div 4 AS page_id", "id AS box_id", "id % 7 AS x0", "id % 5 AS y0", "id % 7 + 9 AS x1", "id % 5 + 9 AS y1")
+    plan = B.reading_order(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
