@@ -1,6 +1,7 @@
 """How often regions look at what they are made of."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagewright.checks.registry import Tables
 from pagewright.checks.sheets import sheet_pixels
@@ -74,6 +75,20 @@ def test_grain_meets_the_backdrop_below_the_tiles(spark):
     assert "Join" not in plan[:plan.index("FlatMapGroupsInArrow")]
 
 
+def test_means_of_squares_leave_pixels_where_they_lie(spark):
+    v = np.arange(70 * 30 * 3).reshape(70, 30, 3) * 7919 % 251
+    p = pixel_table(spark, {1: v, 2: v[:5, :4]}).repartition(3, "page_id").withColumn("half", F.col("g") / 2)
+    got = raster.box_means(p, {"g": "mean", "half": "mean_half"}, 3)
+    plan = _plan(got)
+    assert "FlatMapGroupsInArrow" not in plan and plan.count("Exchange") == 1
+    rows = got.collect()
+    assert len(rows) == 70 * 30 + 5 * 4
+    for r in rows:
+        g = v[:, :, 1] if r["page_id"] == 1 else v[:5, :4, 1]
+        want = g[max(0, r["y"] - 3):r["y"] + 4, max(0, r["x"] - 3):r["x"] + 4].mean()
+        assert abs(r["mean"] - want) < 1e-9 and abs(r["mean_half"] - want / 2) < 1e-9
+
+
 def test_signatures_leave_pixels_with_their_page(spark):
     p = pixel_table(spark, {1: _page()}).repartition(3, "page_id")
     b = spark.createDataFrame([(1, 1, 8, 8, 42, 42), (1, 2, 46, 10, 76, 40)], "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
