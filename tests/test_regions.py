@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagewright.checks.registry import Tables
 from pagewright.checks.sheets import sheet_pixels
-from pagewright.operators import copies, graphs, raster
+from pagewright.operators import copies, graphs, raster, regions
 from pagewright.plans import corpus, cutting
 
 from .pages import pixel_table
@@ -75,6 +75,52 @@ def test_grain_meets_the_backdrop_below_the_tiles(spark):
     assert "Join" not in plan[:plan.index("FlatMapGroupsInArrow")]
 
 
+def _flooded(mask, diagonal):
+    """(least place, area) of every region, found by walking."""
+    near = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
+    h, w = mask.shape
+    left, found = set(zip(*np.nonzero(mask))), set()
+    while left:
+        region = [left.pop()]
+        for y, x in region:
+            for dy, dx in near:
+                if (y + dy, x + dx) in left:
+                    left.remove((y + dy, x + dx))
+                    region.append((y + dy, x + dx))
+        found.add((min(int(y) * w + int(x) for y, x in region), len(region)))
+    return found
+
+
+def test_regions_of_pages_of_few_and_of_many_runs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = {i: np.full((h, w, 4), 255) for i, (h, w) in enumerate([(9, 11), (30, 31), (6, 5), (1, 40), (25, 8), (4, 4)])}
+    for a in pages.values():
+        a[:, :, 3] = rng.integers(0, 2, a.shape[:2]) * 255
+    p = pixel_table(spark, pages).repartition(1, "page_id")
+    sizes = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(sizes)
+    try:
+        for most, rows in ((1 << 17, 10_000), (1 << 17, 7), (40, 10_000), (40, 7), (0, 7)):
+            monkeypatch.setattr(regions, "PAGE_RUNS", most)
+            spark.conf.set(sizes, rows)
+            for diagonal in (True, False):
+                got = {}
+                for r in regions.components(p, F.col("a") > 96, diagonal).collect():
+                    got.setdefault(r["page_id"], set()).add((r["comp_id"], r["area"]))
+                assert got == {i: _flooded(a[:, :, 3] > 96, diagonal) for i, a in pages.items()}, (most, rows, diagonal)
+    finally:
+        spark.conf.set(sizes, before)
+
+
+def test_runs_dealt_by_page_are_labelled_where_they_lie(spark, monkeypatch):
+    plans = []
+    written = regions.written
+    monkeypatch.setattr(regions, "written", lambda df: plans.append(_plan(df)) or written(df))
+    p = pixel_table(spark, {1: _page()}).repartition(3, "page_id")
+    assert regions.components(p, F.col("a") > 96).count() == 2
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+
+
 def test_means_of_squares_leave_pixels_where_they_lie(spark):
     v = np.arange(70 * 30 * 3).reshape(70, 30, 3) * 7919 % 251
     p = pixel_table(spark, {1: v, 2: v[:5, :4]}).repartition(3, "page_id").withColumn("half", F.col("g") / 2)
