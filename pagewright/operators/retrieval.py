@@ -14,6 +14,8 @@ from . import index as kept_index
 TOP_K = 4
 NEAR_DUPLICATE = 0.97
 DRAW_POOL_PER_K = 8
+#: Pairs of a prompt and an entry that a task may come to count.
+PAIRS_A_TASK = 1 << 19
 
 
 def entry_words(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -39,18 +41,27 @@ def retrieve_join(entries: DataFrame, prompts: DataFrame, require_ref: bool = Fa
 
     No broadcast is forced: the prompt side goes out whole only while it is under Spark's
     own size threshold; beyond it the join shuffles on the word and AQE splits hot words.
+    Entries are dealt by number first, so pairs counted by entry stay where they are while prompts go out whole.
     """
     eligible = entries.filter("has_ref") if require_ref else entries
-    return postings(eligible).join(prompt_words(prompts), "word").select(
+    return postings(_dealt(eligible, prompts)).join(prompt_words(prompts), "word").select(
         "prompt_id", "entry_idx", "word"
     )
 
 
+def _dealt(entries: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Entries over tasks that grow with the pairs they can make. AQE sizes tasks by compressed bytes, of which few make millions of pairs."""
+    spark = entries.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-entries.count() * prompts.count() // PAIRS_A_TASK))
+    # one more than the shuffle partitions, since Spark drops a repartition that equals the one before it
+    return entries.select("entry_idx", "words").repartition(parts + (parts == int(spark.conf.get("spark.sql.shuffle.partitions"))), "entry_idx")
+
+
 def keyword_score(matches: DataFrame) -> DataFrame:
     """Score = number of distinct entry words present in the prompt.
 
-    ``matches`` has one row per shared word already, so a plain count is exact and combines
-    before the shuffle.
+    ``matches`` has one row per shared word already, so a plain count is exact. Matches that still lie with
+    their entry are not shuffled, others combine before the shuffle.
     """
     return matches.groupBy("prompt_id", "entry_idx").agg(F.count("*").alias("score"))
 

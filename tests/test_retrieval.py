@@ -92,3 +92,13 @@ def test_rows_that_differ_are_counted_once_per_side(spark):
     df = rows_differ(left, right)
     assert sorted(map(tuple, df.collect())) == [(1, "a", "left"), (3, "c", "left"), (4, "d", "right"), (4, "d", "right")]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_pairs_are_counted_where_their_entry_lies(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS_A_TASK", 10)
+    p = spark.range(3).select(F.col("id").alias("prompt_id"), F.concat(F.lit("hero w"), "id").alias("text"))
+    scores = R.keyword_score(R.retrieve_join(_entries(spark), p))
+    # 40 entries times 3 prompts, ten pairs a task
+    assert scores.rdd.getNumPartitions() == 12
+    got = {(r["prompt_id"], r["entry_idx"]): r["score"] for r in scores.collect()}
+    assert got == {(i, j): 1 + (i == j) for i in range(3) for j in range(40)}
