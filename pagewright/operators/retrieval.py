@@ -152,6 +152,10 @@ def _keep(kept: Column, nxt: Column, k: int, limit: float) -> Column:
     return F.when(fits, F.array_append(kept, nxt)).otherwise(kept)
 
 
+def _last_ranks(ranking: DataFrame) -> DataFrame:
+    return ranking.groupBy("prompt_id").agg(F.max("rank").alias("last"))
+
+
 def near_dup_thin(
     ranking: DataFrame, vectors: DataFrame, k: int = TOP_K, limit: float = NEAR_DUPLICATE, pool: int | None = None
 ) -> DataFrame:
@@ -160,15 +164,17 @@ def near_dup_thin(
     ``ranking`` has (prompt_id, entry_idx, rank), ``vectors`` (entry_idx, e) of unit length. The
     walk takes a slice of ranks at a time, always of one size, and carries at most ``k`` kept vectors, so no
     task ever holds more of a ranking than a slice; prompts still short of ``k`` go on with the next slice until
-    their ranking is exhausted, which keeps the result exact. The ranking is worked out once.
+    their ranking is exhausted, which keeps the result exact. What the first slice can look at is worked out by itself, so that a window over
+    the ranking is limited below its shuffle; the rest is worked out once, for the prompts that go on.
     """
     step = pool or DRAW_POOL_PER_K * k
     # keep only what a slice can look at before vectors are attached
     state = None
     low = 0
-    todo = cut(ranking.select("prompt_id", "entry_idx", "rank"))
-    longest = todo.groupBy("prompt_id").agg(F.max("rank").alias("last"))
-    longest = cut(longest)
+    ranking = ranking.select("prompt_id", "entry_idx", "rank")
+    # one rank more tells whose ranking goes on
+    todo = cut(ranking.filter(F.col("rank") <= step + 1))
+    longest = cut(_last_ranks(todo))
     done = None
     item = "struct<rank:int,entry_idx:bigint,e:array<double>>"
     while True:
@@ -196,6 +202,9 @@ def near_dup_thin(
         state = walked.filter(short).select("prompt_id", "kept")
         if is_empty(state):
             break
+        if low == step:
+            todo = cut(ranking.filter(F.col("rank") > step).join(state.select("prompt_id"), "prompt_id", "left_semi"))
+            longest = cut(_last_ranks(todo))
     return done.select("prompt_id", F.posexplode("kept").alias("pos", "item")).select(
         "prompt_id", F.col("item.entry_idx").alias("entry_idx"),
         F.col("item.rank").alias("rank"), (F.col("pos") + 1).alias("place"),

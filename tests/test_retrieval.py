@@ -102,3 +102,23 @@ def test_pairs_are_counted_where_their_entry_lies(spark, monkeypatch):
     assert scores.rdd.getNumPartitions() == 12
     got = {(r["prompt_id"], r["entry_idx"]): r["score"] for r in scores.collect()}
     assert got == {(i, j): 1 + (i == j) for i in range(3) for j in range(40)}
+
+
+def test_a_walk_looks_at_the_start_of_a_long_ranking(spark, monkeypatch):
+    held, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: held.append(df.count()) or cut(df))
+    ranking = spark.range(1000).select(F.lit(1).alias("prompt_id"), F.col("id").alias("entry_idx"), (F.col("id") + 1).cast("int").alias("rank"))
+    # prompt 2 only ever repeats its first entry, up to the last of all; prompt 3 ends where its first slice ends
+    ranking = ranking.unionByName(spark.range(1000).select(F.lit(2).alias("prompt_id"), (F.col("id") + 5000).alias("entry_idx"), (F.col("id") + 1).cast("int").alias("rank")))
+    ranking = ranking.unionByName(spark.range(8).select(F.lit(3).alias("prompt_id"), (F.col("id") + 5000).alias("entry_idx"), (F.col("id") + 1).cast("int").alias("rank")))
+    spread = spark.range(1000).select(F.col("id").alias("entry_idx"), F.array(F.cos("id"), F.sin("id")).alias("e"))
+    same = spark.range(1000).select((F.col("id") + 5000).alias("entry_idx"), F.when(F.col("id") == 999, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("e"))
+    vectors = spread.unionByName(same)
+    one = {r["entry_idx"] for r in R.near_dup_thin(ranking.filter("prompt_id = 1"), vectors, k=2, pool=8).collect()}
+    assert one == {0, 1} and max(held) == 9
+    got = {}
+    for r in R.near_dup_thin(ranking, vectors, k=2, pool=250).collect():
+        got.setdefault(r["prompt_id"], []).append((r["entry_idx"], r["rank"], r["place"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(0, 1, 1), (1, 2, 2)], 2: [(5000, 1, 1), (5999, 1000, 2)], 3: [(5000, 1, 1)]}
+    exact = R.near_dup_thin(ranking.filter("prompt_id = 3"), vectors, k=2, pool=8).collect()
+    assert [(r["entry_idx"], r["rank"]) for r in exact] == [(5000, 1)]
