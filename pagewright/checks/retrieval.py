@@ -9,7 +9,7 @@ from ..functions.vectors import unit
 from ..operators import index as kept_index
 from ..operators import prompts as prompt_ops
 from ..operators import retrieval as ops
-from ..session import fresh_path, spread
+from ..session import fresh_path, spread, written
 from ..sources import maps
 from .registry import Tables, check
 
@@ -123,13 +123,12 @@ walk AS (SELECT prompt_id, entry_idx, len(list_intersect(words, w)) AS score FRO
 SELECT prompt_id, count(*) AS n_entries, sum(score)::BIGINT AS total, 0::BIGINT AS n_differ
 FROM walk WHERE score > 0 GROUP BY ALL""")
 def _(t):
-    e, p = entries(t), prompts(t)
-    indexed = ops.keyword_score(ops.retrieve_join(e, p))
-    differ = ops.rows_differ(indexed, ops.walk_score(e, p)).groupBy("prompt_id").agg(F.count("*").alias("n_differ"))
-    return (
-        indexed.groupBy("prompt_id").agg(F.count("*").alias("n_entries"), F.sum("score").alias("total"))
-        .join(differ, "prompt_id", "left").fillna(0, ["n_differ"])
-    )
+    # words are told once, for the index and for the walk
+    e, p = written(entries(t).select("entry_idx", "words")), prompts(t)
+    sides = ops.side_counts(ops.keyword_score(ops.retrieve_join(e, p)), ops.walk_score(e, p))
+    return sides.groupBy("prompt_id").agg(
+        F.sum("n_left").alias("n_entries"), F.sum(F.col("score") * F.col("n_left")).alias("total"),
+        F.sum(F.abs(F.col("n_left") - F.col("n_right"))).alias("n_differ")).filter("n_entries > 0")
 
 
 @check("seeded_draw", f"""WITH {TOPK},

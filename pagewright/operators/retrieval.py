@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ NEAR_DUPLICATE = 0.97
 DRAW_POOL_PER_K = 8
 #: Pairs of a prompt and an entry that a task may come to count.
 PAIRS_A_TASK = 1 << 19
+#: Entries and prompts that a task of a walk holds at once.
+WALK_ENTRIES, WALK_PROMPTS = 1 << 11, 1 << 10
 
 
 def entry_words(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -112,26 +115,52 @@ def retrieve_topk(entries: DataFrame, prompts: DataFrame, k: int = TOP_K, requir
 
 
 def walk_score(entries: DataFrame, prompts: DataFrame) -> DataFrame:
-    """The same score without counting join rows: distinct pairs, then the two word sets compared."""
-    pairs = retrieve_join(entries, prompts).select("prompt_id", "entry_idx").distinct()
-    have = prompts.select("prompt_id", words(F.col("text")).alias("asked"))
-    return (
-        # a pair meets its entry as two numbers; the prompt's words join it behind that shuffle
-        pairs.join(entries.select("entry_idx", "words"), "entry_idx").join(have, "prompt_id")
-        .select("prompt_id", "entry_idx",
-                F.size(F.array_intersect("words", "asked")).cast("long").alias("score"))
-    )
+    """The same score without the index: every prompt walks over every entry and compares the two word sets.
 
+    All pairs by nature. A task holds one stretch of entries and one of prompts at a time and gives out only pairs that share a word; no
+    candidates are taken from ``retrieve_join``, so a pair that the index misses is found here.
+    """
+    e, p = entries.select("entry_idx", "words"), prompts.select("prompt_id", words(F.col("text")).alias("asked"))
+    tall, wide = (max(1, -(-df.count() // most)) for df, most in ((e, WALK_ENTRIES), (p, WALK_PROMPTS)))
 
-def rows_differ(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows found in one of two results only, tagged with the side that has them, as often as that side has more of them.
+    def dealt(df, key, own, n, other, m):
+        stretch = F.expr(f"cast(pmod(xxhash64({key}), {n}) AS int)").alias(own)
+        return df.select("*", stretch, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("_tall", "_wide")
+
+    kinds = dict(e.dtypes) | dict(p.dtypes)
+    return dealt(e, "entry_idx", "_tall", tall, "_wide", wide).cogroup(dealt(p, "prompt_id", "_wide", wide, "_tall", tall)).applyInArrow(
+        _walk, f"prompt_id {kinds['prompt_id']}, entry_idx {kinds['entry_idx']}, score bigint")
+
+
+def _walk(entries: pa.Table, prompts: pa.Table) -> pa.Table:
+    asked = [frozenset(a or ()) for a in prompts["asked"].to_pylist()]
+    rows, cols, scores = [], [], []
+    for i, have in enumerate(entries["words"].to_pylist()):
+        have = frozenset(have or ())
+        shared = [len(have & a) for a in asked]
+        hit = [j for j, n in enumerate(shared) if n]
+        rows += [i] * len(hit)
+        cols += hit
+        scores += [shared[j] for j in hit]
+    return pa.table({
+        "prompt_id": prompts["prompt_id"].take(pa.array(cols, pa.int64())), "entry_idx": entries["entry_idx"].take(pa.array(rows, pa.int64())),
+        "score": pa.array(scores, pa.int64())})
+
+
+def side_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of two results, with ``n_left`` and ``n_right``: how often each has them.
 
     One count over both, so each result is worked out once.
     """
     cols = left.columns
-    both = left.withColumn("_n", F.lit(1)).unionAll(right.select(*cols).withColumn("_n", F.lit(-1)))
-    more = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
-    return more.select(*cols, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("col")
+    both = left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}).unionAll(right.select(*cols).withColumns({"_l": F.lit(0), "_r": F.lit(1)}))
+    return both.groupBy(*cols).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+
+
+def rows_differ(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows found in one of two results only, tagged with the side that has them, as often as that side has more of them."""
+    more = side_counts(left, right).withColumn("_n", F.col("n_left") - F.col("n_right")).filter("_n <> 0")
+    return more.select(*left.columns, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("col")
 
 
 def seeded_draw(entries: DataFrame, prompts: DataFrame, seed: int, k: int = TOP_K, require_ref: bool = True) -> DataFrame:

@@ -30,6 +30,18 @@ def test_index_equals_walk(spark):
     assert R.rows_differ(R.keyword_score(R.retrieve_join(e, p)), R.walk_score(e, p)).count() == 0
 
 
+def test_the_walk_sees_what_the_index_misses(spark, monkeypatch):
+    p = spark.createDataFrame([(1, "hero w3 w4"), (2, "rooftop w9"), (3, "none")], "prompt_id long, text string")
+    e = _entries(spark)
+    whole, real = R.retrieve_join(e, p), R.retrieve_join
+    monkeypatch.setattr(R, "retrieve_join", lambda *a, **k: real(*a, **k).filter("entry_idx <> 9"))
+    monkeypatch.setattr(R, "WALK_ENTRIES", 7)
+    monkeypatch.setattr(R, "WALK_PROMPTS", 2)
+    assert R.rows_differ(R.keyword_score(whole), R.walk_score(e, p)).count() == 0
+    missed = R.rows_differ(R.keyword_score(R.retrieve_join(e, p)), R.walk_score(e, p)).collect()
+    assert {(r["prompt_id"], r["entry_idx"], r["score"], r["side"]) for r in missed} == {(1, 9, 1, "right"), (2, 9, 2, "right")}
+
+
 def test_seeded_draws(spark):
     p = spark.createDataFrame([(1, "hero rooftop")], "prompt_id long, text string")
     e = _entries(spark, 100)
