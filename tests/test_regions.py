@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagewright.checks.registry import Tables
 from pagewright.checks.sheets import sheet_pixels
-from pagewright.operators import copies, graphs, raster, regions
+from pagewright.operators import copies, gates, graphs, raster, regions
 from pagewright.plans import corpus, cutting
 
 from .pages import pixel_table
@@ -135,6 +135,23 @@ def test_means_of_squares_leave_pixels_where_they_lie(spark):
         assert abs(r["mean"] - want) < 1e-9 and abs(r["mean_half"] - want / 2) < 1e-9
 
 
+def test_the_summary_of_pictures_looks_at_their_pixels_once(spark, monkeypatch):
+    cuts, cut = [], gates.cut
+    monkeypatch.setattr(gates, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, 0.5, 0.1), (2, 0.9, 0.3), (3, 0.7, 0.0)], "page_id long, kept double, leak double").mapInArrow(
+        counted, "page_id long, kept double, leak double")
+    got = gates.kept_leak_summary(rows).first()
+    assert tuple(got[c] for c in ("pictures", "kept_min", "kept_median", "leak_max")) == (3, 0.5, 0.7, 0.3)
+    assert cuts == [["kept", "leak"]] and seen.value == 3
+
+
 def test_signatures_leave_pixels_with_their_page(spark):
     p = pixel_table(spark, {1: _page()}).repartition(3, "page_id")
     b = spark.createDataFrame([(1, 1, 8, 8, 42, 42), (1, 2, 46, 10, 76, 40)], "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
