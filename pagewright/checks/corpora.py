@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from ..plans import corpus
+from ..session import cut
 from .registry import check
 from .sheets import line_sums, sheet_pixels
 
@@ -16,7 +17,7 @@ def _(t):
 @check("clean_corpus_kinds")
 def _(t):
     p = sheet_pixels(t)
-    backing = corpus.page_backing(p)
+    backing = cut(corpus.page_backing(p))
     return line_sums(corpus.clean_corpus(p, backing, corpus.page_kinds(p, backing)), "r", "g", "b", "a")
 
 

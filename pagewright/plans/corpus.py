@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.colour import RGB, hex_of, mean_level
 from ..operators import boxes as box_ops
 from ..operators import gates, keying, raster, regions
-from ..session import cut, is_empty
-from . import cutting
+from ..operators.tiles import with_page
+from ..session import cut, is_empty, written
+from . import cutting, held
 
 # fixed values: dark backings, and hole sizes in millimetres
 DARK_BACKING = 90
@@ -35,6 +36,7 @@ def page_backing(pixels: DataFrame) -> DataFrame:
 
 def page_kinds(pixels: DataFrame, backing: DataFrame) -> DataFrame:
     """(page_id, kind, neutral, grain, cr...bb)."""
+    backing = cut(backing)
     on = backing.select("page_id", *[F.coalesce(f"b{c}", f"c{c}").alias(f"c{c}") for c in RGB])
     grain = raster.ink_grain(pixels, on).select("page_id", "grain")
     return keying.scan_or_digital(backing.join(grain, "page_id").withColumn("from_scan", F.lit(False)))
@@ -51,14 +53,27 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
                  fill_holes: bool = True) -> DataFrame:
     """Keyed RGBA of every page by the verified recipe: key, overrides, fringe of photos, matte, white ink back in holes.
 
-    Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan, which rides beside
-    the mended colours, so a page goes through all steps once. What is known of a page is cut before pixels meet it, and the keyed
-    pages are cut once, because holes are looked for in them.
+    Photographs are keyed on fixed white. Colours are the scan's own but for removed streaks; the key reads the untouched scan. What is known of a
+    page is cut before pixels meet it. Pages a task can hold go through all steps in one pass (``held``), larger ones and incomplete rasters step by step.
     """
     backing = cut(page_backing(pixels) if backing is None else backing)
     if kinds is not None:
         kinds = cut(kinds)
         backing = cut(keyed_backing(backing, kinds))
+    side = max(4, int(round(HOLE_MM / 25.4 * max(LEAST_DPI, dpi))))
+    letter = int(round(LETTER_MM / 25.4 * max(LEAST_DPI, dpi)))
+    sizes = cut(held.page_sizes(pixels))
+    whole = sizes.filter("whole").select("page_id")
+    page = backing.withColumn("kind", F.lit(None).cast("string")) if kinds is None else backing.join(kinds.select("page_id", "kind"), "page_id", "left")
+    out = held.clean_held(with_page(pixels.drop("a"), whole, "left_semi"), page, side, int(1.5 * side * side), letter, DARK_BACKING, fill_holes, kinds is not None)
+    if is_empty(sizes.filter("NOT whole")):
+        return out
+    return out.unionByName(_clean_by_steps(with_page(pixels, whole, "left_anti"), backing, kinds, side, letter, fill_holes))
+
+
+def _clean_by_steps(pixels: DataFrame, backing: DataFrame, kinds: DataFrame | None, side: int, letter: int, fill_holes: bool) -> DataFrame:
+    """``clean_corpus`` of pages of any size. The untouched scan rides beside the mended colours, so a page goes through all steps once; the keyed
+    pages are cut once, because holes are looked for in them."""
     carrier = backing.select("page_id", "cr", "cg", "cb")
     rgb_only = pixels.drop("a")
     strips = cut(raster.edge_strips(rgb_only))
@@ -72,8 +87,6 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
     clean = cut(keying.clean_matte(keyed.drop(*RGB)).withColumnsRenamed(mended).select(*rgb_only.columns, "a"))
     if not fill_holes:
         return clean
-    side = max(4, int(round(HOLE_MM / 25.4 * max(LEAST_DPI, dpi))))
-    letter = int(round(LETTER_MM / 25.4 * max(LEAST_DPI, dpi)))
     tinted = carrier.filter(~keying.is_neutral())
     clear = regions.clear_runs(clean)
     holes = regions.enclosed_holes(clean, side, int(1.5 * side * side), tinted, letter, clear)
@@ -105,11 +118,12 @@ def assess_corpus(pixels: DataFrame, dpi: int = 300, gap: int | None = None, res
     backing = cut(page_backing(pixels))
     kinds = cut(page_kinds(pixels, backing))
     measures = raster.sharpness_blockiness(pixels, keyed_backing(backing, kinds).select("page_id", "cr", "cg", "cb"))
-    clean = cut(clean_corpus(pixels, backing, kinds, dpi, fill_holes=False))
+    clean = written(clean_corpus(pixels, backing, kinds, dpi, fill_holes=False).select("page_id", "y", "x", "a", "width", "height"))
     opaque = clean.groupBy("page_id").agg(
         F.avg((F.col("a") > regions.OPAQUE).cast("int")).alias("opaque_share"), F.max("width").alias("width"), F.max("height").alias("height"))
-    decals = cutting.segment_sheet(clean, gap).groupBy("page_id").agg(F.count("*").alias("decals"))
-    letters = box_ops.letter_size(cutting.segment_sheet(clean, 0, min_side=6, pad=0)).select("page_id", "letters_px")
+    pieces = cutting.raw_pieces(clean)
+    decals = cutting.segment_pieces(*pieces, gap).groupBy("page_id").agg(F.count("*").alias("decals"))
+    letters = box_ops.letter_size(cutting.segment_pieces(*pieces, 0, min_side=6, pad=0)).select("page_id", "letters_px")
     rows = (
         opaque.join(kinds.select("page_id", "kind", "neutral"), "page_id").join(measures, "page_id")
         .join(decals, "page_id", "left").join(letters, "page_id", "left").fillna(0, ["decals"])
@@ -133,10 +147,11 @@ def census_corpus(pixels: DataFrame, dpi: int = 300) -> DataFrame:
     good = pixels.join(size.filter("n = w * h").select("page_id"), "page_id", "left_semi")
     backing = cut(page_backing(good))
     kinds = cut(page_kinds(good, backing))
-    clean = cut(clean_corpus(good, backing, kinds, dpi))
+    # a picture's own alpha rides beside the cleaned one, so they need not be laid over each other; only what is measured is written
+    clean = written(clean_corpus(good.withColumn("oa", F.col("a")), backing, kinds, dpi).select("page_id", "y", "x", "a", "oa", "width", "height"))
     gap = max(int(round(CENSUS_GAP_MM / 25.4 * dpi)), int(round(16 * dpi / 300)))
     decals = cutting.segment_sheet(clean, gap, min_side=CENSUS_SIDE).groupBy("page_id").agg(F.count("*").alias("decals"))
-    truth = gates.kept_leak(good, clean).select("page_id", "kept", "leak")
+    truth = gates.kept_leak_beside(clean.withColumnRenamed("a", "ca")).select("page_id", "kept", "leak")
     backdrop = F.when(F.col("br").isNotNull(), hex_of("br", "bg", "bb"))
     rows = kinds.select("page_id", (F.col("kind") == "photo").alias("photo"), (F.col("kind") == "digital").alias("digital"), backdrop.alias("backdrop"))
     out = rows.join(decals, "page_id", "left").fillna(0, ["decals"]).join(truth, "page_id", "left")

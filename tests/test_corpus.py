@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import copies, raster
-from pagewright.plans import corpus, cutting
+from pagewright.plans import corpus, cutting, held
 
 from .pages import grid, pixel_table
 
@@ -46,6 +46,58 @@ def test_photographs_are_keyed_on_white(spark):
     assert (a[45:65, 55:85] == 255).all() and (a[80:100, 20:140] == 0).all()
 
 
+def _pages_of_many_kinds():
+    """Paper, film, a dark fill, a photo with table along its edge, streaks, holes of three sorts, and no ink at all."""
+    rng = np.random.default_rng(5)
+    pages = {}
+    for i, back in enumerate([(250, 250, 250), (214, 240, 242), (30, 30, 60), (250, 250, 250), (180, 205, 240), (240, 240, 240)]):
+        h, w = 88 + i, 121 + 3 * i
+        page = np.clip(np.array(back) + rng.integers(-2, 3, (h, w, 1)), 0, 255).repeat(1, 2) + np.zeros((h, w, 3), int)
+        for _ in range(6):
+            y, x = rng.integers(6, h - 30), rng.integers(6, w - 40)
+            dy, dx = rng.integers(8, 24), rng.integers(8, 34)
+            page[y:y + dy, x:x + dx] = rng.choice([(0, 0, 0), (255, 255, 255), (200, 20, 30), (20, 40, 180)])
+            if dy > 14 and dx > 14:
+                page[y + 4:y + dy - 4, x + 4:x + dx - 4] = back
+        page[40:70, 20:90] = (10, 10, 10)
+        page[48:60, 24:84] = back if i % 2 else (255, 255, 255)
+        page[:, 60:62] -= 25 * (i % 3 == 0)
+        if i == 3:
+            page[:5], page[:, :4] = (90, 60, 40), (90, 60, 40)
+        if i == 5:
+            page[:, :7] = 255
+        pages[i] = np.clip(page, 0, 255)
+    pages[9] = np.full((30, 40, 3), 250)
+    pages[10] = np.full((3, 2, 3), 200)
+    return pages
+
+
+def test_pages_held_whole_come_out_as_those_cleaned_step_by_step(spark, monkeypatch):
+    p = pixel_table(spark, _pages_of_many_kinds())
+    backing = corpus.page_backing(p)
+    kinds = spark.createDataFrame([(i, {0: "digital", 3: "photo", 4: "photo"}.get(i, "scan")) for i in range(10)], "page_id long, kind string")
+    for given, fill in ((None, True), (kinds, True), (kinds, False)):
+        made = []
+        for most in (1 << 20, 0, 11_000):
+            monkeypatch.setattr(held, "PAGE_PIXELS", most)
+            made.append({tuple(r) for r in corpus.clean_corpus(p, backing, given, dpi=72, fill_holes=fill).collect()})
+        assert len(made[0]) == p.count() and made[0] == made[1] == made[2]
+
+
+def test_whole_pages_take_no_steps_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "_clean_by_steps", lambda *a: 1 / 0)
+    page = np.full((40, 60, 3), 250)
+    page[10:30, 10:40] = (190, 20, 30)
+    assert corpus.clean_corpus(pixel_table(spark, {1: page})).count() == 2400
+
+
+def test_incomplete_rasters_are_not_held(spark):
+    page = np.full((40, 60, 3), 250)
+    p = pixel_table(spark, {1: page, 2: page, 3: page}).filter("NOT (page_id = 2 AND x = 7)")
+    p = p.unionAll(p.filter("page_id = 3 AND x = 5")).withColumn("x", F.expr("CASE WHEN page_id = 3 AND x = 6 THEN 60 ELSE x END"))
+    assert {r["page_id"]: r["whole"] for r in held.page_sizes(p).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_pages_that_do_not_know_their_resolution(spark):
     page = np.full((90, 120, 3), 250)
     page[30:60, 30:80] = (190, 20, 30)
