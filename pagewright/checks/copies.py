@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import copies as ops
 from ..operators import ordered, raster
+from ..session import is_empty
 from .boxes import BOXES, boxes
 from .registry import check
 from .sheets import PIXELS_SQL, sheet_boxes, sheet_pixels
@@ -122,7 +124,22 @@ placed AS (SELECT page_id, box_id, round_even(y0 * 0.5, 0)::INT + dy AS y, round
 top AS (SELECT page_id, y, x, max(box_id) AS box_id, arg_max(r, box_id) AS r, arg_max(g, box_id) AS g, arg_max(a, box_id) AS a FROM placed WHERE a > 0 GROUP BY ALL)
 SELECT page_id, count(*) AS pixels, sum((box_id + r + g + a) * (x + 1))::BIGINT AS by_x, sum((box_id + r + g + a) * (y + 1))::BIGINT AS by_y FROM top GROUP BY page_id""")
 def _(t):
-    b = boxes(t)
+    few, many = ops.by_ink(boxes(t))
+    out = ops.compose_held(few, _drawn, _sums, "pixels bigint, by_x bigint, by_y bigint", 0.5)
+    return out if is_empty(many) else out.unionByName(_composed_by_rows(t, many))
+
+
+def _drawn(box_id, y, x):
+    return {"r": (y * 5 + box_id) % 256, "g": x * 7 % 256, "b": np.full(len(x), 9), "a": (x + y) % 4 * 85}
+
+
+def _sums(at, n, y, x, box_id, c):
+    v = box_id + c["r"] + c["g"] + c["a"]
+    total = lambda w: np.bincount(at, w, n).astype(np.int64)
+    return {"pixels": np.bincount(at, minlength=n), "by_x": total(v * (x + 1)), "by_y": total(v * (y + 1))}
+
+
+def _composed_by_rows(t, b):
     # a page's few boxes become thousands of pixels: tasks grow with the pages
     n = t.lineitem.agg(F.approx_count_distinct("l_orderkey")).first()[0]
     tasks = max(t.spark.sparkContext.defaultParallelism, -(-n // PAGES_A_TASK))

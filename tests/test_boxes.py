@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,28 @@ def test_sheet_of_many_pieces_is_composed_like_one_of_few(spark):
     assert rows == {(p, 2 * i + d): (i, i) if d < 2 or i == last else (i + 1, i + 1) for p, last in ((1, n - 1), (2, 3)) for i in range(last + 1) for d in (0, 1, 2)}
 
 
+def test_sheets_held_whole_are_composed_like_those_of_rows(spark, monkeypatch):
+    from pagewright.checks import copies as checks
+
+    rng = np.random.default_rng(4)
+    rows = [(p, i, int(x), int(y), int(x + w), int(y + h)) for p in range(40) for i in range(7) for x, y, w, h in [rng.integers(0, (40, 40, 25, 25))]]
+    rows += [(50, i, 0, 0, 9, 9) for i in range(3)] + [(60, 1, 0, 0, 1, 1), (70, 1, 0, 0, 4, 4), (70, 2, 90_000, 90_000, 90_004, 90_004), (80, 1, 5, 5, 5, 9)]
+    b = spark.createDataFrame(rows, "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+
+    class Tables:
+        lineitem = b.withColumnRenamed("page_id", "l_orderkey")
+
+    Tables.spark = spark
+    want = {tuple(r) for r in checks._composed_by_rows(Tables, b).collect()}
+    for most, once in ((1 << 22, 1 << 18), (1 << 22, 300), (500, 300)):
+        monkeypatch.setattr(C, "PAGE_INK", most)
+        monkeypatch.setattr(C, "INK_AT_ONCE", once)
+        few, many = C.by_ink(b)
+        got = C.compose_held(few, checks._drawn, checks._sums, "pixels bigint, by_x bigint, by_y bigint", 0.5)
+        assert (many.count() > 0) == (most == 500)
+        assert {tuple(r) for r in got.unionByName(checks._composed_by_rows(Tables, many)).collect()} == want
+
+
 def test_order_lines_are_dealt_by_number(spark, monkeypatch):
     """Boxes, attempts, files and members come from order lines: a task gets so many lines, not so many compressed bytes of them."""
     from pagewright.checks import boxes as drawn
