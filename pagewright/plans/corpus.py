@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.colour import RGB, hex_of, mean_level
 from ..operators import boxes as box_ops
 from ..operators import gates, keying, raster, regions
-from ..operators.tiles import with_page
+from ..operators.tiles import page_sizes, with_page
 from ..session import cut, is_empty, written
 from . import cutting, held
 
@@ -62,7 +62,7 @@ def clean_corpus(pixels: DataFrame, backing: DataFrame | None = None, kinds: Dat
         backing = cut(keyed_backing(backing, kinds))
     side = max(4, int(round(HOLE_MM / 25.4 * max(LEAST_DPI, dpi))))
     letter = int(round(LETTER_MM / 25.4 * max(LEAST_DPI, dpi)))
-    sizes = cut(held.page_sizes(pixels))
+    sizes = cut(page_sizes(pixels))
     whole = sizes.filter("whole").select("page_id")
     page = backing.withColumn("kind", F.lit(None).cast("string")) if kinds is None else backing.join(kinds.select("page_id", "kind"), "page_id", "left")
     out = held.clean_held(with_page(pixels.drop("a"), whole, "left_semi"), page, side, int(1.5 * side * side), letter, DARK_BACKING, fill_holes, kinds is not None)
@@ -78,7 +78,7 @@ def _clean_by_steps(pixels: DataFrame, backing: DataFrame, kinds: DataFrame | No
     rgb_only = pixels.drop("a")
     strips = cut(raster.edge_strips(rgb_only))
     mended = {f"mended_{c}": c for c in RGB}
-    both = raster.destripe(rgb_only.withColumns({f"scan_{c}": F.col(c) for c in RGB})).withColumnsRenamed({c: m for m, c in mended.items()})
+    both = raster.destripe_by_windows(rgb_only.withColumns({f"scan_{c}": F.col(c) for c in RGB})).withColumnsRenamed({c: m for m, c in mended.items()})
     keyed = keying.carrier_alpha(both.withColumnsRenamed({f"scan_{c}": c for c in RGB}), carrier)
     keyed = keying.alpha_overrides(keyed, carrier, strips)
     if kinds is not None:

@@ -13,40 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import RGB
 from ..operators import keying, raster, regions
-from ..operators.tiles import ranked
-
-#: Pixels of a page that a task still holds at once.
-PAGE_PIXELS = 1 << 20
-
-
-def page_sizes(pixels: DataFrame, most: int | None = None) -> DataFrame:
-    """(page_id, whole): whether a page has each of its pixels once and few enough of them."""
-    most = PAGE_PIXELS if most is None else most
-    w, h, n = F.max("width").cast("long"), F.max("height").cast("long"), F.count("*")
-    place = F.col("y").cast("long") * F.col("width") + F.col("x")
-    complete = (n == w * h) & (F.min("y") >= 0) & (F.min("x") >= 0) & (F.max("y") < h) & (F.max("x") < w) & (
-        F.sum(place) * 2 == n * (n - 1)) & (F.min("width") == F.max("width"))
-    for c in RGB:
-        complete = complete & (F.count(c) == n)
-    return pixels.groupBy("page_id").agg(F.coalesce(complete & (n <= most), F.lit(False)).alias("_whole")).select(
-        "page_id", (F.col("_whole") & F.col("page_id").isNotNull()).alias("whole"))
+from ..operators.tiles import page_array, ranked, with_channels
 
 
 def clean_held(pixels: DataFrame, page: DataFrame, min_side: int, min_area: int, letter: int, dark: int, fill: bool, known: bool) -> DataFrame:
     """Keyed RGBA of whole pages. ``page`` has (page_id, cr, cg, cb, kind); ``known`` tells that kinds were given."""
-    cols = pixels.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema.fields) + ", a int"
 
     def run(rows: pa.Table, about: pa.Table) -> pa.Table:
         about = about.to_pylist()
         if not rows.num_rows or not about or any(about[0][f"c{c}"] is None for c in RGB):
             return rows.slice(0, 0).append_column("a", pa.array([], pa.int32()))
-        w, h = rows["width"][0].as_py(), rows["height"][0].as_py()
-        place = rows["y"].to_numpy().astype(np.int64) * w + rows["x"].to_numpy()
-        scan = np.empty((h * w, 3), np.int64)
-        for i, c in enumerate(RGB):
-            scan[place, i] = rows[c].to_numpy()
-        scan = scan.reshape(h, w, 3)
+        scan, place = page_array(rows, RGB)
         carrier, kind = [about[0][f"c{c}"] for c in RGB], about[0]["kind"]
         alpha = _overridden(scan, _keyed(scan, carrier), carrier)
         if kind == "photo":
@@ -54,13 +32,11 @@ def clean_held(pixels: DataFrame, page: DataFrame, min_side: int, min_area: int,
         alpha = np.where(alpha < keying.MATTE_FLOOR, 0, alpha)
         for largest in (False, True, True, False):
             alpha = ranked(alpha, 1, largest)
-        clean = _destriped(scan)
+        clean = raster.destriped_page(scan)
         if fill and sum(carrier) / 3.0 >= dark and (kind is not None or not known):
             hole = _white_ink(clean, alpha, carrier, kind, min_side, min_area, letter)
             clean[hole], alpha[hole] = 255, 255
-        flat = clean.reshape(-1, 3)
-        made = {c: pa.array(flat[place, i]).cast(rows.schema.field(c).type) for i, c in enumerate(RGB)}
-        return pa.table({**{c: made.get(c, rows[c]) for c in cols}, "a": pa.array(alpha.ravel()[place].astype(np.int32))})
+        return with_channels(rows, RGB, clean, place).append_column("a", pa.array(alpha.ravel()[place].astype(np.int32)))
 
     # under a name of its own, for both may come of one table
     about = page.select(F.col("page_id").alias("_page"), "cr", "cg", "cb", "kind")
@@ -123,35 +99,6 @@ def _flat_ends(scan: np.ndarray) -> tuple[int, int]:
     return int(min(first, deep, n)), int(min(last, deep, n))
 
 
-def _streaks(scan: np.ndarray) -> np.ndarray:
-    """Columns that are thin full-height streaks, see ``raster.streak_columns``."""
-    r, w = raster.STREAK_WINDOW // 2, scan.shape[1]
-    x = np.arange(w)
-    upto = np.concatenate([np.zeros_like(scan[:, :1]), scan.cumsum(1)], 1)
-    near = upto[:, np.minimum(x + r + 1, w)] - upto[:, np.maximum(x - r, 0)]
-    padded = near + np.maximum(0, r - x)[:, None] * scan[:, :1] + np.maximum(0, x + r - w + 1)[:, None] * scan[:, -1:]
-    mag = np.abs(np.median(scan - padded / float(raster.STREAK_WINDOW), axis=0))
-    mag = mag[:, 0] + mag[:, 1] + mag[:, 2]
-    over = mag - np.median(mag)
-    z = np.abs(over) * np.sign(over) / (raster.MAD_SCALE * (np.median(np.abs(over)) + 1e-3))
-    hot = np.flatnonzero(z > raster.STREAK_Z)
-    island = hot - np.arange(len(hot))
-    thin = hot[np.isin(island, [i for i, n in zip(*np.unique(island, return_counts=True)) if n <= raster.STREAK_WIDTH])]
-    return thin if len(thin) <= w // 8 else thin[:0]
-
-
-def _destriped(scan: np.ndarray) -> np.ndarray:
-    """As ``raster.destripe``."""
-    out, hot = scan.copy(), set(_streaks(scan).tolist())
-    for x in hot:
-        near = range(1, raster.STREAK_WIDTH + 1)
-        left = next((x - d for d in near if x - d >= 0 and x - d not in hot), None)
-        right = next((x + d for d in near if x + d < scan.shape[1] and x + d not in hot), None)
-        if left is not None or right is not None:
-            out[:, x] = (scan[:, right if left is None else left] + scan[:, left if right is None else right]) // 2
-    return out
-
-
 class _Regions:
     """Regions of a mask: runs (y, x0, x1), the number ``of`` each run's region, and what the regions measure."""
 

@@ -1,8 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.operators import copies, raster
-from pagewright.plans import corpus, cutting, held
+from pagewright.operators import copies, raster, tiles
+from pagewright.plans import corpus, cutting
 
 from .pages import grid, pixel_table
 
@@ -79,11 +79,23 @@ def test_pages_held_whole_come_out_as_those_cleaned_step_by_step(spark, monkeypa
     for given, fill in ((None, True), (kinds, True), (kinds, False)):
         made = []
         for most in (1 << 20, 0, 11_000):
-            monkeypatch.setattr(held, "PAGE_PIXELS", most)
+            monkeypatch.setattr(tiles, "PAGE_PIXELS", most)
             made.append({tuple(r) for r in corpus.clean_corpus(p, backing, given, dpi=72, fill_holes=fill).collect()})
         assert len(made[0]) == p.count() and made[0] == made[1] == made[2]
 
 
+def test_streaks_of_pages_held_whole_and_by_windows(spark, monkeypatch):
+    p = pixel_table(spark, _pages_of_many_kinds()).drop("a").withColumns({c: F.expr(f"CASE WHEN x % 29 = 13 AND page_id % 2 = 0 THEN {c} - 60 ELSE {c} END") for c in "rgb"})
+    want = {tuple(r) for r in raster.destripe_by_windows(p).collect()}
+    assert want != {tuple(r) for r in p.collect()}
+    for most in (1 << 20, 11_000):
+        monkeypatch.setattr(tiles, "PAGE_PIXELS", most)
+        assert {tuple(r) for r in raster.destripe(p).collect()} == want
+    monkeypatch.setattr(raster, "destripe_by_windows", lambda p: 1 / 0)
+    monkeypatch.setattr(tiles, "PAGE_PIXELS", 1 << 20)
+    raster.destripe(p)
+
+
 def test_whole_pages_take_no_steps_of_rows(spark, monkeypatch):
     monkeypatch.setattr(corpus, "_clean_by_steps", lambda *a: 1 / 0)
     page = np.full((40, 60, 3), 250)
@@ -95,7 +107,7 @@ def test_incomplete_rasters_are_not_held(spark):
     page = np.full((40, 60, 3), 250)
     p = pixel_table(spark, {1: page, 2: page, 3: page}).filter("NOT (page_id = 2 AND x = 7)")
     p = p.unionAll(p.filter("page_id = 3 AND x = 5")).withColumn("x", F.expr("CASE WHEN page_id = 3 AND x = 6 THEN 60 ELSE x END"))
-    assert {r["page_id"]: r["whole"] for r in held.page_sizes(p).collect()} == {1: True, 2: False, 3: False}
+    assert {r["page_id"]: r["whole"] for r in tiles.page_sizes(p).collect()} == {1: True, 2: False, 3: False}
 
 
 def test_pages_that_do_not_know_their_resolution(spark):
