@@ -152,6 +152,20 @@ def test_the_summary_of_pictures_looks_at_their_pixels_once(spark, monkeypatch):
     assert cuts == [["kept", "leak"]] and seen.value == 3
 
 
+def test_scans_are_compared_by_windows_as_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pages = {i: rng.integers(0, 256, (70 + i, 90 + 60 * (i % 2), 4)) for i in range(3)}
+    scan = pixel_table(spark, pages)
+    drawn = pixel_table(spark, {i: np.where(rng.random(a.shape) < 0.3, rng.integers(0, 256, a.shape), a) for i, a in pages.items()})
+    made = []
+    for most in (2, 0):
+        monkeypatch.setattr(gates, "FEW_PADS", most)
+        got = gates.scan_check(drawn, scan)
+        assert ("FlatMapGroupsInArrow" in _plan(got)) == (most == 0)
+        made.append({r["page_id"]: (round(r["iou"], 9), round(r["colour"], 9), r["ok"]) for r in got.collect()})
+    assert len(made[0]) == 3 and made[0] == made[1]
+
+
 def test_signatures_leave_pixels_with_their_page(spark):
     p = pixel_table(spark, {1: _page()}).repartition(3, "page_id")
     b = spark.createDataFrame([(1, 1, 8, 8, 42, 42), (1, 2, 46, 10, 76, 40)], "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
